@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard_join, quality_rules
+from . import decontaminate, jaccard_join, quality_rules, secret_scan
 from .common import table
 
 
@@ -59,8 +59,26 @@ r(a, b) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.a, e.b FROM r JO
 SELECT doc_id, n AS n_shingles, m AS component_id FROM n JOIN (SELECT a, min(b) AS m FROM r GROUP BY a) ON a = doc_id
 """
 
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each document and item that it leaks."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontaminate.search(docs, table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", F.explode("leaks").alias("leak")).select("doc_id", "leak.*")
+
+
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "secrets")
+    spans = F.col("secrets")
+    of = lambda *kinds: F.filter(spans, lambda s: s["kind"].isin(*kinds))
+    counts = [F.size(of(k)).cast("long").alias(f"n_{k}") for k in secret_scan.BASE]
+    base = F.sha2(secret_scan.listed(of(*secret_scan.BASE)), 256).alias("base_sha256")
+    return found.select("doc_id", *counts, base, secret_scan.listed(spans).alias("spans"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_quality_rules": op5_quality_rules,
+    "op6_decontaminate": op6_decontaminate,
+    "op7_secret_scan": op7_secret_scan,
     "op8_jaccard_join": op8_jaccard_join,
 }
 

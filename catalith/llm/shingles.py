@@ -56,14 +56,14 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)), at
 
 
-def word_hashes(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of texts ``data[at[i]:at[i + 1]]``: the hash of every word, and the text it is in."""
+def word_hashes(data: np.ndarray, at: np.ndarray, between: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """Of texts ``data[at[i]:at[i + 1]]``: the hash of every word, and the text it is in; ``between`` tells which bytes are in no word."""
     base, n = int(at[0]), int(at[-1] - at[0])
     if not n:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     piece = data[base : base + n]
     gap = np.ones(n + 2, bool)
-    gap[1:-1] = _SPACE[piece]
+    gap[1:-1] = between[piece]
     first = ~gap[1:-1] & gap[:-2]
     last = ~gap[1:-1] & gap[2:]
     edges = at[1:-1] - base
