@@ -23,6 +23,7 @@ import re
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
 #: Base kinds, in their order, with the pattern and the least length of the named group (fixed values).
 BASE = {
@@ -40,7 +41,7 @@ _PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]{0,40}PRIVATE KEY)-----([^-]{1,20000})-
 _JWT = re.compile(r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{2,}\.[A-Za-z0-9_-]*")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{24,}={0,2}")
 _HEX = re.compile(r"(?:[0-9a-f]{2}){24,}|(?:[0-9A-F]{2}){24,}")
-SPANS = "array<struct<kind:string,start:long,end:long>>"
+SPANS = ArrayType(StructType([StructField("kind", StringType()), StructField("start", LongType()), StructField("end", LongType())]))
 _ARROW = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 _SEQUENCE, _INTEGER, _OCTETS, _OID = 0x30, 0x02, 0x04, 0x06
 
@@ -176,7 +177,7 @@ def _spans(text: pa.Array) -> pa.Array:
     return pa.array([[{"kind": k, "start": s, "end": e} for k, s, e in find(t)] for t in text.to_pylist()], _ARROW)
 
 
-@F.arrow_udf("string")
+@F.arrow_udf(StringType())
 def _masked(text: pa.Array) -> pa.Array:
     return pa.array([mask(t) for t in text.to_pylist()], pa.string())
 
