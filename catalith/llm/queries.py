@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, jaccard_join, quality_rules, secret_scan
+from . import bpe, chat_format, decontaminate, jaccard_join, quality_rank, quality_rules, secret_scan, url_filter, warc_index
 from .common import table
 
 
@@ -88,15 +88,46 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens_digest(table(spark, sf_dir, "documents"))
 
 
+def op2_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc_index.round_trip(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP2_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h, octet_length(encode(coalesce(html, ''))) AS n, sha1(coalesce(html, '')) AS d FROM pages),
+m AS (SELECT d, max(page_id) AS head FROM p WHERE n >= 1000 GROUP BY d)
+SELECT page_id, n::BIGINT AS payload_bytes, d AS payload_digest, CASE WHEN head IS NOT NULL AND head IS DISTINCT FROM page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN head IS DISTINCT FROM page_id THEN head END AS refers_to
+FROM p LEFT JOIN m USING (d)
+"""
+
+
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages").select("page_id", "url"))
+
+
+def op4_quality_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rank.rank(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
+
+
+def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_format.format_chats(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_warc_index": op2_warc_index,
+    "op3_url_filter": op3_url_filter,
+    "op4_quality_rank": op4_quality_rank,
     "op5_quality_rules": op5_quality_rules,
     "op6_decontaminate": op6_decontaminate,
     "op7_secret_scan": op7_secret_scan,
     "op8_jaccard_join": op8_jaccard_join,
     "op9_bpe": op9_bpe,
+    "op10_chat_format": op10_chat_format,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_warc_index": OP2_SQL,
     "op5_quality_rules": OP5_SQL,
     "op8_jaccard_join": OP8_SQL,
 }
