@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat_format, decontaminate, jaccard_join, quality_rank, quality_rules, secret_scan, url_filter, warc_index
+from . import bpe, chat_format, decontaminate, jaccard_join, pii_surrogates, quality_rank, quality_rules, secret_scan, url_filter, warc_index
 from .common import table
 
 
@@ -88,6 +88,11 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens_digest(table(spark, sf_dir, "documents"))
 
 
+def op1_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its personal data replaced."""
+    return pii_surrogates.replace(table(spark, sf_dir, "documents").select("doc_id", "text"), key="catalith").select("doc_id", "text", F.map_entries("entities").alias("entities"))
+
+
 def op2_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = warc_index.round_trip(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -115,6 +120,7 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_pii_surrogates": op1_pii_surrogates,
     "op2_warc_index": op2_warc_index,
     "op3_url_filter": op3_url_filter,
     "op4_quality_rank": op4_quality_rank,
