@@ -125,7 +125,7 @@ def list_files(files: DataFrame, versions: DataFrame, tags: DataFrame, parent: s
     by = F.col(column).desc() if direction == "desc" else F.col(column).asc()
     page = rows.orderBy(by, F.col("file_id").asc()).limit(limit_of(limit))
     own = tags.join(page.select(F.col("file_id").alias("path_id")), "path_id", "left_semi").groupBy("path_id").agg(F.array_join(F.array_sort(F.collect_set("tag")), ",").alias("tags"))
-    out = page.join(own.withColumnRenamed("path_id", "file_id"), "file_id", "left")
+    out = page.join(own.withColumnRenamed("path_id", "file_id"), "file_id", "left").orderBy(by, F.col("file_id").asc())
     return out.select("file_id", "file_name", "user_id", F.coalesce("head_size", "file_size").alias("size"), F.coalesce("head_mtime", "updated_at").alias("mtime"), "mime_type", F.coalesce("tags", F.lit("")).alias("tags"))
 
 
