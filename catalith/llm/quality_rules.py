@@ -97,7 +97,9 @@ def measures(docs: DataFrame, text: str = "text", out: str = "quality") -> DataF
         ratio(c("chars"), n).alias("mean_word_length"), ratio(c("symbols"), n).alias("symbol_ratio"), ratio(c("stops"), n).alias("stop_ratio"),
         ratio(c("dups"), c("lines")).alias("dup_line_ratio"), ratio(c("repeat"), n).alias("repeat_ratio"),
     )
-    return step.withColumn(out, result).drop(*(_P + x for x in "t w l symbols n chars stops lines dups h s repeat".split()))
+    # Generated, so that a filter on the verdict is not pushed below and does not repeat the work of every step.
+    step = step.select("*", F.explode(F.array(result)).alias(_P + "result"))
+    return step.withColumn(out, F.col(_P + "result")).drop(_P + "result", *(_P + x for x in "t w l symbols n chars stops lines dups h s repeat".split()))
 
 
 def _twin(ordered: Column):
