@@ -11,8 +11,9 @@
    position.  Decoding joins ids with the table of token bytes, which is bounded
    by the vocabulary.
 
-Blocks are stored once in the shared folder, so that codes and words of a block
-always come from the same run of the splitter.
+Blocks are stored once as a bucketed table in the shared warehouse, so that codes
+and words of a block always come from the same run of the splitter, and positions
+are not shuffled at all.
 
 Defined results: null and empty texts have no ids; rows with a null or repeated
 id each get their own result; an empty table gives an empty table; other columns
@@ -34,10 +35,10 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import bucketed
 
 #: Text bytes of a block, about.
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 5 << 20
 _BLOCKS = "block long, doc_ids array<long>, counts array<long>, codes binary, parts array<struct<owner:int,words:binary>>"
 _PARTS = pa.list_(pa.struct([("owner", pa.int32()), ("words", pa.binary())]))
 
@@ -184,7 +185,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_column: st
     held = spark.sparkContext.broadcast(ranks)  # bounded by the vocabulary
     owners = int(spark.conf.get("spark.sql.shuffle.partitions"))
     docs = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    blocks = stored(docs.mapInArrow(_split(held, pattern, owners), _BLOCKS), "blocks")
+    blocks = bucketed(docs.mapInArrow(_split(held, pattern, owners), _BLOCKS), "block", owners)
     words = blocks.select("block", F.explode("parts").alias("part")).select("block", "part.owner", "part.words")
     coded = words.repartition(owners, "owner").mapInArrow(_encode(held), "block long, owner int, ids binary")
     # A block without words of its own still meets its codes.

@@ -14,6 +14,7 @@ SPACE_CLASS = r"[\x20\x09-\x0D]"
 WORD_CLASS = r"[^\x20\x09-\x0D]"
 
 _scratch: list[tuple[SparkSession, str]] = []
+_tables: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -46,7 +47,21 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, column: str, n: int) -> DataFrame:
+    """As ``stored``, but as a table in the warehouse, in ``n`` buckets by ``column``: a later join by it does not shuffle these rows."""
+    spark, name = df.sparkSession, f"catalith_{uuid.uuid4().hex}"
+    _tables.append((spark, name))
+    df.write.format("parquet").option("compression", "zstd").bucketBy(n, column).saveAsTable(name)
+    return spark.table(name)
+
+
 def _clean() -> None:
+    for spark, name in _tables:
+        try:
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
+        except Exception:  # the session may be gone by then
+            break
+
     for spark, path in _scratch:
         try:
             jvm = spark.sparkContext._jvm
