@@ -13,11 +13,11 @@ is 0.75 or more.  The method:
    shingle of a group's prefix is a row, rows of one shingle are a *run*, and
    pairs in a run pass size, index-prefix and position filters.
 4. Group pairs are expanded to their members, and members are verified by the
-   exact intersection of their sets.
+   exact intersection of their sets, after a bound from small sketches of them.
 
 The result is connected components, so that not every pair of a large group of
 copies has to be verified.  A first round verifies a sparse set of pairs (runs:
-neighbours by size and a star; groups: a star).  A second round verifies every
+neighbours by size and two stars; groups: a star).  A second round verifies every
 remaining candidate pair whose members are not connected by then.  No link
 between components is lost: a candidate pair is either verified or connected.
 
@@ -46,7 +46,7 @@ from .components import components
 #: The similarity as a fraction (fixed values).
 NUM, DEN = 3, 4
 #: At most so many of the most frequent shingles come last in the order.
-DEMOTED = 1 << 20
+DEMOTED = 1 << 19
 #: Bits of the Bloom filter at most, and rows of a run that are held at once.
 BLOOM_BITS, RUN = 1 << 26, 1 << 17
 _U = np.uint64
@@ -68,12 +68,12 @@ def _index_prefix(n):
 
 
 def _frequent_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Shingles that three or more different sets of some four million shingles share."""
+    """Shingles that two or more different sets of some four million shingles share."""
     held, size, seen = [], 0, set()
 
     def counted() -> pa.RecordBatch:
         value, count = np.unique(np.concatenate(held), return_counts=True) if held else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-        often = count > 2
+        often = count > 1
         return pa.RecordBatch.from_arrays([pa.array(value[often].view(np.int64)), pa.array(count[often].astype(np.int64))], ["token", "count"])
 
     for b in batches:
@@ -119,17 +119,18 @@ class Order:
 
 
 def _described(order: Order):
-    """Per row: id, size, signatures of the set and of the prefix."""
+    """Per row: id, size, signatures of the set and of the prefix, and the sketch: how many shingles begin with each byte, 255 for more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n, sig, psig = [], [], []
+            n, sig, psig, sketch = [], [], [], []
             for _, _, sets in shingles.shingle_sets(b.column(1)):
                 for s in sets:
                     n.append(len(s))
+                    sketch.append(np.minimum(np.bincount((s >> _U(56)).astype(np.int64), minlength=256), 255).astype(np.uint8).tobytes())
                     sig.append(shingles.signature(s))
                     psig.append(shingles.signature(order.prefix(s)))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(sig, pa.int64()), pa.array(psig, pa.int64())], ["doc_id", "n", "sig", "psig"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(sig, pa.int64()), pa.array(psig, pa.int64()), pa.array(sketch, pa.binary())], ["doc_id", "n", "sig", "psig", "sketch"])
 
     return run
 
@@ -300,6 +301,18 @@ def _set_rows(bitmap: np.ndarray, bits: int):
     return run
 
 
+def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs (a, b, sizes, sketches) whose sketches allow an intersection that links: it is at most the sum of the least counts."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, 8192):
+            part = batch.slice(i, 8192)
+            n1, n2 = part.column(2).to_numpy(), part.column(3).to_numpy()
+            x, y = (np.frombuffer(b"".join(part.column(k).to_pylist()), np.uint8).reshape(-1, 256) for k in (4, 5))
+            least = np.minimum(x, y)
+            ok = (least.sum(axis=1, dtype=np.int64) >= _needed(n1, n2)) | (least == 255).any(axis=1)
+            yield part.select([0, 1]).filter(pa.array(ok))
+
+
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs (a, b, tokens of a, tokens of b) whose sets link."""
     for batch in batches:
@@ -311,15 +324,17 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select([0, 1]).filter(pa.array(ok))
 
 
-def _verify(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs ``a, b`` of classes whose sets link."""
+def _verify(docs: DataFrame, pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+    """The pairs ``a, b`` of classes whose sets link; the sketches, a sixteenth of the sets or less, are compared first."""
     spark = docs.sparkSession
+    near = lambda of: sketches.select(F.col("sig").alias(of), F.col("n").alias(f"n_{of}"), F.col("sketch").alias(f"s_{of}"))
+    pairs = stored(pairs.join(near("b"), "b").join(near("a"), "a").select("a", "b", "n_a", "n_b", "s_a", "s_b").mapInArrow(_sketched, "a long, b long"), "near")
     ids = pairs.select(F.col("a").alias("sig")).union(pairs.select("b"))
     count = pairs.count()
     bits = min(BLOOM_BITS, max(1 << 16, 1 << (32 * count + 1).bit_length()))
-    found = ids.mapInArrow(_bloom_words(bits), "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toPandas()
+    found = ids.mapInArrow(_bloom_words(bits), "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
     bitmap = np.zeros(bits // 64, np.int64)
-    bitmap[found["word"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64)
+    bitmap[found["word"].to_numpy()] = found["bits"].to_numpy()
     held = spark.sparkContext.broadcast(bitmap)
 
     def set_rows(batches):
@@ -342,8 +357,8 @@ def link(docs: DataFrame, id_column: str = "doc_id", text: str = "text", demoted
     texts = docs.select("text")
 
     counts = texts.mapInArrow(_frequent_counts, "token long, count long").groupBy("token").agg(F.sum("count").alias("count"))
-    top = counts.orderBy(F.desc("count"), "token").limit(demoted).toPandas()
-    frequent = spark.sparkContext.broadcast(top["token"].to_numpy(np.int64)[::-1].copy().view(np.uint64))
+    top = counts.orderBy(F.desc("count"), "token").limit(demoted).select("token").toArrow()
+    frequent = spark.sparkContext.broadcast(top["token"].to_numpy()[::-1].copy().view(np.uint64))
 
     def described(batches):
         return _described(Order(frequent.value))(batches)
@@ -351,9 +366,10 @@ def link(docs: DataFrame, id_column: str = "doc_id", text: str = "text", demoted
     def prefixes(batches):
         return _prefixes(Order(frequent.value))(batches)
 
-    rows = stored(docs.mapInArrow(described, "doc_id long, n long, sig long, psig long"), "sets")
+    rows = stored(docs.mapInArrow(described, "doc_id long, n long, sig long, psig long, sketch binary"), "sets")
     real = rows.where("n > 0 and doc_id is not null")
     classes = real.groupBy("sig").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("psig").alias("psig"))
+    sketches = real.groupBy("sig").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     groups = classes.groupBy("n", "psig").agg(F.min("sig").alias("gid"), F.count("*").alias("members"))
     # Members of groups of two and more, and links by a shared id.
     crowded = groups.where("members > 1").drop("members")
@@ -367,8 +383,14 @@ def link(docs: DataFrame, id_column: str = "doc_id", text: str = "text", demoted
     found = stored(runs.mapInArrow(_sparse_pairs, "a long, b long, meta long"), "runs")
     group_pairs = stored(_paired(found.where("meta is null")), "group_pairs")
     stars = members.where("gid != sig").select(F.col("gid").alias("a"), F.col("sig").alias("b"))
-    first = stored(_paired(group_pairs.union(stars)), "pairs")
-    linked = stored(_verify(docs, first).union(same_id), "links")
+    # In a long run every group is also paired with the one that has most rows in long runs: of near copies of one text, that text.
+    rows_of_runs = found.where("meta is not null").select(F.col("a").alias("token"), F.col("b").alias("gid"), F.shiftright("meta", 32).alias("n")).distinct()
+    busy = rows_of_runs.groupBy("gid").agg(F.count("*").alias("runs"))
+    weighed = stored(rows_of_runs.join(busy, "gid"), "weighed")
+    chief = weighed.groupBy("token").agg(F.max(F.struct("runs", "gid", "n")).alias("top")).select("token", F.col("top.gid").alias("b"), F.col("top.n").alias("m"))
+    chiefs = weighed.join(chief, "token").where(F.least("n", "m") * DEN >= F.greatest("n", "m") * NUM).select(F.col("gid").alias("a"), "b")
+    first = stored(_paired(group_pairs.union(stars).union(chiefs)), "pairs")
+    linked = stored(_verify(docs, first, sketches).union(same_id), "links")
 
     comp = components(linked)
     named = lambda of: comp.select(F.col("vertex").alias(of), F.col("component").alias(f"c_{of}"))
@@ -396,7 +418,7 @@ def link(docs: DataFrame, id_column: str = "doc_id", text: str = "text", demoted
     second = with_c(with_c(second, "a"), "b").where("c_a != c_b").select("a", "b").join(first, ["a", "b"], "left_anti")
     second = stored(second, "second")
     if not second.isEmpty():
-        comp = components(stored(_verify(docs, second), "links").union(linked))
+        comp = components(stored(_verify(docs, second, sketches), "links").union(linked))
 
     least = with_c(classes.select("sig", "least"), "sig")
     ends = least.groupBy("c_sig").agg(F.min("least").alias("component_id"))
