@@ -16,14 +16,17 @@ distance of a quarter of the item's words.  Words are runs of letters and digits
 3. Candidates are verified by the exact edit distance of the item to the best
    stretch around the window.
 
+A text of fewer words than an item, but not by more than the allowed edits, has
+no window of the item's size: if it keeps enough of the item's word pairs, the
+item is verified against the whole text, without LSH.  Items of fewer than LEAST
+words are leaked by exact copies only, found by hashes of all windows of their size.
+
 The benchmark is held by every task, in blocks of bounded size; a larger one is
 run block by block against all rows.  Documents are read in place without a
 shuffle, so neither sources nor groups of copies make a hot task.
 
-Defined results: null and empty texts, and texts shorter than an item, leak
-nothing of it; items of fewer than LEAST words (null and empty ones too) are too
-short to tell a leak from chance and are not searched; repeated items each give
-their own result; an empty benchmark leaves every document clean; other columns
+Defined results: null and empty texts leak nothing; items without a word (null
+and empty ones too) are leaked by none; repeated items each give their own result; an empty benchmark leaves every document clean; other columns
 pass through, and a column already named like the output is replaced.
 """
 
@@ -39,7 +42,7 @@ from pyspark.sql import functions as F
 
 from . import shingles
 
-#: Edits allowed as a share of an item's words; words of the shortest item; bytes of items in a block.
+#: Edits allowed as a share of an item's words; words of the shortest item that may be edited; bytes of items in a block.
 EDITS, LEAST, BLOCK_BYTES = 0.25, 8, 16 << 20
 #: LSH: sampled places of a trace, samples of one walk, target recall, repetitions at most.
 PLACES, SAMPLES, RECALL, MOST = 7, 24, 0.99, 480
@@ -174,10 +177,14 @@ class Index:
 
     def __init__(self, ids: list[int], texts: list[str | None], seed: int = 11):
         found: list[tuple[int, np.ndarray]] = []
+        self.short: dict[int, dict[bytes, list[int]]] = {}
         for i, j, hashes, owner in words(pa.array(texts, pa.string())):
             for k in range(i, j):
                 if len(item := hashes[owner == k - i]) >= LEAST:
                     found.append((ids[k], item))
+                elif len(item):
+                    self.short.setdefault(len(item), {}).setdefault(item.tobytes(), []).append(ids[k])
+        self.short_keys = {n: np.unique(_hashed(np.stack([np.frombuffer(x, np.uint64) for x in of]))) for n, of in self.short.items()}
         self.items = found
         self.repetitions = repetitions([x for _, x in found], seed=seed) if found else 0
         self.embedding = Embedding(self.repetitions, seed)
@@ -198,9 +205,8 @@ class Index:
         self.repeated = np.array([len(x) - len(np.unique(x)) for x in pairs], np.int64)
         self.known = np.sort(np.fromiter(self.table, np.uint64, len(self.table)))
 
-    def windows(self, hashes: np.ndarray, owner: np.ndarray) -> np.ndarray:
-        """The windows (size, start), inside one text, that have enough word pairs of some item of their size."""
-        p = _pairs(hashes)
+    def shared(self, p: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The items' word pairs in texts, as (item, place), by item and place; ``p`` are the pairs of the texts."""
         maybe = np.flatnonzero(self.hit[(p >> _U(44)).astype(np.int64)] & (owner[1:] == owner[:-1]))
         at = np.minimum(np.searchsorted(self.pairs, p[maybe]), len(self.pairs) - 1)
         real = self.pairs[at] == p[maybe]
@@ -209,7 +215,24 @@ class Index:
         place = np.repeat(maybe, often)
         item = self.owners[np.repeat(self.begin[at] - np.cumsum(often) + often, often) + np.arange(often.sum())]
         order = np.argsort(item, kind="stable")
-        item, place = item[order], place[order]
+        return item[order], place[order]
+
+    def whole(self, p: np.ndarray, owner: np.ndarray, item: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """Pairs (item, text): texts that are shorter than an item by no more than the allowed edits, and have enough of its word pairs."""
+        text = owner[place]
+        size, length = self.sizes[item], np.bincount(owner)[text]
+        ok = (length < size) & (length >= size - (EDITS * size).astype(np.int64))
+        if not ok.any():
+            return np.zeros((2, 0), np.int64)
+        # Each different pair of the item counts once, and repeated ones of the item count in full.
+        different = np.unique(np.stack([item[ok], text[ok], p[place[ok]].view(np.int64)]), axis=1)
+        (item, text), count = np.unique(different[:2], axis=1, return_counts=True)
+        size = self.sizes[item]
+        ok = count + self.repeated[item] >= np.maximum(1, size - 1 - 2 * (EDITS * size).astype(np.int64))
+        return np.stack([item[ok], text[ok]])
+
+    def windows(self, p: np.ndarray, owner: np.ndarray, item: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """The windows (size, start), inside one text, that have enough word pairs of some item of their size."""
         size = self.sizes[item]
         need = np.maximum(1, size - 1 - 2 * (EDITS * size).astype(np.int64))
         last = np.arange(len(item)) + need - 1
@@ -220,7 +243,7 @@ class Index:
         count = upto - first + 1
         start = np.repeat(first - np.cumsum(count) + count, count) + np.arange(count.sum())
         size, item = np.repeat(size, count), np.repeat(item, count)
-        ok = (start >= 0) & (start + size <= len(hashes))
+        ok = (start >= 0) & (start + size <= len(owner))
         start, size, item = start[ok], size[ok], item[ok]
         ok = owner[start] == owner[start + size - 1]
         item, start = np.unique(np.stack([item[ok], start[ok]]), axis=1)
@@ -245,22 +268,51 @@ class Index:
                 found.update((k, w) for k in self.table[key])
         return np.array(sorted(found), np.int64).reshape(-1, 2)
 
+    def copies(self, hashes: np.ndarray, owner: np.ndarray) -> Iterator[tuple[int, dict]]:
+        """Exact copies of the items of fewer than LEAST words: the text and its leak, at the first place."""
+        for n, of in self.short.items():
+            if len(hashes) < n:
+                continue
+            view = np.lib.stride_tricks.sliding_window_view(hashes, n)
+            known, keys = self.short_keys[n], _hashed(view)
+            at = np.flatnonzero((owner[: len(view)] == owner[n - 1 :]) & (known[np.minimum(np.searchsorted(known, keys), len(known) - 1)] == keys))
+            seen: set[tuple[int, bytes]] = set()
+            for start in at.tolist():
+                doc, row = int(owner[start]), view[start].tobytes()
+                if row in of and (doc, row) not in seen:
+                    seen.add((doc, row))
+                    first = int(np.searchsorted(owner, doc))
+                    for item_id in of[row]:
+                        yield doc, {"item_id": item_id, "distance": 0, "first_word": start - first, "words": n}
+
     def search(self, column: pa.Array) -> list[list[dict]]:
-        """The leaks of every text, one for each item, by item."""
+        """The leaks of every text, one for each item: short items first, then by item."""
         out: list[list[dict]] = [[] for _ in range(len(column))]
-        windows, stretches, places = [], [], []
-        for i, _, hashes, owner in words(column) if self.items else ():
-            if len(hashes) < LEAST:
+        windows, stretches, places, direct = [], [], [], []
+        for i, _, hashes, owner in words(column) if self.items or self.short else ():
+            for doc, leak in self.copies(hashes, owner):
+                out[i + doc].append(leak)
+            if not self.items or len(hashes) < 2:
                 continue
-            for size, start in self.windows(hashes, owner).T.tolist():
+            p = _pairs(hashes)
+            item, place = self.shared(p, owner)
+            for k, doc in self.whole(p, owner, item, place).T.tolist():
+                direct.append((k, len(stretches)))
+                stretches.append(hashes[slice(*np.searchsorted(owner, [doc, doc + 1]))])
+                places.append((i + doc, 0))
+            for size, start in self.windows(p, owner, item, place).T.tolist():
                 doc, slack = int(owner[start]), int(EDITS * size)
                 first = int(np.searchsorted(owner, doc))
                 lo, hi = max(first, start - slack), min(int(np.searchsorted(owner, doc, side="right")), start + size + slack)
-                windows.append(hashes[start : start + size])
+                windows.append((len(stretches), hashes[start : start + size]))
                 stretches.append(hashes[lo:hi])
                 places.append((i + doc, lo - first))
         found: dict[tuple[int, int], tuple] = {}
-        pairs = self.candidates(*_rows(windows)) if windows else np.zeros((0, 2), np.int64)
+        pairs = np.array(direct, np.int64).reshape(-1, 2)
+        if windows:
+            met = self.candidates(*_rows([x for _, x in windows]))
+            met[:, 1] = np.array([w for w, _ in windows])[met[:, 1]]
+            pairs = np.concatenate([pairs, met])
         for c in range(0, len(pairs), 1024):
             item, window = pairs[c : c + 1024].T
             best = distances((self.rows[item], self.sizes[item]), _rows([stretches[w] for w in window.tolist()]))
@@ -277,6 +329,13 @@ def _named(pairs: np.ndarray, item: np.ndarray) -> np.ndarray:
     return shingles.mix(pairs + item * _U(0x9E3779B97F4A7C15))
 
 
+def _hashed(rows: np.ndarray) -> np.ndarray:
+    key = np.zeros(len(rows), np.uint64)
+    for k in range(rows.shape[1]):
+        key = shingles.mix(key * _U(3) + rows[:, k])
+    return key
+
+
 def _pairs(hashes: np.ndarray) -> np.ndarray:
     return shingles.mix(hashes[:-1] * _U(3) + hashes[1:])
 

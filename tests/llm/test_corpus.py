@@ -121,6 +121,24 @@ def test_decontamination_finds_edited_items(spark, odd, nothing):
     assert decontaminate.clean(odd, bench.limit(0)).count() == odd.count()
 
 
+def test_decontamination_finds_short_texts_and_short_items(spark):
+    long, mid, eight = ([f"{c}{j}" for j in range(n)] for c, n in (("p", 59), ("q", 20), ("s", 8)))
+    items = [(1, " ".join(long)), (2, " ".join(mid)), (3, " ".join(eight)), (4, "two words"), (5, "Alone"), (6, "one of five words here"), (7, "two words"), (8, " ".join(["la"] * 12))]
+    rows = {
+        1: (" ".join(long[7:]), {1: 7}), 2: (" ".join(mid[:9] + mid[10:]), {2: 1}), 3: (" ".join(eight[1:7]), {3: 2}), 4: (" ".join(long[:44]), {}), 5: (" ".join(long[15:]), {}),
+        6: (" ".join(long[:45]), {1: 14}), 7: (" ".join(mid[:14]), {}), 8: ("the two  Words, two words", {4: 0, 7: 0}), 9: ("alone", {5: 0}), 10: ("two", {}), 11: ("words two", {}),
+        12: ("one of five words", {}), 13: ("is one of five words here", {6: 0}), 14: ("la " * 9, {8: 3}), 15: ("la " * 8, {}), 16: (" ".join(mid[:8] + ["x"] + mid[9:19]), {2: 2}),
+    }
+    # Texts 10 and 11 stand side by side: no leak crosses two texts.
+    df = spark.createDataFrame([(k, t) for k, (t, _) in rows.items()], "doc_id long, text string").coalesce(1)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {r.doc_id: {x.item_id: x.distance for x in r.leaks} for r in decontaminate.search(df, bench).collect()}
+    assert got == {k: want for k, (_, want) in rows.items()}
+    assert [r.doc_id for r in decontaminate.clean(df, bench).orderBy("doc_id").collect()] == [k for k, (_, want) in rows.items() if not want]
+    only = decontaminate.search(df, bench.where("item_id = 4")).where("doc_id = 8").first().leaks[0]
+    assert (only.first_word, only.words) == (1, 2)
+
+
 def test_edit_distance_against_plain_programming():
     rng = np.random.default_rng(2)
     for _ in range(40):
