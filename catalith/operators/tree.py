@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def absolute_paths(folders: DataFrame, most: int = 200) -> DataFrame:
@@ -45,13 +46,15 @@ def breadcrumbs(folders: DataFrame, leaves: DataFrame, most: int = 200) -> DataF
 
 
 def resolve_links(links: DataFrame, most: int = 40) -> DataFrame:
-    """Links (path, target) followed to their ends; ELOOP after ``most`` hops."""
-    return links.sparkSession.sql(
-        """WITH RECURSIVE r(path, target, hops) AS (
-            SELECT path, target, 1 FROM {links}
-            UNION ALL SELECT r.path, l.target, r.hops + 1 FROM r JOIN {links} l ON l.path = r.target WHERE r.hops <= {most})
-        SELECT path, CASE WHEN max(hops) > {most} THEN NULL ELSE max_by(target, hops) END AS target, least(max(hops), {most}) AS hops,
-               CASE WHEN max(hops) > {most} THEN 'ELOOP' END AS error_code FROM r GROUP BY path""",
-        links=links,
-        most=most,
-    )
+    """Links (path, target) followed to their ends; ELOOP after ``most`` hops.
+
+    Each round doubles the hops taken, so that neither the levels nor the rows of a recursion bound the number of links.
+    """
+    walks = links.select("path", "target", F.lit(1).alias("hops"))
+    for _ in range(most.bit_length()):
+        on = walks.select(F.col("path").alias("__path"), F.col("target").alias("__target"), F.col("hops").alias("__hops"))
+        far = walks.join(on, F.col("target") == F.col("__path"), "left")
+        walks = far.select("path", F.when(F.col("__path").isNull(), F.col("target")).otherwise(F.col("__target")).alias("target"), (F.col("hops") + F.coalesce("__hops", F.lit(0))).alias("hops"))
+    ends = walks.groupBy("path").agg(F.max("hops").alias("far"), F.max_by("target", "hops").alias("target"))
+    lost = F.col("far") > most
+    return ends.select("path", F.when(~lost, F.col("target")).alias("target"), F.least("far", F.lit(most)).alias("hops"), F.when(lost, "ELOOP").alias("error_code"))

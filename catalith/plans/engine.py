@@ -145,8 +145,17 @@ _LINKS = "l AS (SELECT 'l' || p_partkey AS path, CASE WHEN p_partkey % 60 = 0 TH
 @query(f"""WITH RECURSIVE {_LINKS}, r AS (SELECT path, target, 1 AS hops FROM l UNION ALL SELECT r.path, l.target, r.hops + 1 FROM r JOIN l ON l.path = r.target WHERE r.hops <= 40)
     SELECT path, CASE WHEN max(hops) > 40 THEN NULL ELSE arg_max(target, hops) END AS target, least(max(hops), 40) AS hops, CASE WHEN max(hops) > 40 THEN 'ELOOP' END AS error_code FROM r GROUP BY 1""")
 def symlink_resolve(spark, d):
-    links = source(spark, d, "part").where("p_partkey < 700").selectExpr("concat('l', p_partkey) AS path", "CASE WHEN p_partkey % 60 = 0 THEN concat('file', p_partkey) WHEN p_partkey % 601 = 1 THEN concat('l', p_partkey) ELSE concat('l', p_partkey + 1) END AS target")
-    return tree.resolve_links(links)
+    return tree.resolve_links(_links(source(spark, d, "part").where("p_partkey < 700")))
+
+
+@query()
+def symlink_resolve_all(spark, d):
+    """The links of all of part; the SQL of symlink_resolve holds a subset of ids only."""
+    return tree.resolve_links(_links(source(spark, d, "part")))
+
+
+def _links(part):
+    return part.selectExpr("concat('l', p_partkey) AS path", "CASE WHEN p_partkey % 60 = 0 THEN concat('file', p_partkey) WHEN p_partkey % 601 = 1 THEN concat('l', p_partkey) ELSE concat('l', p_partkey + 1) END AS target")
 
 
 @query("""SELECT page_id, regexp_extract(url, '([^/]*)$', 1) AS base, CASE WHEN regexp_extract(url, '^(.*)/[^/]*$', 1) = '' THEN '/' ELSE regexp_extract(url, '^(.*)/[^/]*$', 1) END AS dir,
