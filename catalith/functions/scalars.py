@@ -124,10 +124,13 @@ def byte_range(header: Column, size: Column) -> Column:
 
 
 def fnv(text: Column) -> Column:
-    """FNV-1a over the code points of ASCII text, as a signed 32-bit number in a long."""
+    """FNV-1a over the UTF-16 units of a text, as a signed 32-bit number in a long."""
     mask = F.lit(0xFFFFFFFF)
-    step = lambda h, c: (h.bitwiseXOR(F.ascii(c).cast("long")) * F.lit(16777619)).bitwiseAND(mask)
-    h = F.aggregate(F.filter(F.split(text, ""), lambda c: c != ""), F.lit(2166136261).cast("long"), step)
+    step = lambda h, u: (h.bitwiseXOR(u) * F.lit(16777619)).bitwiseAND(mask)
+    hexed = F.hex(F.encode(text, "UTF-16BE"))
+    unit = lambda i: F.conv(F.substring(hexed, 4 * i + 1, F.lit(4)), 16, 10).cast("long")
+    units = F.transform(F.slice(F.sequence(F.lit(0), F.length(hexed)), F.lit(1), (F.length(hexed) / 4).cast("int")), unit)
+    h = F.aggregate(units, F.lit(2166136261).cast("long"), step)
     return F.when(h >= 1 << 31, h - F.lit(1 << 32)).otherwise(h)
 
 

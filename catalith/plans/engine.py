@@ -43,6 +43,13 @@ def chunk_split(spark, d):
     return chunks.split(b, 64, "item_id").drop("data")
 
 
+@query()
+def chunk_split_all(spark, d):
+    """Every benchmark text; the SQL of chunk_split holds ASCII texts only, as DuckDB cuts by characters."""
+    b = source(spark, d, "benchmark").select("item_id", F.encode("text", "UTF-8").alias("data"))
+    return chunks.split(b, 64, "item_id").drop("data")
+
+
 @query("SELECT item_id, sha256(text) AS h FROM benchmark")
 def read_file(spark, d):
     b = source(spark, d, "benchmark").select("item_id", F.encode("text", "UTF-8").alias("data"))
@@ -196,6 +203,12 @@ def fnv_hash(spark, d):
     return source(spark, d, "pages").where("char_length(url) = octet_length(url)").select("page_id", scalars.fnv(F.col("url")).alias("h"))
 
 
+@query()
+def fnv_hash_all(spark, d):
+    """Every page; the SQL of fnv_hash holds ASCII urls only."""
+    return source(spark, d, "pages").select("page_id", scalars.fnv(F.col("url")).alias("h"))
+
+
 @query()
 def inode(spark, d):
     return catalog(spark, d, "files").select("file_id", arrow.inode(F.col("file_id")).alias("ino"))

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
 
 import pytest
 
 from catalith import plans
+from catalith.functions import scalars
 from catalith.operators import tree
 
 DIR = "/root/testdata/sf0.01"
@@ -32,3 +34,35 @@ def test_all_links_are_resolved(spark):
     links = {f"l{k}": f"file{k}" if k % 60 == 0 else f"l{k}" if k % 601 == 1 else f"l{k + 1}" for k in keys}
     got = {r.path: (r.target, r.hops, r.error_code) for r in plans.QUERIES["symlink_resolve_all"](spark, DIR).collect()}
     assert len(keys) > 700 and got == {p: follow(links, p) for p in links}
+
+
+def fnv(text):
+    h, data = 2166136261, text.encode("utf-16-be")
+    for k in range(0, len(data), 2):
+        h = (h ^ int.from_bytes(data[k : k + 2])) * 16777619 % 2**32
+    return h - 2**32 if h >= 2**31 else h
+
+
+def test_fnv_beyond_ascii(spark):
+    texts = ["", "a", "http://b.net/é?q", "日本", "x😀y", "Straße/ñ", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert {r.t: r.h for r in df.select("t", scalars.fnv(df["t"]).alias("h")).collect()} == {t: None if t is None else fnv(t) for t in texts}
+
+
+def test_whole_urls_are_hashed(spark, tmp_path):
+    pages = [(1, "http://a.com/x"), (2, "http://b.net/é"), (3, "http://c.org/😀")]
+    spark.createDataFrame(pages, "page_id long, url string").write.parquet(str(tmp_path / "pages.parquet"))
+    assert {r.page_id: r.h for r in plans.QUERIES["fnv_hash_all"](spark, str(tmp_path)).collect()} == {i: fnv(u) for i, u in pages}
+
+
+@tables
+def test_all_texts_are_split(spark):
+    want = {}
+    rows = spark.read.parquet(f"{DIR}/benchmark.parquet").collect()
+    for r in rows:
+        data = r.text.encode()
+        for k in range(max(1, -(-len(data) // 64))):
+            part = data[64 * k : 64 * k + 64]
+            want[r.item_id, k] = (hashlib.sha256(part).hexdigest(), len(part))
+    got = {(r.item_id, r.chunk_index): (r.chunk_hash, r.chunk_size) for r in plans.QUERIES["chunk_split_all"](spark, DIR).collect()}
+    assert any(not r.text.isascii() for r in rows) and got == want
