@@ -8,10 +8,12 @@ punctuation of numbers aside), so that its mentions get the same surrogate in
 whatever format each is written: coreference is kept.
 
 Surrogates are checked over the whole corpus: none may equal an entity or
-another's surrogate.  Losers of a collision try again with the next attempt;
-after ATTEMPTS the few left, as of formats with too few values, get a longer
-surrogate that a hash of the entity makes unique.  Distinct entities therefore
-stay distinct.
+another's surrogate.  Losers of a collision try again with the next attempt,
+until none is left.  Each attempt gives names a syllable more, so that the forms
+grow faster than the names; where a format has too few values, e-mail addresses
+get a letter more and numbers a digit more with each attempt from ATTEMPTS on.
+Distinct entities therefore stay distinct.  Only addresses (IPv4) cannot grow: if
+some are left after MOST attempts, a hash of the entity is put behind them.
 
 Only distinct entities and the texts that mention one are shuffled.  Mentions
 are made per distinct text, so that a group of copies is one text, and joined
@@ -34,7 +36,8 @@ TITLES = {"m": ("Mr", "Herr", "Monsieur", "Señor", "Sr", "Господин"), "
 #: Syllables and endings that surrogate names are made of, by script and gender (fixed values).
 SYLLABLES = {"latin": ("ba", "de", "fi", "ga", "ko", "la", "mi", "no", "pe", "ra", "so", "ta", "ve", "wi", "ju", "lo"), "cyrillic": ("ба", "ве", "ги", "да", "ко", "ла", "ми", "но", "пе", "ра", "со", "та", "фе", "ли", "жу", "ло")}
 ENDINGS = {("latin", "m"): ("n", "r", "s", "k"), ("latin", "f"): ("na", "ra", "sa", "ka"), ("cyrillic", "m"): ("н", "р", "с", "к"), ("cyrillic", "f"): ("на", "ра", "са", "ка")}
-ATTEMPTS = 4
+#: Attempts at a length, and in all.
+ATTEMPTS, MOST = 4, 64
 
 _EMAIL = r"(?<![\w.%+-])[\w.%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
 _IP = r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\.?\d)"
@@ -78,12 +81,15 @@ def candidate(kind: Column, canon: Column, key: str, attempt: int) -> Column:
         F.when(fixed(i), c).when(c.rlike(r"\d"), pick("0123456789", _number(h, i))).when(c.rlike(r"\p{IsCyrillic}"), pick(cyrillic, _number(h, i))).when(c.rlike(r"\p{L}"), pick(letters, _number(h, i))).otherwise(c)
     )
     spelled = F.array_join(F.transform(F.split(canon, ""), char), "")
+    if attempt >= ATTEMPTS:
+        more = lambda pool: F.concat(*(pick(pool, _number(h, F.lit(31 - k))) for k in range(attempt - ATTEMPTS + 1)))
+        spelled = F.when(kind == "email", F.concat(more(letters), spelled)).otherwise(F.concat(spelled, more("0123456789")))
     octet = lambda k: (F.pmod(_number(h, F.lit(k)), F.lit(254)) + 1).cast("string")
     address = F.concat_ws(".", *(octet(k) for k in range(4)))
 
     def name(script: str, gender: str) -> Column:
         of = lambda pool, n: F.element_at(F.array(*map(F.lit, pool)), 1 + F.pmod(n, F.lit(len(pool))))
-        word = lambda i, last: F.concat(*(of(SYLLABLES[script], _number(h, 5 * i + k)) for k in range(3)), of(ENDINGS[script, gender if last else "m"], _number(h, 5 * i + 3)))
+        word = lambda i, last: F.concat(*(of(SYLLABLES[script], _number(h, (5 + attempt) * i + k)) for k in range(3 + attempt)), of(ENDINGS[script, gender if last else "m"], _number(h, (5 + attempt) * i + 3 + attempt)))
         # Given names follow the gender; family names do not tell it.
         words = F.transform(F.split(canon, " "), lambda x, i: F.when((i == 0) & (F.size(F.split(canon, " ")) > 1), word(i, True)).otherwise(word(i, False)))
         return F.array_join(words, " ")
@@ -101,7 +107,7 @@ def written(kind: Column, value: Column, surrogate: Column) -> Column:
     ordinal = lambda i: F.length(F.regexp_replace(F.substring(value, F.lit(1), i + 1), r"[^\p{L}\p{N}]", ""))
     number = F.array_join(F.transform(chars, lambda c, i: F.when(c.rlike(r"[\p{L}\p{N}]"), cased(c, F.substring(surrogate, ordinal(i), F.lit(1)))).otherwise(c)), "")
     extra = F.substring(surrogate, F.length(canonical(kind, value)) + 1, F.length(surrogate))  # of a surrogate made longer
-    mail = F.array_join(F.transform(F.split(surrogate, ""), lambda s, i: cased(F.coalesce(F.get(chars, i), s), s)), "")
+    mail = F.array_join(F.transform(F.split(surrogate, ""), lambda s, i: cased(F.coalesce(F.get(chars, F.greatest(i - F.length(surrogate) + F.length(value), F.lit(0))), s), s)), "")
     return (
         F.when(kind.isin("phone", "account"), F.concat(number, extra)).when(kind == "email", mail).when(kind == "ip", surrogate)
         .otherwise(F.concat(F.regexp_extract(value, _TITLE, 0), F.initcap(surrogate)))
@@ -111,18 +117,18 @@ def written(kind: Column, value: Column, surrogate: Column) -> Column:
 def surrogates(entities: DataFrame, key: str) -> DataFrame:
     """``kind, canon, surrogate`` for distinct ``kind, canon``: distinct ones, none of them an entity."""
     left, done = entities, None
-    real = entities.select("kind", F.col("canon").alias("form"), F.lit(1).alias("taken"), F.lit(None).cast("string").alias("canon"))
-    for attempt in range(ATTEMPTS):
+    taken = entities.select("kind", F.col("canon").alias("form"), F.lit(1).alias("taken"), F.lit(None).cast("string").alias("canon"))
+    for attempt in range(MOST):
         tried = left.select("kind", candidate(F.col("kind"), F.col("canon"), key, attempt).alias("form"), F.lit(0).alias("taken"), "canon")
-        used = real if done is None else real.union(done.select("kind", F.col("surrogate").alias("form"), F.lit(1).alias("taken"), F.lit(None).cast("string").alias("canon")))
-        met = tried.union(used).groupBy("kind", "form").agg(F.max("taken").alias("taken"), F.min("canon").alias("canon"))
-        won = met.where("taken = 0").select("kind", "canon", F.col("form").alias("surrogate"))
-        done = stored(won if done is None else done.union(won), "surrogates")
-        left = stored(entities.join(done, ["kind", "canon"], "left_anti"), "left")
+        met = tried.union(taken).groupBy("kind", "form").agg(F.max("taken").alias("taken"), F.min("canon").alias("canon"))
+        won = stored(met.where("taken = 0").select("kind", "canon", F.col("form").alias("surrogate")), "surrogates")
+        done = won if done is None else done.union(won)
+        left = stored(left.join(won, ["kind", "canon"], "left_anti"), "left")
         if left.isEmpty():
             return done
+        taken = taken.union(won.select("kind", F.col("surrogate").alias("form"), F.lit(1).alias("taken"), F.lit(None).cast("string").alias("canon")))
     tail = F.conv(F.substring(F.sha2(F.concat_ws("\x1f", F.lit(key), "kind", "canon"), 256), 1, 15), 16, 10)
-    return done.union(left.select("kind", "canon", F.concat(candidate(F.col("kind"), F.col("canon"), key, ATTEMPTS), tail)))
+    return done.union(left.select("kind", "canon", F.concat(candidate(F.col("kind"), F.col("canon"), key, 0), tail)))
 
 
 def replace(docs: DataFrame, key: str, text: str = "text", out: str = "entities") -> DataFrame:

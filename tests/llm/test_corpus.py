@@ -208,6 +208,22 @@ def test_surrogates_are_distinct_and_coreferent(spark, odd, nothing):
     assert first[0] == first[1] and first[0].split()[0].endswith("a") and re.search(r"Госпожа [А-Я][а-я]+", text)
 
 
+def test_surrogates_keep_their_shape_when_forms_run_out(spark, monkeypatch):
+    monkeypatch.setattr(pii_surrogates, "SYLLABLES", {"latin": ("ba", "de"), "cyrillic": ("ба", "ве")})
+    name = lambda k: chr(97 + k // 26) + "x" + chr(97 + k % 26)
+    shapes = {"name:latin:m": r"(ba|de)+[nrsk]", "email": r"[a-z]+@[a-z]\.co", "account": r"7\d+"}
+    rows = [("name:latin:m", name(k)) for k in range(150)] + [("email", f"{a}@{b}.co") for a in map(chr, range(97, 123)) for b in map(chr, range(97, 123))] + [("account", f"7{k}") for k in range(10)]
+    got = pii_surrogates.surrogates(spark.createDataFrame(rows, "kind string, canon string"), "k").collect()
+    assert sorted((r.kind, r.canon) for r in got) == sorted(rows)
+    forms = {(r.kind, r.surrogate) for r in got}
+    assert len(forms) == len(rows) and not forms & set(rows)
+    assert all(re.fullmatch(shapes[k], s) for k, s in forms) and max(len(s) for k, s in forms if k == "account") <= 6
+    texts = spark.createDataFrame([(k, f"to Mr {name(k).title()}, please") for k in range(150)] + [(200, "to A@B.CO")], "doc_id long, text string")
+    out = {r.doc_id: r.text for r in pii_surrogates.replace(texts, "k").collect()}
+    assert all(re.fullmatch(r"to Mr [BD][a-z]+, please", out[k]) for k in range(150)) and len(set(out.values())) == 151
+    assert re.fullmatch(r"to [A-Z]@[A-Z]\.CO", out[200])
+
+
 def test_capture_index_round_trip(spark):
     big = "x" * 2000
     rows = [(1, "http://a.example.com/1", big), (2, "http://A.example.com/1", big), (3, None, None), (4, "http://b.net/é?q#f", "short"), (5, "http://b.net/2", "short"), (6, "nourl", big + "é")]
