@@ -377,7 +377,8 @@ def link(docs: DataFrame, id_column: str = "doc_id", text: str = "text", demoted
     shared = real.groupBy("doc_id").agg(F.min("sig").alias("a"), F.max("sig").alias("z")).where("a < z")
     same_id = real.join(shared, "doc_id").select("a", F.col("sig").alias("b"))
 
-    heads = texts.mapInArrow(prefixes, "n long, sig long, psig long, prefix binary").groupBy("n", "psig").agg(F.min("sig").alias("gid"), F.min_by("prefix", "sig").alias("prefix"))
+    named_texts = docs.where("doc_id is not null").select("text")  # as in classes: a head is a row of its group
+    heads = named_texts.mapInArrow(prefixes, "n long, sig long, psig long, prefix binary").groupBy("n", "psig").agg(F.min("sig").alias("gid"), F.min_by("prefix", "sig").alias("prefix"))
     tokens = heads.select("gid", "n", "prefix").mapInArrow(_prefix_rows, "token long, gid long, meta long")
     runs = tokens.repartition(F.col("token")).sortWithinPartitions("token", F.shiftrightunsigned("meta", 32), "gid")
     found = stored(runs.mapInArrow(_sparse_pairs, "a long, b long, meta long"), "runs")

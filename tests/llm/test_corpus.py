@@ -101,6 +101,17 @@ def test_jaccard_join_edges(odd, nothing):
     assert jaccard_join.link(nothing).count() == 0
 
 
+def test_jaccard_join_keeps_links_beside_rows_without_an_id(spark):
+    rows, nameless = [], []
+    for k in range(50):
+        w = [f"g{k}w{j}" for j in range(40)]
+        rows += [(2 * k, " ".join(w)), (2 * k + 1, " ".join(["new", *w[1:]]))]
+        nameless += [(None, " ".join([*w[:-1], f"last{j}"])) for j in range(4)]
+    df = spark.createDataFrame(rows + nameless, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in jaccard_join.link(df).where("doc_id is not null").collect()}
+    assert got == components_of(rows)
+
+
 def test_decontamination_finds_edited_items(spark, odd, nothing):
     rng = np.random.default_rng(4)
     items = [(k, " ".join(f"b{k}x{j}" for j in range(24))) for k in range(20)] + [(98, "too short"), (99, None), (97, "")]
