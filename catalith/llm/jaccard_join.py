@@ -173,13 +173,14 @@ def _passes(meta1: np.ndarray, meta2: np.ndarray) -> np.ndarray:
     return (DEN * n1 >= NUM * n2) & (p1 < _index_prefix(n1)) & (np.minimum(n1 - p1, n2 - p2) >= _needed(n1, n2))
 
 
-def _runs(batches: Iterator[pa.RecordBatch], columns: int) -> Iterator[tuple[list[np.ndarray], np.ndarray]]:
-    """Rows sorted by their first column, as arrays that end where a run ends, with the index of each row's run's beginning.
+def _runs(batches: Iterator[pa.RecordBatch], columns: int) -> Iterator[tuple[list[np.ndarray], np.ndarray, bool]]:
+    """Rows sorted by their first column, as arrays that end where a run ends, with the index of each row's run's beginning, and whether the first run goes on from the part before.
 
     A run of over RUN rows is given in parts; each later part begins with the
     run's first row and the last row of the part before.
     """
     held: list[np.ndarray] | None = None
+    continued = False
     for b in batches:
         cols = [b.column(k).to_numpy() for k in range(columns)]
         if not len(cols[0]):
@@ -187,13 +188,13 @@ def _runs(batches: Iterator[pa.RecordBatch], columns: int) -> Iterator[tuple[lis
         held = cols if held is None else [np.concatenate(x) for x in zip(held, cols, strict=True)]
         cut = int(np.flatnonzero(held[0] != held[0][-1])[-1]) + 1 if held[0][0] != held[0][-1] else 0
         if cut:
-            yield _begun([x[:cut] for x in held])
-            held = [x[cut:] for x in held]
+            yield *_begun([x[:cut] for x in held]), continued
+            held, continued = [x[cut:] for x in held], False
         if len(held[0]) > RUN:
-            yield _begun(held)
-            held = [x[[0, -1]] for x in held]
+            yield *_begun(held), continued
+            held, continued = [x[[0, -1]] for x in held], True
     if held is not None:
-        yield _begun(held)
+        yield *_begun(held), continued
 
 
 def _begun(cols: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
@@ -207,7 +208,7 @@ def _sparse_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
     For runs of over three rows these are not all pairs; their rows are given too (``meta`` not null).
     """
-    for (token, gid, meta), begin in _runs(batches, 3):
+    for (token, gid, meta), begin, continued in _runs(batches, 3):
         i = np.arange(len(token))
         kind = np.floor(np.log(np.maximum(meta >> 32, 1)) / np.log(1.15)).astype(np.int64)
         new = begin == i
@@ -222,6 +223,8 @@ def _sparse_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         if len(a):
             a, b = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1) if len(a) < 1 << 16 else (np.minimum(a, b), np.maximum(a, b))
         long = np.bincount(begin, minlength=len(i))[begin] > 3
+        if continued:
+            long |= begin == 0
         none = pa.nulls(len(a), pa.int64())
         yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), none], ["a", "b", "meta"])
         yield pa.RecordBatch.from_arrays([pa.array(token[long]), pa.array(gid[long]), pa.array(meta[long])], ["a", "b", "meta"])

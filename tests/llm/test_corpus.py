@@ -8,6 +8,7 @@ import re
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -112,6 +113,14 @@ def test_jaccard_join_keeps_links_beside_rows_without_an_id(spark):
     assert got == components_of(rows)
 
 
+def test_rows_of_a_continued_run_are_long(monkeypatch):
+    monkeypatch.setattr(jaccard_join, "RUN", 5)
+    batch = lambda token, gid: pa.RecordBatch.from_arrays([pa.array(token), pa.array(gid), pa.array([(40 + g) << 32 for g in gid])], ["token", "gid", "meta"])
+    parts = [batch([1] * 6, [1, 2, 3, 4, 5, 6]), batch([1, 2, 2], [7, 8, 9]), batch([2, 3], [10, 11])]
+    rows = [r for b in jaccard_join._sparse_pairs(iter(parts)) for r in b.to_pylist() if r["meta"] is not None]
+    assert {(r["a"], r["b"]) for r in rows} == {(1, g) for g in range(1, 8)}
+
+
 def test_decontamination_finds_edited_items(spark, odd, nothing):
     rng = np.random.default_rng(4)
     items = [(k, " ".join(f"b{k}x{j}" for j in range(24))) for k in range(20)] + [(98, "too short"), (99, None), (97, "")]
