@@ -91,6 +91,37 @@ def gc_mark_sweep(spark, d):
     return chunks.sweep(refcount_drop(spark, d), 33_000).select("chunk_hash", "action")
 
 
+def _store_of(c):
+    return c.groupBy("chunk_hash").agg(F.max("chunk_size").alias("size"), F.count("*").alias("ref_count")).withColumn("deleted_at", F.when(F.col("size") % 7 == 0, F.lit(1000).cast("long")))
+
+
+def _put_all(spark, d):
+    c = catalog(spark, d, "file_chunks")
+    return chunks.put(_store_of(c.where("file_id % 2 = 0")), c.where("file_id % 2 <> 0"))
+
+
+@query()
+def dedup_put_all(spark, d):
+    """Even files in the store, all others put; the SQL of dedup_put leaves a third of the files out."""
+    return _put_all(spark, d)[0]
+
+
+@query()
+def put_outcome_all(spark, d):
+    return _put_all(spark, d)[1].select("chunk_hash", "file_id", "chunk_index", "outcome")
+
+
+@query()
+def refcount_drop_all(spark, d):
+    c = catalog(spark, d, "file_chunks")
+    return chunks.dropped_refs(_store_of(c), c, c.where("file_id % 4 = 0").select("file_id").distinct(), 5000)
+
+
+@query()
+def gc_mark_sweep_all(spark, d):
+    return chunks.sweep(refcount_drop_all(spark, d), 33_000).select("chunk_hash", "action")
+
+
 @query("""SELECT coalesce(e.file_id, l.file_id) AS upload_id, coalesce(e.chunk_index, l.chunk_index) AS chunk_index,
     CASE WHEN e.file_id IS NULL THEN 'EXTRA' WHEN l.file_id IS NULL THEN 'ENOENT' WHEN e.chunk_hash <> l.h THEN 'EBADF' ELSE 'OK' END AS code
     FROM (SELECT * FROM file_chunks WHERE chunk_size > 5) e FULL JOIN (SELECT *, CASE WHEN chunk_size % 11 = 0 THEN 'x' ELSE chunk_hash END AS h FROM file_chunks WHERE chunk_size < 45) l ON e.file_id = l.file_id AND e.chunk_index = l.chunk_index""", "file_chunks")
@@ -347,6 +378,14 @@ def dedupe_paths(spark, d):
     return mutations.deduplicated(f).select("id", "action")
 
 
+@query()
+def dedupe_folders(spark, d):
+    """Folders of one parent and length of name; those with children are skipped."""
+    f = catalog(spark, d, "folders")
+    rows = f.select(F.col("folder_id").alias("id"), "parent_id", F.length("name").cast("string").alias("name"), F.length("folder_id").alias("updated_at"))
+    return mutations.deduplicated(rows, f.where("parent_id IS NOT NULL")).select("id", "action")
+
+
 @query("SELECT vec_id, label FROM embeddings WHERE vec_id % 4 <> 0 UNION ALL SELECT vec_id, label + 100 FROM embeddings WHERE vec_id % 4 = 0 UNION ALL SELECT vec_id + 1000000, label + 100 FROM embeddings WHERE vec_id % 4 = 0")
 def upsert_vectors(spark, d):
     e = source(spark, d, "embeddings").select("vec_id", "label")

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import hashlib
 import os
+from collections import Counter
 
 import pytest
 
 from catalith import plans
+from catalith.adapters import catalog
 from catalith.functions import scalars
 from catalith.operators import tree
 
@@ -66,3 +68,39 @@ def test_all_texts_are_split(spark):
             want[r.item_id, k] = (hashlib.sha256(part).hexdigest(), len(part))
     got = {(r.item_id, r.chunk_index): (r.chunk_hash, r.chunk_size) for r in plans.QUERIES["chunk_split_all"](spark, DIR).collect()}
     assert any(not r.text.isascii() for r in rows) and got == want
+
+
+@tables
+def test_every_file_is_put_and_swept(spark):
+    rows = catalog(spark, DIR, "file_chunks").select("chunk_hash", "file_id", "chunk_index", "chunk_size").collect()
+    run = lambda name: plans.QUERIES[name](spark, DIR).collect()
+    refs, size, kept, old = Counter(), {}, Counter(), set()
+    old_size = {}
+    for r in rows:
+        refs[r.chunk_hash] += 1
+        kept[r.chunk_hash] += r.file_id % 4 != 0
+        size[r.chunk_hash] = max(size.get(r.chunk_hash, 0), r.chunk_size)
+        if r.file_id % 2 == 0:
+            old.add(r.chunk_hash)
+            old_size[r.chunk_hash] = max(old_size.get(r.chunk_hash, 0), r.chunk_size)
+    new = {r.chunk_hash for r in rows if r.file_id % 2}
+    mark = lambda of, h: 1000 if of[h] % 7 == 0 else None
+    assert {r.chunk_hash: (r.size, r.ref_count, r.deleted_at) for r in run("dedup_put_all")} == {h: (size[h], refs[h], None if h in new else mark(old_size, h)) for h in refs}
+    want = {(r.file_id, r.chunk_index): "deduplicated" if r.chunk_hash in old else "created" for r in rows if r.file_id % 2}
+    assert {(r.file_id, r.chunk_index): r.outcome for r in run("put_outcome_all")} == want
+    at = {h: mark(size, h) or (None if kept[h] else 5000) for h in refs}
+    assert {r.chunk_hash: (r.ref_count, r.deleted_at) for r in run("refcount_drop_all")} == {h: (kept[h], at[h]) for h in refs}
+    act = lambda h: "keep" if at[h] is None or at[h] >= 3000 else "unmark" if kept[h] else "delete"
+    assert {r.chunk_hash: r.action for r in run("gc_mark_sweep_all")} == {h: act(h) for h in refs}
+
+
+@tables
+def test_folders_with_children_are_skipped(spark):
+    rows, groups, want = catalog(spark, DIR, "folders").collect(), {}, {}
+    parents = {r.parent_id for r in rows}
+    for r in rows:
+        groups.setdefault((r.parent_id or "", len(r.name)), []).append((len(r.folder_id), r.folder_id))
+    for g in groups.values():
+        for k, (_, i) in enumerate(sorted(g, reverse=True)):
+            want[i] = "keep" if k == 0 else "skip" if i in parents else "drop"
+    assert {r.id: r.action for r in plans.QUERIES["dedupe_folders"](spark, DIR).collect()} == want and set(want.values()) == {"keep", "skip", "drop"}
