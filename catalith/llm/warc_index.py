@@ -1,10 +1,11 @@
 """WARC archives with a two-level capture index.
 
 Archives hold a gzip member for each record, written by tasks in place.  The
-index has a line for each capture, sorted by reversed-host URL key and page, in
-compressed blocks; an index file ends with its sparse directory, the first key
-of each block.  A reader binary-searches the index files, then a file's
-directory, reads one block by range, then one record by range.
+index has a line for each capture, sorted by one text of reversed-host URL key
+and page, in compressed blocks; an index file ends with its sparse directory,
+the first text of each block.  A reader binary-searches the index files, then a
+file's directory, reads one block by range, then one record by range.  Files,
+directories, blocks and searches all use that one text and its order by bytes.
 
 Only the first keys of index files, as many as there are tasks, are broadcast.
 Files are named by attempt, and only names that a finished task returned are
@@ -46,14 +47,14 @@ def url_key(url: str | None) -> str:
     return ",".join(reversed(host.split("."))) + (f":{port}" if port else "") + ")" + rest[end:].partition("#")[0].lower() if host else ""
 
 
-@F.arrow_udf(StringType())
-def _keys(url: pa.Array) -> pa.Array:
-    return pa.array([url_key(u) for u in url.to_pylist()], pa.string())
+def sort_key(url: str | None, page: int | None) -> str:
+    """What index lines are ordered and searched by: the URL key and the page."""
+    return f"{url_key(url)}\t{'' if page is None else format(page + 2**63, '020d')}"
 
 
-def _sort_key(key: str, page: int | None) -> str:
-    """What index lines are ordered by: key and page, in an order that text comparison keeps."""
-    return f"{key}\t{'' if page is None else format(page + 2**63, '020d')}"
+@F.arrow_udf(StringType())
+def _sort_keys(url: pa.Array, page: pa.Array) -> pa.Array:
+    return pa.array([sort_key(u, p) for u, p in zip(url.to_pylist(), page.to_pylist(), strict=True)], pa.string())
 
 
 def record(url: str | None, page: int | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
@@ -97,7 +98,7 @@ class _File:
         return at, len(data)
 
 
-_CAPTURES = "url_key string, page_id long, archive string, at long, size long"
+_CAPTURES = "sort_key string, archive string, at long, size long"
 
 
 def _archives(folder: str):
@@ -108,13 +109,13 @@ def _archives(folder: str):
             for url, page, payload, digest, refers_to in zip(*b.columns, strict=True):
                 url, page, payload, digest, refers_to = url.as_py(), page.as_py(), payload.as_py() or b"", digest.as_py(), refers_to.as_py()
                 file = file or _File(folder, "archive")
-                rows.append((url_key(url), page, file.name, *file.add(_gzip(record(url, page, payload, digest, refers_to)))))
+                rows.append((sort_key(url, page), file.name, *file.add(_gzip(record(url, page, payload, digest, refers_to)))))
                 if file.size >= ARCHIVE_BYTES:
                     file.out.close()
                     file = None
-            cols = list(zip(*rows, strict=True)) or [()] * 5
-            types = (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["url_key", "page_id", "archive", "at", "size"])
+            cols = list(zip(*rows, strict=True)) or [()] * 4
+            types = (pa.string(), pa.string(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["sort_key", "archive", "at", "size"])
         if file:
             file.out.close()
 
@@ -135,9 +136,9 @@ def _index(folder: str):
             directory.append([lines[0][0], at, size])
 
         for b in batches:
-            for key, page, archive, at, size in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for key, archive, at, size in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 file = file or _File(folder, "index")
-                lines.append([_sort_key(key, page), archive, at, size])
+                lines.append([key, archive, at, size])
                 if len(lines) == LINES:
                     flush()
                     lines = []
@@ -196,19 +197,23 @@ class Reader:
 _READ = "page_id long, url_key string, payload_bytes long, payload_digest string, record_type string, refers_to long, archive string, at long"
 
 
-def _read(reader_of):
+def _read(reader_of, required: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = reader_of()
         page_of = lambda x: int(x[10:-1]) if x and x[10:-1] else None
         for b in batches:
             rows = []
-            for key, page in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                for line in reader.captures(_sort_key(key, page)):
+            for wanted in b.column(0).to_pylist():
+                found = 0
+                for line in reader.captures(wanted):
+                    found += 1
                     h, payload = reader.record(line)
                     digest, n = h["WARC-Payload-Digest"].removeprefix("sha1:"), int(h["WARC-Payload-Length"])
                     if h["WARC-Type"] == "response" and (hashlib.sha1(payload).hexdigest(), len(payload)) != (digest, n):
                         raise ValueError(f"record {h['WARC-Record-ID']} does not have the payload that it names")
-                    rows.append((page_of(h["WARC-Record-ID"]), key, n, digest, h["WARC-Type"], page_of(h.get("WARC-Refers-To")), line[1], line[2]))
+                    rows.append((page_of(h["WARC-Record-ID"]), wanted.rpartition("\t")[0], n, digest, h["WARC-Type"], page_of(h.get("WARC-Refers-To")), line[1], line[2]))
+                if required and not found:
+                    raise ValueError(f"the index has no capture of {wanted!r}")
             cols = list(zip(*rows, strict=True)) or [()] * 8
             types = (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["page_id", "url_key", "payload_bytes", "payload_digest", "record_type", "refers_to", "archive", "at"])
@@ -231,20 +236,20 @@ class Captures:
         typed = rows.join(heads, "digest", "left").select("url", "page_id", "payload", "digest", refers.alias("refers_to"))
         captures = stored(typed.mapInArrow(_archives(folder), _CAPTURES), "captures")
         n = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        ordered = captures.repartitionByRange(n, "url_key", "page_id", "archive", "at").sortWithinPartitions("url_key", "page_id", "archive", "at")
+        ordered = captures.repartitionByRange(n, "sort_key", "archive", "at").sortWithinPartitions("sort_key", "archive", "at")
         files = ordered.mapInArrow(_index(folder), _FILES).collect()  # one row a task
         return cls(folder, [tuple(f) for f in files])
 
-    def read(self, wanted: DataFrame, id_column: str = "page_id", url: str = "url") -> DataFrame:
-        """The records of the rows' pages and URLs, each capture once."""
-        rows = wanted.select(_keys(F.col(url)).alias("url_key"), F.col(id_column).cast("long").alias("page_id")).distinct()
+    def read(self, wanted: DataFrame, id_column: str = "page_id", url: str = "url", required: bool = False) -> DataFrame:
+        """The records of the rows' pages and URLs, each capture once; with ``required`` a row without a capture is an error."""
+        rows = wanted.select(_sort_keys(F.col(url), F.col(id_column).cast("long")).alias("sort_key")).distinct()
         n = int(wanted.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         held = wanted.sparkSession.sparkContext.broadcast((self.folder, self.files))
-        ordered = rows.repartitionByRange(n, "url_key", "page_id").sortWithinPartitions("url_key", "page_id")
-        return ordered.mapInArrow(_read(lambda: Reader(*held.value)), _READ)
+        ordered = rows.repartitionByRange(n, "sort_key").sortWithinPartitions("sort_key")
+        return ordered.mapInArrow(_read(lambda: Reader(*held.value), required), _READ)
 
 
-def round_trip(pages: DataFrame, **names) -> DataFrame:
-    """Write all rows to archives in the shared folder and read them back through the index."""
+def round_trip(pages: DataFrame, id_column: str = "page_id", url: str = "url", payload: str = "html") -> DataFrame:
+    """Write all rows to archives in the shared folder and read them back through the index; a row that is not found is an error."""
     folder = scratch_path(pages.sparkSession, "warc")
-    return Captures.write(pages, folder, **names).read(pages)
+    return Captures.write(pages, folder, id_column, url, payload).read(pages, id_column, url, required=True)
