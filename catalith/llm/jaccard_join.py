@@ -4,7 +4,8 @@ Two documents link when the Jaccard similarity of their sets of word shingles
 is 0.75 or more.  The method:
 
 1. Documents with the same set are one *class*; a class is named by a 64-bit
-   signature of its set and size.
+   signature of its set and size.  Names that two different sets share are found
+   by a second signature, and all but one of these sets get another name.
 2. Shingles have one global order: ordinary ones by hash, then the most frequent
    ones, the rarest first.  The order decides cost only, never the result, so the
    list of frequent shingles may be bounded.
@@ -20,6 +21,8 @@ copies has to be verified.  A first round verifies a sparse set of pairs (runs:
 neighbours by size and two stars; groups: a star).  A second round verifies every
 remaining candidate pair whose members are not connected by then.  No link
 between components is lost: a candidate pair is either verified or connected.
+In it a run of over BLOCK rows is cut into blocks, and each two blocks are a piece
+of work of their own, so that a shingle of very many groups is spread over tasks.
 
 Nothing is collected but the list of frequent shingles (``demoted`` at most) and
 a Bloom filter of bounded size, which only saves shuffling.
@@ -47,8 +50,8 @@ from .components import components
 NUM, DEN = 3, 4
 #: At most so many of the most frequent shingles come last in the order.
 DEMOTED = 1 << 19
-#: Bits of the Bloom filter at most, and rows of a run that are held at once.
-BLOOM_BITS, RUN = 1 << 26, 1 << 17
+#: Bits of the Bloom filter at most, rows of a run that are held at once, and rows of a block of the second round.
+BLOOM_BITS, RUN, BLOCK = 1 << 26, 1 << 17, 4096
 _U = np.uint64
 
 
@@ -118,36 +121,50 @@ class Order:
         return out if len(out) == p else np.concatenate([out, s[maybe][np.argsort(self.ranks[at])][: p - len(out)]])
 
 
+def _name(s: np.ndarray, shared: dict[int, dict[int, int]]) -> int:
+    """The name of a set; ``shared`` has the other names of sets whose first signature is not theirs alone, by both signatures."""
+    sig = shingles.signature(s)
+    return shared[sig].get(shingles.check(s), sig) if sig in shared else sig
+
+
+def _prefix_name(p: np.ndarray) -> bytes:
+    """128 bits that name a prefix."""
+    return np.array([shingles.signature(p), shingles.check(p)], np.int64).tobytes()
+
+
 def _described(order: Order):
-    """Per row: id, size, signatures of the set and of the prefix, and the sketch: how many shingles begin with each byte, 255 for more."""
+    """Per row: id, size, two signatures of the set, the name of the prefix, and the sketch: how many shingles begin with each byte, 255 for more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n, sig, psig, sketch = [], [], [], []
+            n, sig, check, psig, sketch = [], [], [], [], []
             for _, _, sets in shingles.shingle_sets(b.column(1)):
                 for s in sets:
                     n.append(len(s))
                     sketch.append(np.minimum(np.bincount((s >> _U(56)).astype(np.int64), minlength=256), 255).astype(np.uint8).tobytes())
                     sig.append(shingles.signature(s))
-                    psig.append(shingles.signature(order.prefix(s)))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(sig, pa.int64()), pa.array(psig, pa.int64()), pa.array(sketch, pa.binary())], ["doc_id", "n", "sig", "psig", "sketch"])
+                    check.append(shingles.check(s))
+                    psig.append(_prefix_name(order.prefix(s)))
+            ints = [pa.array(c, pa.int64()) for c in (n, sig, check)]
+            yield pa.RecordBatch.from_arrays([b.column(0), *ints, pa.array(psig, pa.binary()), pa.array(sketch, pa.binary())], ["doc_id", "n", "sig", "check", "psig", "sketch"])
 
     return run
 
 
-def _prefixes(order: Order):
-    """Per set: size, signatures, and the prefix as bytes; of equal sets of a batch one."""
+def _prefixes(order: Order, shared: dict[int, dict[int, int]]):
+    """Per set: size, name, the prefix's name, and the prefix as bytes; of equal sets of a batch one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out: dict[int, tuple] = {}
             for _, _, sets in shingles.shingle_sets(b.column(0)):
                 for s in sets:
-                    if len(s) and (sig := shingles.signature(s)) not in out:
+                    if len(s) and (sig := _name(s, shared)) not in out:
                         p = order.prefix(s)
-                        out[sig] = (len(s), sig, shingles.signature(p), p.tobytes())
+                        out[sig] = (len(s), sig, _prefix_name(p), p.tobytes())
             cols = list(zip(*out.values(), strict=True)) or [(), (), (), ()]
-            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], pa.binary())], ["n", "sig", "psig", "prefix"])
+            types = (pa.int64(), pa.int64(), pa.binary(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["n", "sig", "psig", "prefix"])
 
     return run
 
@@ -230,16 +247,27 @@ def _sparse_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([pa.array(token[long]), pa.array(gid[long]), pa.array(meta[long])], ["a", "b", "meta"])
 
 
+def _blocks(rows: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Rows (token, gid, meta, comp) of runs as ``token, x, y, side, gid, meta, comp``, a piece of work for each two blocks x <= y of a run.
+
+    A run of n rows has n / block blocks, dealt by hash; each row is in as many
+    pieces, and all rows of a piece of two different blocks know their side.
+    """
+    blocks = rows.groupBy("token").agg(F.ceil(F.count("*") / block).cast("int").alias("k"))
+    each = rows.join(blocks, "token").withColumn("own", F.pmod(F.xxhash64("gid"), F.col("k")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+    return each.select("token", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), (F.col("own") > F.col("other")).cast("int").alias("side"), "gid", "meta", "comp")
+
+
 def _cross_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of runs (token, gid, meta, component) sorted by size: every passing pair of different components."""
+    """Of pieces of runs (see _blocks), sorted by size: every passing pair of different components, of different sides in a piece of two blocks."""
     tail: list[np.ndarray] | None = None
 
-    def of_run(gid, meta, comp):
+    def of_piece(two, side, gid, meta, comp):
         n, out, size = meta >> 32, [], 0
         until = np.searchsorted(n, DEN * n // NUM, side="right")
         for i in range(len(gid)):
             j = np.arange(i + 1, until[i])
-            j = j[comp[j] != comp[i]]
+            j = j[(comp[j] != comp[i]) & ((side[j] != side[i]) | (not two))]
             j = j[_passes(np.full(len(j), meta[i]), meta[j])]
             if len(j):
                 out.append(np.stack([np.full(len(j), gid[i]), gid[j]]))
@@ -251,18 +279,19 @@ def _cross_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield np.concatenate(out, axis=1)
 
     def of_rows(cols):
-        token, gid, meta, comp = cols
-        edges = [0, *(np.flatnonzero(token[1:] != token[:-1]) + 1).tolist(), len(token)]
+        new = np.ones(len(cols[0]), bool)
+        new[1:] = np.any([c[1:] != c[:-1] for c in cols[:3]], axis=0)
+        edges = [*np.flatnonzero(new).tolist(), len(new)]
         for s, e in zip(edges, edges[1:], strict=False):
-            for a, b in of_run(gid[s:e], meta[s:e], comp[s:e]):
+            for a, b in of_piece(cols[1][s] != cols[2][s], *(c[s:e] for c in cols[3:])):
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
     for batch in batches:
-        cols = [batch.column(k).to_numpy() for k in range(4)]
+        cols = [batch.column(k).to_numpy() for k in range(7)]
         if not len(cols[0]):
             continue
         cols = cols if tail is None else [np.concatenate(x) for x in zip(tail, cols, strict=True)]
-        other = np.flatnonzero(cols[0] != cols[0][-1])
+        other = np.flatnonzero(np.any([c != c[-1] for c in cols[:3]], axis=0))
         cut = int(other[-1]) + 1 if len(other) else 0
         yield from of_rows([x[:cut] for x in cols])
         tail = [x[cut:] for x in cols]
@@ -287,14 +316,14 @@ def _bloom_at(sig: np.ndarray, bits: int) -> np.ndarray:
     return (shingles.mix(sig.view(np.uint64) + _U(77)) >> _U(64 - bits.bit_length() + 1)).astype(np.int64)
 
 
-def _set_rows(bitmap: np.ndarray, bits: int):
+def _set_rows(bitmap: np.ndarray, bits: int, shared: dict[int, dict[int, int]]):
     """The sets that the Bloom filter lets through, as bytes; of equal sets of a batch one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = {}
             for _, _, sets in shingles.shingle_sets(b.column(0)):
-                sigs = np.array([shingles.signature(s) for s in sets], np.int64)
+                sigs = np.array([_name(s, shared) for s in sets], np.int64)
                 h = _bloom_at(sigs, bits)
                 for k in np.flatnonzero((bitmap[h >> 6] >> (h & 63)) & 1).tolist():
                     if len(sets[k]):
@@ -327,7 +356,27 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select([0, 1]).filter(pa.array(ok))
 
 
-def _verify(docs: DataFrame, pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+def _shared_names(rows: DataFrame) -> dict[int, dict[int, int]]:
+    """New names of sets whose first signature another set has too.
+
+    Among n sets n**2 / 2**65 such pairs are to be expected, three of 10**10
+    sets: what reaches the driver is a handful at any size, and nothing usually.
+    """
+    double = rows.where("n > 0").groupBy("sig").agg(F.min("check").alias("lo"), F.max("check").alias("hi")).where("lo < hi")
+    out: dict[int, dict[int, int]] = {}
+    for sig, check in rows.join(double, "sig").where("check != lo").select("sig", "check").distinct().toLocalIterator():
+        out.setdefault(sig, {})[check] = shingles.check(np.array([sig, check], np.int64))
+    return out
+
+
+def _renamed(rows: DataFrame, shared: dict[int, dict[int, int]]) -> DataFrame:
+    for sig, names in shared.items():
+        for check, name in names.items():
+            rows = rows.withColumn("sig", F.when((F.col("sig") == sig) & (F.col("check") == check), F.lit(name)).otherwise(F.col("sig")))
+    return rows
+
+
+def _verify(docs: DataFrame, pairs: DataFrame, sketches: DataFrame, shared: dict[int, dict[int, int]]) -> DataFrame:
     """The pairs ``a, b`` of classes whose sets link; the sketches, a sixteenth of the sets or less, are compared first."""
     spark = docs.sparkSession
     near = lambda of: sketches.select(F.col("sig").alias(of), F.col("n").alias(f"n_{of}"), F.col("sketch").alias(f"s_{of}"))
@@ -341,7 +390,7 @@ def _verify(docs: DataFrame, pairs: DataFrame, sketches: DataFrame) -> DataFrame
     held = spark.sparkContext.broadcast(bitmap)
 
     def set_rows(batches):
-        return _set_rows(held.value, bits)(batches)
+        return _set_rows(held.value, bits, shared)(batches)
 
     sets = docs.select("text").mapInArrow(set_rows, "sig long, tokens binary").groupBy("sig").agg(F.first("tokens").alias("tokens"))
     right = pairs.join(sets.select(F.col("sig").alias("b"), F.col("tokens").alias("tokens_b")), "b")
@@ -366,10 +415,13 @@ def link(docs: DataFrame, id_column: str = "doc_id", text: str = "text", demoted
     def described(batches):
         return _described(Order(frequent.value))(batches)
 
+    rows = stored(docs.mapInArrow(described, "doc_id long, n long, sig long, check long, psig binary, sketch binary"), "sets")
+    shared = _shared_names(rows)
+    rows = _renamed(rows, shared)
+
     def prefixes(batches):
-        return _prefixes(Order(frequent.value))(batches)
+        return _prefixes(Order(frequent.value), shared)(batches)
 
-    rows = stored(docs.mapInArrow(described, "doc_id long, n long, sig long, psig long, sketch binary"), "sets")
     real = rows.where("n > 0 and doc_id is not null")
     classes = real.groupBy("sig").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("psig").alias("psig"))
     sketches = real.groupBy("sig").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"))
@@ -377,11 +429,11 @@ def link(docs: DataFrame, id_column: str = "doc_id", text: str = "text", demoted
     # Members of groups of two and more, and links by a shared id.
     crowded = groups.where("members > 1").drop("members")
     members = stored(classes.join(crowded, ["n", "psig"]).select("gid", "sig", "n"), "members")
-    shared = real.groupBy("doc_id").agg(F.min("sig").alias("a"), F.max("sig").alias("z")).where("a < z")
-    same_id = real.join(shared, "doc_id").select("a", F.col("sig").alias("b"))
+    several = real.groupBy("doc_id").agg(F.min("sig").alias("a"), F.max("sig").alias("z")).where("a < z")
+    same_id = real.join(several, "doc_id").select("a", F.col("sig").alias("b"))
 
     named_texts = docs.where("doc_id is not null").select("text")  # as in classes: a head is a row of its group
-    heads = named_texts.mapInArrow(prefixes, "n long, sig long, psig long, prefix binary").groupBy("n", "psig").agg(F.min("sig").alias("gid"), F.min_by("prefix", "sig").alias("prefix"))
+    heads = named_texts.mapInArrow(prefixes, "n long, sig long, psig binary, prefix binary").groupBy("n", "psig").agg(F.min("sig").alias("gid"), F.min_by("prefix", "sig").alias("prefix"))
     tokens = heads.select("gid", "n", "prefix").mapInArrow(_prefix_rows, "token long, gid long, meta long")
     runs = tokens.repartition(F.col("token")).sortWithinPartitions("token", F.shiftrightunsigned("meta", 32), "gid")
     found = stored(runs.mapInArrow(_sparse_pairs, "a long, b long, meta long"), "runs")
@@ -394,7 +446,7 @@ def link(docs: DataFrame, id_column: str = "doc_id", text: str = "text", demoted
     chief = weighed.groupBy("token").agg(F.max(F.struct("runs", "gid", "n")).alias("top")).select("token", F.col("top.gid").alias("b"), F.col("top.n").alias("m"))
     chiefs = weighed.join(chief, "token").where(F.least("n", "m") * DEN >= F.greatest("n", "m") * NUM).select(F.col("gid").alias("a"), "b")
     first = stored(_paired(group_pairs.union(stars).union(chiefs)), "pairs")
-    linked = stored(_verify(docs, first, sketches).union(same_id), "links")
+    linked = stored(_verify(docs, first, sketches, shared).union(same_id), "links")
 
     comp = components(linked)
     named = lambda of: comp.select(F.col("vertex").alias(of), F.col("component").alias(f"c_{of}"))
@@ -414,7 +466,7 @@ def link(docs: DataFrame, id_column: str = "doc_id", text: str = "text", demoted
     long = long.join(apart.withColumn("apart", F.lit(True)), "gid", "left").withColumn("c_gid", F.when(F.col("apart"), F.bitwise_not("gid")).otherwise(F.col("c_gid")))
     mixed = long.groupBy("token").agg(F.min("c_gid").alias("lo"), F.max("c_gid").alias("hi")).where("lo != hi").select("token")
     rest = long.join(mixed, "token").select("token", "gid", "meta", F.col("c_gid").alias("comp")).distinct()
-    cross = lambda df: df.repartition(F.col("token")).sortWithinPartitions("token", F.shiftrightunsigned("meta", 32), "gid").mapInArrow(_cross_pairs, "a long, b long")
+    cross = lambda df: _blocks(df).repartition("token", "x", "y").sortWithinPartitions("token", "x", "y", F.shiftrightunsigned("meta", 32), "gid").mapInArrow(_cross_pairs, "a long, b long")
     more_groups = stored(_paired(cross(rest).union(open_pairs)), "more_groups")
     expand = lambda df, of: df.join(members.select(F.col("gid").alias(of), F.col("sig").alias(f"m_{of}")), of, "left").withColumn(f"m_{of}", F.coalesce(f"m_{of}", of))
     expanded = expand(expand(more_groups, "a"), "b").select(F.col("m_a").alias("a"), F.col("m_b").alias("b"))
@@ -422,7 +474,7 @@ def link(docs: DataFrame, id_column: str = "doc_id", text: str = "text", demoted
     second = with_c(with_c(second, "a"), "b").where("c_a != c_b").select("a", "b").join(first, ["a", "b"], "left_anti")
     second = stored(second, "second")
     if not second.isEmpty():
-        comp = components(stored(_verify(docs, second, sketches), "links").union(linked))
+        comp = components(stored(_verify(docs, second, sketches, shared), "links").union(linked))
 
     least = with_c(classes.select("sig", "least"), "sig")
     ends = least.groupBy("c_sig").agg(F.min("least").alias("component_id"))

@@ -2,10 +2,11 @@
 
 A-Z are lower-cased, words are maximal runs of bytes that are not white space,
 a shingle is five consecutive words, and a text of one to four words is one
-shingle as a whole.  Words are hashed by polynomial prefix sums over a random
-byte table, modulo 2**64, so that no Python object is made for a word; shingles
-are 64-bit hashes.  Two different shingles share a hash with probability
-2**-64, which is the only inexactness of what is built on them.
+shingle as a whole.  Words are hashed eight bytes at a time, each through a
+bijection that spreads every bit; words of over LONG bytes by xxHash.  No Python
+object is made for a shorter word.  Shingles are 64-bit hashes of their words'.
+Two different shingles share a hash with probability 2**-64 about, which is the
+only inexactness of what is built on them.
 """
 
 from __future__ import annotations
@@ -14,20 +15,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 WIDTH = 5
 _U = np.uint64
 _rng = np.random.default_rng(20240501)
-_BYTES = _rng.integers(0, 2**64, 256, dtype=np.uint64) | _U(1)
-_BYTES[65:91] = _BYTES[97:123]  # A-Z count as a-z
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32  # A-Z count as a-z
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 2**64)
 _PLACES = _rng.integers(0, 2**64, WIDTH, dtype=np.uint64) | _U(1)
-_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-#: Bytes that are hashed at once; a longer text is a piece of its own.
-PIECE = 1 << 20
+_SEED = _U(0x51AF5B1D9C8E7F3B)
+#: For n bytes of eight, the first n in the order of memory.
+_MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+#: Bytes that are hashed at once (a longer text is a piece of its own); bytes of a word from which on it is hashed by itself.
+PIECE, LONG = 1 << 20, 64
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -37,15 +39,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-def _grow(n: int) -> None:
-    if len(_powers[0]) < n:
-        n = max(n, PIECE + 4096)
-        for k, base in enumerate((_BASE, _INVERSE)):
-            p = np.full(n, base, dtype=np.uint64)
-            p[0] = 1
-            _powers[k] = np.multiply.accumulate(p)
-
-
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string column and where each text begins; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -70,11 +63,21 @@ def word_hashes(data: np.ndarray, at: np.ndarray, between: np.ndarray = _SPACE)
     inner = edges[(edges > 0) & (edges < n)]
     first[inner] = ~gap[1 + inner]
     last[inner - 1] = ~gap[inner]
-    begin, end = np.flatnonzero(first), np.flatnonzero(last) + 1
-    _grow(n + 1)
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(_BYTES[piece] * _powers[0][:n], out=sums[1:])
-    hashes = mix((sums[end] - sums[begin]) * _powers[1][begin] + (end - begin).astype(np.uint64))
+    begin, size = np.flatnonzero(first), np.flatnonzero(last) + 1
+    size -= begin
+    low = np.zeros(n + 8, np.uint8)
+    np.take(_LOWER, piece, out=low[:n])
+    eights = np.ndarray(n + 1, "<u8", low, 0, (1,))  # the eight bytes from every place on
+    hashes = mix(size.astype(np.uint64) + _SEED)
+    hashes = mix(hashes ^ (eights[begin] & _MASKS[np.minimum(size, 8)]))
+    rest = np.flatnonzero((size > 8) & (size <= LONG))
+    for done in range(8, LONG, 8):
+        if not len(rest):
+            break
+        hashes[rest] = mix(hashes[rest] ^ (eights[begin[rest] + done] & _MASKS[np.minimum(size[rest] - done, 8)]))
+        rest = rest[size[rest] > done + 8]
+    for k in np.flatnonzero(size > LONG).tolist():
+        hashes[k] = xxhash.xxh3_64_intdigest(low[begin[k] : begin[k] + size[k]])
     return hashes, np.searchsorted(at - base, begin, side="right") - 1
 
 
@@ -126,3 +129,8 @@ def signature(s: np.ndarray) -> int:
     with np.errstate(over="ignore"):
         h = mix(np.array([mix(s + _U(len(s))).sum(dtype=np.uint64) ^ _U((len(s) * 0xD6E8FEB86659FD93) % 2**64)], np.uint64))
     return int(h.view(np.int64)[0])
+
+
+def check(s: np.ndarray) -> int:
+    """Another signature, of the order too, independent of the first."""
+    return xxhash.xxh3_64_intdigest(s) - (1 << 63)
