@@ -5,11 +5,13 @@
    in the block's own list of distinct words.  Positions stay in the block's row;
    only distinct words of blocks are shuffled, so that a word that makes up a
    third of all text is one row a block.
-2. Words are dealt by a checksum to their owners; an owner encodes each distinct
-   word once, whatever the number of blocks that have it, and returns its ids.
+2. Words are dealt by a checksum to their owners, a partition each; an owner
+   encodes each distinct word once, whatever the number of blocks that have it,
+   and returns its ids.  The merges are made here: the adjacent pair of least rank
+   first, with a heap, so that a word of any length takes n log n steps.
 3. Ids are joined back to their blocks, and documents are put together by
    position.  Decoding joins ids with the table of token bytes, which is bounded
-   by the vocabulary.
+   by the vocabulary and so held by every task.
 
 Blocks are stored once as a bucketed table in the shared warehouse, so that codes
 and words of a block always come from the same run of the splitter, and positions
@@ -23,13 +25,13 @@ are not read.  Ids are little-endian unsigned 32-bit numbers in one binary value
 from __future__ import annotations
 
 import base64
+import heapq
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import regex
-import tiktoken
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
@@ -37,8 +39,8 @@ from pyspark.sql import functions as F
 
 from .common import bucketed
 
-#: Text bytes of a block, about.
-BLOCK_BYTES = 5 << 20
+#: Text bytes of a block, about; characters of a text from which on its pre-tokens are not listed all at once.
+BLOCK_BYTES, LONG = 5 << 20, 1 << 20
 _BLOCKS = "block long, doc_ids array<long>, counts array<long>, codes binary, parts array<struct<owner:int,words:binary>>"
 _PARTS = pa.list_(pa.struct([("owner", pa.int32()), ("words", pa.binary())]))
 
@@ -49,6 +51,33 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
 
 
+def merge(word: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """The ids of a word: its adjacent pair of the least rank, the first of equal ones, becomes one, until no pair has a rank."""
+    if (rank := ranks.get(word)) is not None:
+        return [rank]
+    n = len(word)
+    after, before = list(range(1, n + 1)), list(range(-1, n - 1))  # where the piece that begins at a place ends, and the one before it begins
+    pairs = [(r, i, i + 2) for i in range(n - 1) if (r := ranks.get(word[i : i + 2])) is not None]
+    heapq.heapify(pairs)
+    while pairs:
+        _, begin, end = heapq.heappop(pairs)
+        middle = after[begin]
+        if not 0 < middle < end or after[middle] != end:
+            continue  # one of the two is part of another piece by now
+        after[begin], after[middle] = end, -1
+        if end < n:
+            before[end] = begin
+            if (r := ranks.get(word[begin : after[end]])) is not None:
+                heapq.heappush(pairs, (r, begin, after[end]))
+        if (left := before[begin]) >= 0 and (r := ranks.get(word[left:end])) is not None:
+            heapq.heappush(pairs, (r, left, end))
+    out, at = [], 0
+    while at < n:
+        out.append(ranks[word[at : after[at]]])
+        at = after[at]
+    return out
+
+
 def _pack(*arrays: np.ndarray | bytes) -> bytes:
     """Byte strings of known order, each with its length, compressed."""
     parts = [x if isinstance(x, bytes) else x.tobytes() for x in arrays]
@@ -74,7 +103,7 @@ def _split(ranks, pattern: str, owners: int):
     """Blocks of documents (id, text): see _BLOCKS; a code of len(ranks) or more is a word of the block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find, known = regex.compile(pattern).findall, {}
+        rx, known = regex.compile(pattern), {}
         for token, rank in ranks.value.items():
             try:
                 known[token.decode()] = rank
@@ -109,7 +138,7 @@ def _split(ranks, pattern: str, owners: int):
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 text = text.as_py() or ""
                 out = []
-                for w in find(text):
+                for w in rx.findall(text) if len(text) < LONG else (m.group() for m in rx.finditer(text)):
                     code = known.get(w)
                     if code is None:
                         code = own.get(w)
@@ -130,21 +159,24 @@ def _split(ranks, pattern: str, owners: int):
 
 
 def _encode(ranks):
-    """Words of blocks, of whole owners: each distinct word is encoded once; gives each block's ids in its words' order."""
+    """Words of blocks, of one owner after the other: each distinct word is encoded once; gives each block's ids in its words' order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        piece = tiktoken.Encoding("ranks", pat_str=r"\S+", mergeable_ranks=ranks.value, special_tokens={})._encode_single_piece
+        vocabulary, now = ranks.value, None
         done: dict[bytes, bytes] = {}
         for b in batches:
-            for block, owner, blob in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                lengths, joined = _unpack(blob, 2)
+            for block, owner, blob in zip(*b.columns, strict=True):
+                block, owner = block.as_py(), owner.as_py()
+                if owner != now:
+                    now, done = owner, {}
+                lengths, joined = _unpack(blob.as_py(), 2)
                 ends = np.cumsum(np.frombuffer(lengths, np.uint32)).tolist()
                 out = []
                 for begin, end in zip([0, *ends], ends, strict=False):
                     word = joined[begin:end]
                     found = done.get(word)
                     if found is None:
-                        found = done[word] = np.array(piece(word), "<u4").tobytes()
+                        found = done[word] = np.array(merge(word, vocabulary), "<u4").tobytes()
                     out.append(found)
                 packed = _pack(np.array([len(x) >> 2 for x in out], np.uint32), b"".join(out))
                 yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([owner], pa.int32()), pa.array([packed])], ["block", "owner", "ids"])
@@ -157,9 +189,27 @@ def _ranges(begin: np.ndarray, count: np.ndarray) -> np.ndarray:
     return np.repeat(begin - np.cumsum(count) + count, count) + np.arange(int(count.sum()))
 
 
-def _assemble(n_ranks: int):
+def token_table(ranks: dict[bytes, int]) -> tuple[bytes, np.ndarray]:
+    """The bytes of all tokens, joined in the order of their ids, and how many each has."""
+    table = [b""] * (max(ranks.values(), default=-1) + 1)
+    for token, rank in ranks.items():
+        table[rank] = token
+    return b"".join(table), np.array([len(x) for x in table], np.int64)
+
+
+def _decoder(table: tuple[bytes, np.ndarray]):
+    """From ids to bytes."""
+    data, count = np.frombuffer(table[0], np.uint8), table[1]
+    begin = np.cumsum(count) - count
+    return lambda ids: data[_ranges(begin[ids], count[ids])].tobytes()
+
+
+def _assemble(n_ranks: int, table=None):
+    """Blocks with their words' ids as ``doc_id, ids``; with a token table also the bytes that the ids decode to."""
+
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        doc_ids, blobs = [], []
+        doc_ids, blobs, texts = [], [], []
+        decoded = _decoder(table.value) if table else None
         parts = sorted(zip(right["owner"].to_pylist(), right["ids"].to_pylist(), strict=True))
         unpacked = [_unpack(x, 2) for _, x in parts]
         own = np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(x[0], np.uint32).astype(np.int64) for x in unpacked)])
@@ -172,41 +222,39 @@ def _assemble(n_ranks: int):
             for doc_id, n in zip(ids, counts, strict=True):
                 c = codes[at : at + n]
                 at += n
+                found = flat[_ranges(begin[c], count[c])]
                 doc_ids.append(doc_id)
-                blobs.append(flat[_ranges(begin[c], count[c])].tobytes())
-        return pa.table({"doc_id": pa.array(doc_ids, pa.int64()), "ids": pa.array(blobs, pa.binary())})
+                blobs.append(found.tobytes())
+                if decoded:
+                    texts.append(decoded(found))
+        return pa.table({"doc_id": pa.array(doc_ids, pa.int64()), "ids": pa.array(blobs, pa.binary())} | ({"decoded": pa.array(texts, pa.binary())} if table else {}))
 
     return run
 
 
-def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id, ids`` for every row of ``docs``."""
+def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_column: str = "doc_id", text: str = "text", decoded: bool = False) -> DataFrame:
+    """``doc_id, ids`` for every row of ``docs``; with ``decoded`` also the bytes that the ids decode to, by the same pass."""
     spark = docs.sparkSession
     held = spark.sparkContext.broadcast(ranks)  # bounded by the vocabulary
+    table = spark.sparkContext.broadcast(token_table(ranks)) if decoded else None
     owners = int(spark.conf.get("spark.sql.shuffle.partitions"))
     docs = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text).alias("text"))
     blocks = bucketed(docs.mapInArrow(_split(held, pattern, owners), _BLOCKS), "block", owners)
     words = blocks.select("block", F.explode("parts").alias("part")).select("block", "part.owner", "part.words")
-    coded = words.repartition(owners, "owner").mapInArrow(_encode(held), "block long, owner int, ids binary")
+    dealt = words.repartitionById(owners, F.col("owner")).sortWithinPartitions("owner", "block")
+    coded = dealt.mapInArrow(_encode(held), "block long, owner int, ids binary")
     # A block without words of its own still meets its codes.
-    return blocks.drop("parts").groupBy("block").cogroup(coded.groupBy("block")).applyInArrow(_assemble(len(ranks)), "doc_id long, ids binary")
+    out = "doc_id long, ids binary" + ", decoded binary" * decoded
+    return blocks.drop("parts").groupBy("block").cogroup(coded.groupBy("block")).applyInArrow(_assemble(len(ranks), table), out)
 
 
 def decode(ids: Column, ranks: dict[bytes, int], docs: DataFrame) -> Column:
     """The bytes of ids; ``docs`` gives the session."""
-    table = [b""] * (max(ranks.values()) + 1)
-    for token, rank in ranks.items():
-        table[rank] = token
-    held = docs.sparkSession.sparkContext.broadcast((b"".join(table), np.array([len(x) for x in table], np.int64)))
+    held = docs.sparkSession.sparkContext.broadcast(token_table(ranks))
 
     @F.arrow_udf("binary")
     def joined(column: pa.Array) -> pa.Array:
-        data, count = held.value
-        data, begin = np.frombuffer(data, np.uint8), np.cumsum(count) - count
-        out = []
-        for x in column:
-            c = np.frombuffer(x.as_buffer(), "<u4") if x.is_valid else np.zeros(0, np.uint32)
-            out.append(data[_ranges(begin[c], count[c])].tobytes())
-        return pa.array(out, pa.binary())
+        decoded = _decoder(held.value)
+        return pa.array([decoded(np.frombuffer(x.as_buffer(), "<u4")) if x.is_valid else b"" for x in column], pa.binary())
 
     return joined(ids)

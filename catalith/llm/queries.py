@@ -78,10 +78,9 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def tokens_digest(docs: DataFrame) -> DataFrame:
     ranks = bpe.load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
-    coded = bpe.encode(docs, ranks, public_tokenizers.PATTERN)
-    decoded = coded.withColumn("decoded", bpe.decode(F.col("ids"), ranks, docs))
+    coded = bpe.encode(docs, ranks, public_tokenizers.PATTERN, decoded=True)
     n = (F.octet_length("ids") / 4).cast("long").alias("n_tokens")
-    return decoded.select("doc_id", n, F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    return coded.select("doc_id", n, F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
