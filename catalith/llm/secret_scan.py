@@ -1,10 +1,12 @@
 """Secret scans with structural confirmation.
 
 Base spans are plain patterns.  The method adds spans whose content is decoded
-and parsed before it is reported: base64 or hexadecimal candidates must hold a
-private key whose nested lengths fill its encoding to the last byte, an OpenSSH
-private key, or text with a secret of its own; signed tokens must have a header
-that names an algorithm and a payload that is an object.
+and parsed before it is reported: base64 (in one run, or wrapped over lines) or
+hexadecimal candidates must hold a private key, encrypted or not, whose nested
+lengths fill its encoding to the last byte, an OpenSSH private key, or text with a
+secret of its own, up to DEPTH encodings deep; framed keys must hold such a key,
+or whole cipher blocks below a header that names their cipher; signed tokens must
+have a header that names an algorithm and a payload that is an object.
 
 Each text is scanned as a whole by an Arrow function that ships nothing but the
 text; there is no shuffle, so the size of sources or groups of copies does not
@@ -37,10 +39,19 @@ _SCAN = BASE | {"hex": (re.compile(r"[0-9a-f]{16,}"), 0, 16)}
 CONFIRMED = ("pem", "jwt", "key_base64", "key_hex", "encoded")
 KINDS = (*BASE, *CONFIRMED)
 
-_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]{0,40}PRIVATE KEY)-----([^-]{1,20000})-----END \1-----")
-_JWT = re.compile(r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{2,}\.[A-Za-z0-9_-]*")
+#: Encodings within encodings that are looked into.
+DEPTH = 3
+_BEGIN = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----")
+_END = re.compile(r"-----END ([A-Z0-9 ]*PRIVATE KEY)-----")
+_CIPHER = re.compile(r"DEK-Info:\x20*(DES|AES|CAMELLIA|SEED|RC2)[A-Z0-9-]*,[0-9A-Fa-f]+\s+")
+#: A brace and what may follow it, encoded: the header of a token.
+_JWT = re.compile(r"e[w-z][A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{2,}\.[A-Za-z0-9_-]*")
+#: Lines of one length, of base64, and a last line that is not longer.
+_WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{24,}(?:\r?\n[A-Za-z0-9+/_-]{24,})*\r?\n[A-Za-z0-9+/_-]+={0,2}(?![A-Za-z0-9+/_=-])")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{24,}={0,2}")
-_HEX = re.compile(r"(?:[0-9a-f]{2}){24,}|(?:[0-9A-F]{2}){24,}")
+_HEX = re.compile(r"[0-9a-f]{48,}|[0-9A-F]{48,}")
+#: No assignment is in a text that has none of these in lower case.
+_HINTS = ("passw", "secret", "token", "api")
 SPANS = ArrayType(StructType([StructField("kind", StringType()), StructField("start", LongType()), StructField("end", LongType())]))
 _ARROW = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 _SEQUENCE, _INTEGER, _OCTETS, _OID = 0x30, 0x02, 0x04, 0x06
@@ -79,7 +90,7 @@ def elements(data: bytes, at: int = 0, end: int | None = None) -> list[tuple[int
 
 
 def is_private_key(data: bytes | None) -> bool:
-    """Whether the bytes are one private key: PKCS#1, PKCS#8, SEC1 or OpenSSH, to the last byte."""
+    """Whether the bytes are one private key: PKCS#1, PKCS#8 (encrypted, too), SEC1 or OpenSSH, to the last byte."""
     if not data or len(data) < 16:
         return False
     if data.startswith(b"openssh-key-v1\0"):
@@ -101,6 +112,9 @@ def is_private_key(data: bytes | None) -> bool:
     if not outer or len(outer) != 1 or outer[0][0] != _SEQUENCE:
         return False
     inner = elements(data, outer[0][1], outer[0][2])
+    if inner and [t for t, _, _ in inner] == [_SEQUENCE, _OCTETS]:  # encrypted: the cipher, and whole blocks of it
+        algorithm, n = elements(data, inner[0][1], inner[0][2]), inner[1][2] - inner[1][1]
+        return bool(algorithm) and len(algorithm) == 2 and [t for t, _, _ in algorithm] == [_OID, _SEQUENCE] and n >= 16 and n % 8 == 0
     if not inner or inner[0][0] != _INTEGER or inner[0][2] - inner[0][1] != 1:
         return False
     tags = [t for t, _, _ in inner]
@@ -121,8 +135,26 @@ def is_signed_token(text: str) -> bool:
     return isinstance(header, dict) and isinstance(header.get("alg"), str) and isinstance(payload, dict)
 
 
-def _holds_secret(data: bytes | None) -> bool:
-    """Whether decoded bytes are ASCII text with an assignment, an access key, a token or a key of its own."""
+def framed(text: str) -> list[tuple[int, int]]:
+    """Keys between a BEGIN and the next END line of one label: each END is met once, by the last BEGIN before it."""
+    out, begins = [], list(_BEGIN.finditer(text))
+    k = 0
+    for end in _END.finditer(text) if begins else ():
+        while k + 1 < len(begins) and begins[k + 1].end() <= end.start():
+            k += 1
+        begin = begins[k]
+        if begin.end() > end.start() or begin.group(1) != end.group(1) or (out and out[-1][0] == begin.start()):
+            continue
+        body = text[begin.end() : end.start()]
+        cipher = _CIPHER.search(body)
+        data = decoded64("".join((body[cipher.end() :] if cipher else body).split()))
+        if is_private_key(data) or (cipher and data and len(data) % 8 == 0):
+            out.append((begin.start(), end.end()))
+    return out
+
+
+def _holds_secret(data: bytes | None, depth: int) -> bool:
+    """Whether decoded bytes are ASCII text with an assignment, an access key, a token or a key of its own, or with an encoding of one."""
     if not data or not data.isascii():
         return False
     text = data.decode("ascii")
@@ -130,31 +162,44 @@ def _holds_secret(data: bytes | None) -> bool:
         return False
     if any(len(m.group(g)) >= least for k in ("assign", "access") for rx, g, least in (BASE[k],) for m in rx.finditer(text)):
         return True
-    return any(is_signed_token(m.group()) for m in _JWT.finditer(text)) or any(is_private_key(decoded64("".join(m.group(2).split()))) for m in _PEM.finditer(text))
+    return any(is_signed_token(m.group()) for m in _JWT.finditer(text)) or bool(framed(text)) or bool(_encoded(text, depth - 1) if depth > 1 else ())
 
 
-def find(text: str | None) -> list[tuple[str, int, int]]:
-    """All spans of a text, by start and then kind; ends are exclusive, in code points."""
-    if not text:
-        return []
-    out = [(kind, m.start(), m.end()) for kind, (rx, g, least) in _SCAN.items() for m in rx.finditer(text) if len(m.group(g)) >= least]
-    if "-----BEGIN " in text:
-        out += [("pem", m.start(), m.end()) for m in _PEM.finditer(text) if is_private_key(decoded64("".join(m.group(2).split())))]
-    if "eyJ" in text:
-        out += [("jwt", m.start(), m.end()) for m in _JWT.finditer(text) if is_signed_token(m.group())]
+def _encoded(text: str, depth: int = DEPTH) -> list[tuple[str, int, int]]:
+    """Runs of base64 or hexadecimal digits, and wrapped base64, that decode to a key or to text with a secret."""
+    out = []
     for m in _BASE64.finditer(text):
         data = decoded64(m.group())
         if is_private_key(data):
             out.append(("key_base64", m.start(), m.end()))
-        elif _holds_secret(data):
+        elif _holds_secret(data, depth):
             out.append(("encoded", m.start(), m.end()))
-    for m in _HEX.finditer(text):
-        data = bytes.fromhex(m.group())
+    for m in _WRAPPED.finditer(text) if "\n" in text else ():
+        data = decoded64("".join(m.group().split()))
         if is_private_key(data):
-            out.append(("key_hex", m.start(), m.end()))
-        elif _holds_secret(data):
+            out.append(("key_base64", m.start(), m.end()))
+        elif _holds_secret(data, depth):
             out.append(("encoded", m.start(), m.end()))
-    return sorted(out, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
+    for m in _HEX.finditer(text):
+        end = m.end() - (m.end() - m.start()) % 2
+        data = bytes.fromhex(text[m.start() : end])
+        if is_private_key(data):
+            out.append(("key_hex", m.start(), end))
+        elif _holds_secret(data, depth):
+            out.append(("encoded", m.start(), end))
+    return out
+
+
+def find(text: str | None) -> list[tuple[str, int, int]]:
+    """All spans of a text, by start and then kind; ends are exclusive, in code points."""
+    if not text:
+        return []
+    small = text.lower()
+    kinds = _SCAN if any(x in small for x in _HINTS) else {k: v for k, v in _SCAN.items() if k != "assign"}
+    out = [(kind, m.start(), m.end()) for kind, (rx, g, least) in kinds.items() for m in rx.finditer(text) if len(m.group(g)) >= least]
+    out += [("pem", a, b) for a, b in framed(text)] if "-----BEGIN " in text else []
+    out += [("jwt", m.start(), m.end()) for m in _JWT.finditer(text) if is_signed_token(m.group())] if "." in text else []
+    return sorted({*out, *_encoded(text)}, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
 
 def mask(text: str | None) -> str | None:
