@@ -12,7 +12,9 @@ distance of a quarter of the item's words.  Words are runs of letters and digits
    distance of the walks' traces.  Traces of windows and items are hashed on
    sampled places; an item is a candidate if any of the repetitions agrees.  The
    repetitions are as many as edited copies of the items themselves, made by a
-   seeded generator, need to reach the target recall.
+   seeded generator with as many edits as are allowed, need to reach the target
+   recall.  Where MOST repetitions do not reach it, every window that the pair
+   filter leaves is verified instead, so that nothing is lost.
 3. Candidates are verified by the exact edit distance of the item to the best
    stretch around the window.
 
@@ -21,9 +23,11 @@ no window of the item's size: if it keeps enough of the item's word pairs, the
 item is verified against the whole text, without LSH.  Items of fewer than LEAST
 words are leaked by exact copies only, found by hashes of all windows of their size.
 
-The benchmark is held by every task, in blocks of bounded size; a larger one is
-run block by block against all rows.  Documents are read in place without a
-shuffle, so neither sources nor groups of copies make a hot task.
+The benchmark is held by every task in blocks of bounded size.  One block, the
+usual case, is a projection of the documents in place, without a shuffle, so that
+neither sources nor groups of copies make a hot task.  Of more blocks only one is
+held at a time: each is run against all texts, the leaks of each text are stored
+by the text's hash, and joined to the documents in the end.
 
 Defined results: null and empty texts leak nothing; items without a word (null
 and empty ones too) are leaked by none; repeated items each give their own result; an empty benchmark leaves every document clean; other columns
@@ -32,8 +36,8 @@ pass through, and a column already named like the output is replaced.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -41,11 +45,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import shingles
+from .common import stored
 
 #: Edits allowed as a share of an item's words; words of the shortest item that may be edited; bytes of items in a block.
-EDITS, LEAST, BLOCK_BYTES = 0.25, 8, 16 << 20
-#: LSH: sampled places of a trace, samples of one walk, target recall, repetitions at most.
-PLACES, SAMPLES, RECALL, MOST = 7, 24, 0.99, 480
+EDITS, LEAST, BLOCK_BYTES = 0.25, 8, 1 << 20
+#: LSH: sampled places of a trace, samples of one walk, target recall, edited copies that it is measured on, repetitions at most.
+PLACES, SAMPLES, RECALL, COPIES, MOST = 7, 24, 0.995, 512, 480
 LEAKS = "array<struct<item_id:long,distance:long,first_word:long,words:long>>"
 _ARROW = pa.list_(pa.struct([("item_id", pa.int64()), ("distance", pa.int64()), ("first_word", pa.int64()), ("words", pa.int64())]))
 _U = np.uint64
@@ -155,21 +160,20 @@ def edited(item: np.ndarray, edits: int, rng: np.random.Generator) -> np.ndarray
     return np.array(row[: len(item)], np.uint64)
 
 
-def repetitions(items: list[np.ndarray], recall: float = RECALL, seed: int = 11, copies: int = 64) -> int:
-    """The least number of repetitions by which the wanted share of edited copies has met its item.
+def repetitions(items: list[np.ndarray], recall: float = RECALL, seed: int = 11, copies: int = COPIES, most: int = MOST) -> int | None:
+    """The least number of repetitions by which the wanted share of edited copies has met its item; None if ``most`` are too few.
 
     Copies carry as many edits as are allowed; they are made of evenly spaced items.
     """
     rng, chosen = np.random.default_rng(seed), [items[k * len(items) // copies] for k in range(copies)]
-    e, own = Embedding(MOST, seed), _rows(chosen)
+    e, own = Embedding(most, seed), _rows(chosen)
     other = _rows([edited(x, int(EDITS * len(x)), rng) for x in chosen])
-    met = np.full(copies, MOST)
+    met = np.zeros(copies, bool)
     for r, (x, y) in enumerate(zip(e.keys(*own), e.keys(*other), strict=True)):
-        same = (x == y) & (met == MOST)
-        met[same] = r + 1
-        if (met <= r + 1).mean() >= recall:
-            break
-    return int(np.quantile(met, recall, method="higher"))
+        met |= x == y
+        if met.mean() >= recall:
+            return r + 1
+    return None
 
 
 class Index:
@@ -186,24 +190,24 @@ class Index:
                     self.short.setdefault(len(item), {}).setdefault(item.tobytes(), []).append(ids[k])
         self.short_keys = {n: np.unique(_hashed(np.stack([np.frombuffer(x, np.uint64) for x in of]))) for n, of in self.short.items()}
         self.items = found
-        self.repetitions = repetitions([x for _, x in found], seed=seed) if found else 0
-        self.embedding = Embedding(self.repetitions, seed)
+        needed = repetitions([x for _, x in found], seed=seed) if found else 0
+        self.exhaustive = needed is None
+        self.embedding = Embedding(needed or 0, seed)
         # The benchmark's word pairs and, for each, the items that have it.
         pairs = [_pairs(x) for _, x in found]
         every = np.concatenate(pairs) if pairs else np.zeros(0, np.uint64)
         both = np.unique(np.stack([every, np.repeat(np.arange(len(found)), [len(x) for x in pairs]).astype(np.uint64)]), axis=1) if pairs else np.zeros((2, 0), np.uint64)
         self.pairs, begin = np.unique(both[0], return_index=True)
         self.begin, self.owners = np.append(begin, both.shape[1]), both[1].astype(np.int64)
-        self.own = np.sort(_named(both[0], both[1]))
         self.hit = np.zeros(1 << 20, bool)
         self.hit[(self.pairs >> _U(44)).astype(np.int64)] = True
-        self.table: dict[int, list[int]] = {}
         self.rows, self.sizes = _rows([x for _, x in found]) if found else (np.zeros((0, 0), np.uint64), np.zeros(0, np.int64))
-        for keys in self.embedding.keys(self.rows, self.sizes) if found else ():
-            for k, key in enumerate(keys.tolist()):
-                self.table.setdefault(key, []).append(k)
+        # The LSH tables as one: keys in order, and the items of each.
+        keys = np.concatenate([np.zeros(0, np.uint64), *(self.embedding.keys(self.rows, self.sizes) if found else ())])
+        order = np.argsort(keys, kind="stable")
+        self.known, first = np.unique(keys[order], return_index=True)
+        self.known_begin, self.known_items = np.append(first, len(keys)), order % max(1, len(found))
         self.repeated = np.array([len(x) - len(np.unique(x)) for x in pairs], np.int64)
-        self.known = np.sort(np.fromiter(self.table, np.uint64, len(self.table)))
 
     def shared(self, p: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The items' word pairs in texts, as (item, place), by item and place; ``p`` are the pairs of the texts."""
@@ -213,7 +217,7 @@ class Index:
         maybe, at = maybe[real], at[real]
         often = self.begin[at + 1] - self.begin[at]
         place = np.repeat(maybe, often)
-        item = self.owners[np.repeat(self.begin[at] - np.cumsum(often) + often, often) + np.arange(often.sum())]
+        item = self.owners[_ranges(self.begin[at], often)]
         order = np.argsort(item, kind="stable")
         return item[order], place[order]
 
@@ -232,41 +236,51 @@ class Index:
         return np.stack([item[ok], text[ok]])
 
     def windows(self, p: np.ndarray, owner: np.ndarray, item: np.ndarray, place: np.ndarray) -> np.ndarray:
-        """The windows (size, start), inside one text, that have enough word pairs of some item of their size."""
+        """Pairs (item, start) of windows of an item's size, inside one text, that have enough of its word pairs.
+
+        Pairs are counted at every place, and each different one once; then repeated ones of the item count in full.
+        """
+        order = np.lexsort((place, p[place], item))
+        item, place = item[order], place[order]
+        size = self.sizes[item]
+        # A pair at x is in the windows that start in [x - size + 2, x], and the first of its kind in those that start after the one before it.
+        first = place - size + 2
+        before = np.full(len(item), -1 << 40)
+        before[1:] = np.where((item[1:] == item[:-1]) & (p[place[1:]] == p[place[:-1]]), place[:-1], -1 << 40)
+        shift = int(self.sizes.max())
+        key = lambda at: item * (len(owner) + 2 * shift) + at + shift
+        keys = np.concatenate([key(first), key(np.maximum(first, before + 1)), key(place + 1)])
+        zero, one = np.zeros(len(item), np.int64), np.ones(len(item), np.int64)
+        order = np.argsort(keys, kind="stable")
+        keys = keys[order]
+        every = np.cumsum(np.concatenate([one, zero, -one])[order])
+        different = np.cumsum(np.concatenate([zero, one, -one])[order])
+        of, start = np.divmod(keys[:-1], len(owner) + 2 * shift)
+        count = np.diff(keys)
+        need = np.maximum(1, self.sizes[of] - 1 - 2 * (EDITS * self.sizes[of]).astype(np.int64))
+        ok = (count > 0) & (every[:-1] >= need) & (different[:-1] + self.repeated[of] >= need)
+        of, start, count = of[ok], start[ok] - shift, count[ok]
+        item, start = np.repeat(of, count), _ranges(start, count)
         size = self.sizes[item]
-        need = np.maximum(1, size - 1 - 2 * (EDITS * size).astype(np.int64))
-        last = np.arange(len(item)) + need - 1
-        ok = last < len(item)
-        last = np.where(ok, last, 0)
-        ok &= (item[last] == item) & (place[last] - place <= size - 2)
-        first, upto, size, item = place[last[ok]] - size[ok] + 2, place[ok], size[ok], item[ok]
-        count = upto - first + 1
-        start = np.repeat(first - np.cumsum(count) + count, count) + np.arange(count.sum())
-        size, item = np.repeat(size, count), np.repeat(item, count)
         ok = (start >= 0) & (start + size <= len(owner))
-        start, size, item = start[ok], size[ok], item[ok]
+        item, start, size = item[ok], start[ok], size[ok]
         ok = owner[start] == owner[start + size - 1]
-        item, start = np.unique(np.stack([item[ok], start[ok]]), axis=1)
-        # So far repeated pairs counted each time; now each different pair of the item counts once, and repeated ones of the item count in full.
-        size, keep = self.sizes[item], np.zeros(len(item), bool)
-        for c in range(0, len(item), 4096):
-            k, n = item[c : c + 4096], size[c : c + 4096]
-            column = np.arange(int(n.max()) - 1)
-            window = np.sort(np.where(column < n[:, None] - 1, _named(p[np.minimum(start[c : c + 4096, None] + column, len(p) - 1)], k[:, None].astype(np.uint64)), _U(0)), axis=1)
-            at = np.minimum(np.searchsorted(self.own, window), len(self.own) - 1)
-            has = self.own[at] == window
-            has[:, 1:] &= window[:, 1:] != window[:, :-1]
-            keep[c : c + 4096] = has.sum(axis=1) + self.repeated[k] >= np.maximum(1, n - 1 - 2 * (EDITS * n).astype(np.int64))
-        return np.unique(np.stack([size[keep], start[keep]]), axis=1)
+        return np.stack([item[ok], start[ok]])
 
     def candidates(self, rows: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         """Pairs (item, window) that share a key of some repetition."""
-        found: set[tuple[int, int]] = set()
+        found, fresh, size = np.zeros(0, np.int64), [], 0
         for keys in self.embedding.keys(rows, sizes):
-            met = np.flatnonzero(self.known[np.minimum(np.searchsorted(self.known, keys), len(self.known) - 1)] == keys)
-            for w, key in zip(met.tolist(), keys[met].tolist(), strict=True):
-                found.update((k, w) for k in self.table[key])
-        return np.array(sorted(found), np.int64).reshape(-1, 2)
+            at = np.minimum(np.searchsorted(self.known, keys), len(self.known) - 1)
+            window = np.flatnonzero(self.known[at] == keys)
+            begin = self.known_begin[at[window]]
+            often = self.known_begin[at[window] + 1] - begin
+            fresh.append(self.known_items[_ranges(begin, often)] * len(rows) + np.repeat(window, often))
+            size += len(fresh[-1])
+            if size > 1 << 20:
+                found, fresh, size = np.unique(np.concatenate([found, *fresh])), [], 0
+        found = np.unique(np.concatenate([found, *fresh]))
+        return np.stack(np.divmod(found, len(rows)), axis=1)
 
     def copies(self, hashes: np.ndarray, owner: np.ndarray) -> Iterator[tuple[int, dict]]:
         """Exact copies of the items of fewer than LEAST words: the text and its leak, at the first place."""
@@ -300,7 +314,11 @@ class Index:
                 direct.append((k, len(stretches)))
                 stretches.append(hashes[slice(*np.searchsorted(owner, [doc, doc + 1]))])
                 places.append((i + doc, 0))
-            for size, start in self.windows(p, owner, item, place).T.tolist():
+            item, start = self.windows(p, owner, item, place)
+            several, which = np.unique(np.stack([self.sizes[item], start]), axis=1, return_inverse=True)
+            if self.exhaustive:
+                direct += zip(item.tolist(), (len(stretches) + which.ravel()).tolist(), strict=True)
+            for size, start in several.T.tolist():
                 doc, slack = int(owner[start]), int(EDITS * size)
                 first = int(np.searchsorted(owner, doc))
                 lo, hi = max(first, start - slack), min(int(np.searchsorted(owner, doc, side="right")), start + size + slack)
@@ -309,7 +327,7 @@ class Index:
                 places.append((i + doc, lo - first))
         found: dict[tuple[int, int], tuple] = {}
         pairs = np.array(direct, np.int64).reshape(-1, 2)
-        if windows:
+        if windows and not self.exhaustive:
             met = self.candidates(*_rows([x for _, x in windows]))
             met[:, 1] = np.array([w for w, _ in windows])[met[:, 1]]
             pairs = np.concatenate([pairs, met])
@@ -325,8 +343,9 @@ class Index:
         return out
 
 
-def _named(pairs: np.ndarray, item: np.ndarray) -> np.ndarray:
-    return shingles.mix(pairs + item * _U(0x9E3779B97F4A7C15))
+def _ranges(begin: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """The numbers of ``range(begin[i], begin[i] + count[i])`` for all i, joined."""
+    return np.repeat(begin - np.cumsum(count) + count, count) + np.arange(int(count.sum()))
 
 
 def _hashed(rows: np.ndarray) -> np.ndarray:
@@ -346,12 +365,24 @@ def search(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: s
     items = benchmark.select(F.col(item_id).cast("long").alias("i"), F.col(item_text).alias("t")).where("t is not null")
     size = items.agg(F.coalesce(F.sum(F.octet_length("t") + 64), F.lit(0))).first()[0]
     blocks = int(size) // BLOCK_BYTES + 1
-    parts = []
-    for k in range(blocks):
+
+    def index(k: int):
         block = items.where(F.pmod(F.xxhash64("t"), F.lit(blocks)) == k).orderBy("i", "t").toPandas()
-        ids = [None if i != i else int(i) for i in block["i"]]
-        parts.append(_searched(spark.sparkContext.broadcast(Index(ids, block["t"].tolist())))(F.col(text)))
-    return docs.withColumn(out, reduce(lambda a, b: F.concat(a, b), parts))
+        return spark.sparkContext.broadcast(Index([None if i != i else int(i) for i in block["i"]], block["t"].tolist()))
+
+    if blocks == 1:
+        return docs.withColumn(out, _searched(index(0))(F.col(text)))
+    key, found = f"__{uuid.uuid4().hex}", None
+    for k in range(blocks):
+        held = index(k)
+        hits = docs.select(F.sha2(text, 256).alias(key), _searched(held)(F.col(text)).alias("leaks")).where(F.size("leaks") > 0)
+        hits = stored(hits.groupBy(key).agg(F.first("leaks").alias("leaks")), "leaks")
+        found = hits if found is None else found.union(hits)
+        held.destroy()
+    leaks = found.groupBy(key).agg(F.flatten(F.collect_list("leaks")).alias(f"{key}_leaks"))
+    rest = [c for c in docs.columns if c != out]
+    joined = docs.withColumn(key, F.sha2(text, 256)).join(leaks, key, "left")
+    return joined.withColumn(out, F.coalesce(f"{key}_leaks", F.array().cast(LEAKS))).select(*rest, out)
 
 
 def _searched(index):
