@@ -6,11 +6,13 @@ turn may keep its role, be relabelled, be merged into the turn before, or be
 preceded by an inserted empty turn; dynamic programming over the automaton of
 legal turns finds the cheapest repair, and the repaired turns are rendered.
 
-A conversation of any length is cut into segments of bounded size: rows are
-sorted by range, so that one conversation may span many tasks, and each segment
-is summed up by a small matrix of least costs between automaton states.  The
-matrices of a conversation, not its texts, are chained to find each segment's
-first and last state; then segments are repaired and rendered on their own.
+A conversation of any length is cut into segments of bounded turns and bytes:
+rows are sorted by range, so that one conversation may span many partitions, and
+each segment is summed up by a small matrix of least costs between automaton
+states.  Matrices, not texts, are chained in two levels: those of a partition
+become one, and a conversation has as many of these as it spans partitions.  The
+states between partitions give those between segments; then segments are
+repaired and rendered on their own.
 
 The result has a row for each source turn: rendered pieces in order of turns
 make up the conversation.  Ties are broken by the order of actions: keep, merge,
@@ -39,7 +41,8 @@ ROLES = ("system", "user", "assistant")
 START, SYSTEM, USER, ASSISTANT = range(4)
 #: Costs: merge, relabel, insert an empty turn (fixed values).
 MERGE, RELABEL, INSERT = 2, 3, 4
-SEGMENT = 512
+#: Turns of a segment at most, and bytes of text from which on it ends.
+SEGMENT, SEGMENT_BYTES = 512, 4 << 20
 #: A rendered turn (fixed format).
 OPEN, CLOSE = "<|{role}|>\n", "<|end|>\n"
 _INF = 1 << 40
@@ -85,6 +88,28 @@ def matrix(roles: list[int]) -> np.ndarray:
     return out
 
 
+def product(mats: list[np.ndarray]) -> np.ndarray:
+    """Least costs over segments in a row."""
+    out = mats[0]
+    for m in mats[1:]:
+        out = np.minimum((out[:, :, None] + m[None]).min(axis=1), _INF)
+    return out
+
+
+def states(mats: list[np.ndarray], first: int = START, last: int | None = None) -> list[tuple[int, int]]:
+    """The states before and after each segment of a cheapest path; without ``last`` to the cheapest ending."""
+    forward = [np.where(np.arange(4) == first, 0, _INF)]
+    for m in mats:
+        forward.append((forward[-1][:, None] + m).min(axis=0))
+    state = min(range(4), key=lambda s: (forward[-1][s] + ENDING[s], s)) if last is None else last
+    out = []
+    for k in range(len(mats) - 1, -1, -1):
+        before = int(np.argmin(forward[k] + mats[k][:, state]))
+        out.append((before, state))
+        state = before
+    return out[::-1]
+
+
 def repair(roles: list[int], first: int = START, last: int | None = None) -> list[tuple]:
     """The moves of a cheapest path from state ``first`` to ``last``; without ``last`` to the cheapest ending."""
     costs, back = [_INF] * 4, []
@@ -119,50 +144,74 @@ def render(moves: list[tuple], texts: list[str | None], first: int, final: bool)
     return out
 
 
-_SEGMENTS = "conv_id long, part int, serial long, turns array<long>, roles array<string>, texts array<string>, costs array<long>"
+_SEGMENTS = "conv_id long, part int, node long, serial long, turns array<long>, roles array<string>, texts array<string>, costs array<long>"
 
 
 def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sorted rows (conversation, turn, role, text) as segments with their costs."""
     part, serial = TaskContext.get().partitionId(), 0
-    held, now = [], None
+    held, now, size, node = [], None, 0, 0  # node: the conversation's first segment of this partition
 
     def row():
         turns, roles, texts = (list(x) for x in zip(*held, strict=True))
         costs = matrix([code(r) for r in roles]).ravel()
         return pa.RecordBatch.from_arrays(
-            [pa.array([now], pa.int64()), pa.array([part], pa.int32()), pa.array([serial], pa.int64()), pa.array([turns], pa.list_(pa.int64())), pa.array([roles], pa.list_(pa.string())), pa.array([texts], pa.list_(pa.string())), pa.array([costs.tolist()])],
-            ["conv_id", "part", "serial", "turns", "roles", "texts", "costs"],
+            [pa.array([now], pa.int64()), pa.array([part], pa.int32()), pa.array([node]), pa.array([serial], pa.int64()), pa.array([turns], pa.list_(pa.int64())), pa.array([roles], pa.list_(pa.string())), pa.array([texts], pa.list_(pa.string())), pa.array([costs.tolist()])],
+            ["conv_id", "part", "node", "serial", "turns", "roles", "texts", "costs"],
         )
 
     for b in batches:
-        for conv, turn, role, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            if held and (conv != now or len(held) == SEGMENT):
+        for row_ in zip(*b.columns, strict=True):
+            conv, turn, role, text = (x.as_py() for x in row_)
+            if held and (conv != now or len(held) == SEGMENT or size >= SEGMENT_BYTES):
                 yield row()
-                held, serial = [], serial + 1
+                held, size, serial = [], 0, serial + 1
+                node = node if conv == now else serial
             now = conv
             held.append((turn, role, text))
+            size += len(text or "")
     if held:
         yield row()
 
 
-def _chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Conversations' segments in order, by their costs only: each segment's first and last state (-1: any), and whether it is the end."""
+def _matrices(parts: list[dict]) -> list[np.ndarray]:
+    return [np.array(x["costs"], np.int64).reshape(4, 4) for x in parts]
+
+
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A conversation's segments of one partition as one matrix."""
+    for b in batches:
+        costs = [product(_matrices(parts)).ravel().tolist() for parts in b.column(3).to_pylist()]
+        yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(costs, pa.list_(pa.int64()))], ["conv_id", "part", "node", "costs"])
+
+
+_ENDS = "part int, serial long, first int, last int, final boolean"
+
+
+def _ends(rows: list[tuple]) -> pa.RecordBatch:
+    cols = list(zip(*rows, strict=True)) or [()] * 5
+    types = (pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.bool_())
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["part", "serial", "first", "last", "final"])
+
+
+def _between_partitions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The states before and after each partition of a conversation, and whether it is the last one."""
     for b in batches:
         out = []
         for parts in b.column(0).to_pylist():
-            mats = [np.array(x["costs"], np.int64).reshape(4, 4) for x in parts]
-            forward = [np.where(np.arange(4) == START, 0, _INF)]
-            for m in mats:
-                forward.append((forward[-1][:, None] + m).min(axis=0))
-            state = min(range(4), key=lambda s: (forward[-1][s] + ENDING[s], s))
-            for k in range(len(mats) - 1, -1, -1):
-                before = int(np.argmin(forward[k] + mats[k][:, state]))
-                out.append((parts[k]["part"], parts[k]["serial"], before, state, k == len(mats) - 1))
-                state = before
-        cols = list(zip(*out, strict=True)) or [()] * 5
-        types = (pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.bool_())
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["part", "serial", "first", "last", "final"])
+            found = states(_matrices(parts))
+            out += [(x["part"], x["node"], first, last, x is parts[-1]) for x, (first, last) in zip(parts, found, strict=True)]
+        yield _ends(out)
+
+
+def _between_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The states before and after each segment, and whether it is its conversation's last one."""
+    for b in batches:
+        out = []
+        for x in b.to_pylist():
+            found = states(_matrices(x["parts"]), x["first"], x["last"])
+            out += [(x["part"], y["serial"], first, last, x["final"] and y is x["parts"][-1]) for y, (first, last) in zip(x["parts"], found, strict=True)]
+        yield _ends(out)
 
 
 _RESULT = "conv_id long, turn long, position long, role string, repaired_role string, action string, inserted int, rendered string"
@@ -188,6 +237,9 @@ def format_chats(turns: DataFrame, conversation: str = "conv_id", turn: str = "t
     n = int(turns.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = rows.repartitionByRange(n, *keys).sortWithinPartitions(*keys, "text")
     segments = stored(ordered.mapInArrow(_segments, _SEGMENTS), "segments")
-    chains = segments.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("part", "serial", "costs"))).alias("parts"))
-    ends = chains.select("parts").mapInArrow(_chain, "part int, serial long, first int, last int, final boolean")
-    return segments.drop("costs").join(ends, ["part", "serial"]).mapInArrow(_repaired, _RESULT)
+    inner = segments.groupBy("conv_id", "part", "node").agg(F.array_sort(F.collect_list(F.struct("serial", "costs"))).alias("parts"))
+    summed = inner.mapInArrow(_summed, "conv_id long, part int, node long, costs array<long>")
+    chains = summed.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("part", "node", "costs"))).alias("parts"))
+    outer = chains.select("parts").mapInArrow(_between_partitions, _ENDS).withColumnRenamed("serial", "node")
+    ends = inner.join(outer, ["part", "node"]).select("part", "parts", "first", "last", "final").mapInArrow(_between_segments, _ENDS)
+    return segments.drop("costs", "node").join(ends, ["part", "serial"]).mapInArrow(_repaired, _RESULT)
