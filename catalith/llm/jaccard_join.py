@@ -51,7 +51,7 @@ NUM, DEN = 3, 4
 #: At most so many of the most frequent shingles come last in the order.
 DEMOTED = 1 << 19
 #: Bits of the Bloom filter at most, rows of a run that are held at once, and rows of a block of the second round.
-BLOOM_BITS, RUN, BLOCK = 1 << 26, 1 << 17, 4096
+BLOOM_BITS, RUN, BLOCK = 1 << 26, 1 << 17, 1024
 _U = np.uint64
 
 
