@@ -88,8 +88,9 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document with its personal data replaced."""
-    return pii_surrogates.replace(table(spark, sf_dir, "documents").select("doc_id", "text"), key="catalith").select("doc_id", "text", F.map_entries("entities").alias("entities"))
+    """Every document with its personal data replaced, by the key in ``spark.catalith.pii.key``."""
+    key = spark.conf.get("spark.catalith.pii.key", "catalith")
+    return pii_surrogates.replace(table(spark, sf_dir, "documents").select("doc_id", "text"), key).select("doc_id", "text", F.map_entries("entities").alias("entities"))
 
 
 def op2_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
