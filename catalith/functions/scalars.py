@@ -141,3 +141,55 @@ def cosine(a: Column, b: Column) -> Column:
     norm = lambda v: F.sqrt(total(F.transform(v, lambda x: x.cast("double") * x.cast("double"))))
     n = norm(a) * norm(b)
     return F.when(F.size(a) == F.size(b), F.when(n > 0, dot / n).otherwise(F.lit(0.0)))
+
+
+def from_base64url(text: Column) -> Column:
+    """The bytes of unpadded base64 for URLs."""
+    plain = F.translate(text, "-_", "+/")
+    return F.unbase64(F.rpad(plain, (F.ceil(F.length(plain) / 4) * 4).cast("int"), "="))
+
+
+def big_endian(n: Column, size: int) -> Column:
+    """The last bytes of a number, the greatest first, as hexadecimal digits."""
+    return F.lpad(F.hex(F.pmod(n, F.lit(1 << (8 * size)))), 2 * size, "0")
+
+
+def ref_id(path: Column, version: Column) -> Column:
+    """The name under which a version refers to its chunks."""
+    return F.concat_ws("#", path, version)
+
+
+def plain_name(text: Column) -> Column:
+    """Whether a text may name a tenant or an object."""
+    return text.rlike(r"^[A-Za-z0-9._-]{1,128}$")
+
+
+def variant_key(width: Column, height: Column, fit: Column) -> Column:
+    """The key of a variant of any size."""
+    return F.concat(F.lit("custom:w"), width.cast("string"), F.lit("h"), height.cast("string"), fit)
+
+
+def sealed(data: Column, key: Column) -> Column:
+    """Bytes sealed with AES-GCM under a nonce of their own hash: nonce, text, tag; equal bytes of one key are sealed alike."""
+    nonce = F.substring(F.unhex(F.sha2(F.concat(key, data), 256)), 1, 12)
+    return F.aes_encrypt(data, key, F.lit("GCM"), F.lit("NONE"), nonce)
+
+
+def opened(data: Column, key: Column) -> Column:
+    return F.aes_decrypt(data, key, F.lit("GCM"), F.lit("NONE"))
+
+
+def upload_backoff(n: Column) -> Column:
+    """Milliseconds before the n-th try of an upload again, without the random part."""
+    return F.least(100 * F.pow(F.lit(2), n), F.lit(30_000)).cast("long")
+
+
+def wave_height(width: Column) -> Column:
+    """The height of a waveform of a width."""
+    return F.floor(width / 4).cast("long")
+
+
+def code_tokens(text: Column, keywords: str, most: int = 1024) -> Column:
+    """Keywords and quoted strings in the beginning of a source text, as a struct of counts; previews show no more of it."""
+    head = F.substring(text, 1, most)
+    return F.struct(F.size(F.regexp_extract_all(head, F.lit(f"({keywords})"))).cast("long").alias("keywords"), F.size(F.regexp_extract_all(head, F.lit('("[^"]*")'))).cast("long").alias("strings"))

@@ -29,28 +29,118 @@ def range_parts(chunks: DataFrame, start: int, end: int) -> DataFrame:
 
 
 def split(bodies: DataFrame, size: int, key: str = "file_id", data: str = "data") -> DataFrame:
-    """Bodies as chunks of ``size`` bytes with their hashes."""
+    """Bodies as chunks of ``size`` bytes with their hashes; each row leaves the generator with its own bytes only."""
     n = F.greatest(F.floor((F.octet_length(data) + size - 1) / size), F.lit(1)).cast("int")
-    each = bodies.select(key, data, F.explode(F.sequence(F.lit(0), n - 1)).alias("chunk_index"))
-    part = F.substring(F.col(data), F.col("chunk_index") * size + 1, F.lit(size))
-    return each.select(key, "chunk_index", part.alias("data")).select(key, "chunk_index", F.sha2("data", 256).alias("chunk_hash"), F.octet_length("data").cast("long").alias("chunk_size"), "data")
+    parts = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substring(F.col(data), i * size + 1, F.lit(size)))
+    each = bodies.select(key, F.posexplode(parts).alias("chunk_index", "data"))
+    return each.select(key, "chunk_index", F.sha2("data", 256).alias("chunk_hash"), F.octet_length("data").cast("long").alias("chunk_size"), "data")
 
 
 def read(chunks: DataFrame, key: str = "file_id", data: str = "data") -> DataFrame:
     """Chunks put together in order."""
-    a = chunks.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("chunk_index", data))).alias("c"))
-    return a.select(key, F.aggregate("c", F.lit(b""), lambda s, x: F.concat(s, x[data])).alias(data))
-
-
-def put(store: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The store after chunks are put, and each (hash, file, index) with its outcome; marked chunks that are put again live."""
-    refs = new.dropDuplicates(["chunk_hash", "file_id", "chunk_index"])
-    known = store.select("chunk_hash", F.lit(True).alias("known"))
-    outcome = refs.join(known, "chunk_hash", "left").withColumn("outcome", F.when(F.col("known"), "deduplicated").otherwise("created")).drop("known")
-    added = refs.groupBy("chunk_hash").agg(F.max("chunk_size").alias("size"), F.count("*").alias("ref_count"))
-    both = store.select("chunk_hash", "size", "ref_count", "deleted_at").unionByName(added.withColumn("deleted_at", F.lit(None).cast("long")).withColumn("new", F.lit(1)), allowMissingColumns=True)
-    after = both.groupBy("chunk_hash").agg(F.max("size").alias("size"), F.sum("ref_count").alias("ref_count"), F.max("new").alias("new"), F.max("deleted_at").alias("deleted_at"))
-    return after.select("chunk_hash", "size", "ref_count", F.when(F.col("new").isNull(), F.col("deleted_at")).alias("deleted_at")), outcome
+    return chunks.groupBy(key).agg(F.expr(f"listagg({data}) WITHIN GROUP (ORDER BY chunk_index)").alias(data))
+
+
+def read_files(files: DataFrame, chunks: DataFrame, most: int = 100 << 20) -> DataFrame:
+    """``file_id, data, error_code`` of files (file_id, file_size, inline_data): the inline bytes, else the chunks that are there, cut to the file's size.
+
+    ENOENT: neither; EFBIG: more bytes than ``most``, which are not read.
+    """
+    small = files.where(F.col("file_size") <= most)
+    own = read(chunks.join(small.where("inline_data is null").select("file_id"), "file_id", "left_semi").select("file_id", "chunk_index", "data"))
+    out = files.join(own, "file_id", "left")
+    code = F.when(F.col("file_size") > most, "EFBIG").when(F.col("inline_data").isNull() & F.col("data").isNull() & (F.col("file_size") > 0), "ENOENT")
+    data = F.substring(F.coalesce("inline_data", "data", F.lit(b"")), F.lit(1), F.col("file_size").cast("int"))
+    return out.select("file_id", F.when(code.isNull(), data).alias("data"), code.alias("error_code"))
+
+
+def many_chunks(asked: DataFrame, store: DataFrame) -> DataFrame:
+    """For (pos, chunk_hash): the stored bytes and size, null for missing ones; order and repeats are kept by ``pos``."""
+    return asked.join(store.select("chunk_hash", "size", "data"), "chunk_hash", "left").select("pos", "chunk_hash", "size", "data")
+
+
+def chunk_at(asked: DataFrame, files: DataFrame, chunks: DataFrame) -> DataFrame:
+    """For (file_id, chunk_index): hash and size of that chunk; a file with inline bytes has chunk 0 only, of all of them.  ENOENT: no such file; EINVAL: no such chunk."""
+    f = files.select("file_id", F.sha2("inline_data", 256).alias("inline_hash"), F.octet_length("inline_data").cast("long").alias("inline_size"), F.lit(True).alias("there"))
+    out = asked.join(f, "file_id", "left").join(chunks.select("file_id", "chunk_index", "chunk_hash", "chunk_size"), ["file_id", "chunk_index"], "left")
+    first = F.col("chunk_index") == 0
+    inline = F.col("inline_hash").isNotNull()
+    hashed = F.when(inline, F.when(first, F.col("inline_hash"))).otherwise(F.col("chunk_hash"))
+    size = F.when(inline, F.when(first, F.col("inline_size"))).otherwise(F.col("chunk_size"))
+    code = F.when(F.col("there").isNull(), "ENOENT").when(hashed.isNull(), "EINVAL")
+    return out.select("file_id", "chunk_index", hashed.alias("chunk_hash"), size.alias("chunk_size"), code.alias("error_code"))
+
+
+def manifests(asked: DataFrame, files: DataFrame, chunks: DataFrame) -> DataFrame:
+    """For (pos, file_id): the manifest's hash and chunks, or ENOENT."""
+    m = manifest(chunks.join(asked.select("file_id").distinct(), "file_id", "left_semi"))
+    f = files.select("file_id", F.lit(True).alias("there"))
+    out = asked.join(f, "file_id", "left").join(m, "file_id", "left")
+    ok = lambda c, none: F.when(F.col("there"), F.coalesce(c, none)).alias(c)
+    return out.select("pos", "file_id", ok("chunks", F.lit(0).cast("long")), ok("bytes", F.lit(0).cast("long")), ok("file_hash", F.lit(None).cast("string")), F.when(F.col("there").isNull(), "ENOENT").alias("error_code"))
+
+
+def with_bytes(chunks: DataFrame, store: DataFrame) -> DataFrame:
+    """A manifest's rows with their stored bytes, joined within shards; a chunk that is gone has none."""
+    return chunks.join(store.select("shard_index", "chunk_hash", "data"), ["shard_index", "chunk_hash"], "left")
+
+
+def alive(store: DataFrame) -> DataFrame:
+    """Chunks that are not marked and that something refers to."""
+    return store.where(F.col("deleted_at").isNull() & (F.col("ref_count") >= 1))
+
+
+#: The hash of no bytes (fixed value).
+EMPTY = "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"
+
+
+def put(store: DataFrame, refs: DataFrame, new: DataFrame, order: tuple[str, ...] = ("file_id", "chunk_index")) -> tuple[DataFrame, DataFrame]:
+    """The store after chunks are put, and each put with its outcome.
+
+    The first put of a hash that is not stored, by ``order`` (unique for a hash),
+    is ``created``, all others ``deduplicated``; no bytes under another hash than
+    theirs are ``EINVAL`` if the hash is not stored, and change nothing.  Only
+    references (hash, file, index) that are not in ``refs`` are counted, each once.
+    A put unmarks its chunk.
+    """
+    known = store.select("chunk_hash", F.lit(True).alias("__known"))
+    puts = new.join(known, "chunk_hash", "left")
+    puts = puts.withColumn("__bad", F.col("__known").isNull() & (F.col("chunk_size") == 0) & (F.col("chunk_hash") != EMPTY))
+    first = puts.where("not __bad and __known is null").groupBy("chunk_hash").agg(F.min(F.struct(*order)).alias("__first"))
+    puts = puts.join(first, "chunk_hash", "left")
+    outcome = F.when(F.col("__bad"), "EINVAL").when(F.col("__known").isNull() & (F.struct(*order) == F.col("__first")), "created").otherwise("deduplicated")
+    puts = puts.withColumn("outcome", outcome).drop("__first", "__known", "__bad")
+    good = puts.where("outcome <> 'EINVAL'")
+    fresh = good.select("chunk_hash", "file_id", "chunk_index").distinct().join(refs, ["chunk_hash", "file_id", "chunk_index"], "left_anti")
+    counted = fresh.groupBy("chunk_hash").agg(F.count("*").alias("more"))
+    touched = good.groupBy("chunk_hash").agg(F.max("chunk_size").alias("new_size")).join(counted, "chunk_hash", "left")
+    both = store.select("chunk_hash", "size", "ref_count", "deleted_at").join(touched, "chunk_hash", "full")
+    count = F.coalesce("ref_count", F.lit(0)) + F.coalesce("more", F.lit(0))
+    after = both.select("chunk_hash", F.coalesce("size", "new_size").alias("size"), count.alias("ref_count"), F.when(F.col("new_size").isNull(), F.col("deleted_at")).alias("deleted_at"))
+    return after, puts
+
+
+def put_parts(landed: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Parts of uploads after new ones, and each new part's outcome: ``created``, ``deduplicated``, or ``superseded`` where the place held another hash.
+
+    ``new`` has one row a place (upload_id, chunk_index).
+    """
+    old = landed.select("upload_id", "chunk_index", F.col("chunk_hash").alias("was"))
+    known = landed.select("chunk_hash").distinct().withColumn("known", F.lit(True))
+    out = new.join(old, ["upload_id", "chunk_index"], "left").join(known, "chunk_hash", "left")
+    outcome = F.when(F.col("was") != F.col("chunk_hash"), "superseded").when(F.col("known"), "deduplicated").otherwise("created")
+    after = landed.join(new.select("upload_id", "chunk_index"), ["upload_id", "chunk_index"], "left_anti").unionByName(new.select(landed.columns))
+    return after, out.select("upload_id", "chunk_index", outcome.alias("outcome"))
+
+
+def restored_refs(store: DataFrame, refs: DataFrame, asked: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """References after asked ones (hash, file, index) are restored, and each one's outcome: ``gone`` where the chunk is not alive, ``kept`` where it was there, else ``added``."""
+    keys = ["chunk_hash", "file_id", "chunk_index"]
+    live = alive(store).select("chunk_hash", F.lit(True).alias("live"))
+    was = refs.select(*keys, F.lit(True).alias("was"))
+    out = asked.select(*keys).distinct().join(live, "chunk_hash", "left").join(was, keys, "left")
+    out = out.withColumn("outcome", F.when(F.col("live").isNull(), "gone").when(F.col("was"), "kept").otherwise("added"))
+    return refs.select(*keys).unionByName(out.where("outcome = 'added'").select(*keys)), out.select(*keys, "outcome")
 
 
 def dropped_refs(store: DataFrame, refs: DataFrame, files: DataFrame, now_ms: int) -> DataFrame:

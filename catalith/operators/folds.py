@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 
 def compacted(log: DataFrame) -> DataFrame:
@@ -19,55 +26,126 @@ def replayed(log: DataFrame, value: str = "value") -> DataFrame:
 
 
 def due_for_compaction(log: DataFrame, now_ms: int, ops: int = 50, age_ms: int = 60_000) -> DataFrame:
-    """Paths with enough ops since their checkpoint, or any that are old enough."""
-    tail = compacted(log).where(F.col("kind") == "op").groupBy("path_id").agg(F.count("*").alias("n"), F.min("ts").alias("since"))
-    return tail.where((F.col("n") >= ops) | ((F.col("n") > 0) & (now_ms - F.col("since") >= age_ms)))
+    """Paths with enough ops since their checkpoint, or any at all and the last checkpoint (without one, the first op) long ago."""
+    last = log.where(F.col("kind") == "checkpoint").groupBy("path_id").agg(F.max("ts").alias("at"))
+    tail = compacted(log).where(F.col("kind") == "op").groupBy("path_id").agg(F.count("*").alias("n"), F.min("ts").alias("first"))
+    rows = tail.join(last, "path_id", "left").select("path_id", "n", F.coalesce("at", "first").alias("since"))
+    return rows.where((F.col("n") >= ops) | (now_ms - F.col("since") >= age_ms))
+
+
+def fold(rows: DataFrame, key: str, order: str, columns: list[str], start: Callable[[], object], step: Callable, finish: Callable[[object], tuple], schema: str) -> DataFrame:
+    """``finish`` of the state after ``step(state, *columns)`` over each key's rows in order, for steps that cannot be combined.
+
+    Rows are sorted by Spark and read in a stream; only the state of one key is
+    held, so that a key of any length takes no more memory than a short one.
+    """
+    kind = dict(rows.dtypes)[key]
+    out = f"{key} {kind}, {schema}"
+    names, types = _arrow(out)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, state, begun, done = None, start(), False, []
+        for b in batches:
+            for k, *values in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if begun and k != now:
+                    done.append((now, *finish(state)))
+                    state = start()
+                now, begun, state = k, True, step(state, *values)
+            if len(done) > 4096:
+                yield _batch(done, names, types)
+                done = []
+        if begun:
+            done.append((now, *finish(state)))
+        if done:
+            yield _batch(done, names, types)
 
+    ordered = rows.select(key, order, *(c for c in columns if c != order)).repartition(F.col(key)).sortWithinPartitions(key, order)
+    return ordered.select(key, *columns).mapInArrow(run, out)
 
-def fold(rows: DataFrame, key: str, order: list[str], start: Column, step) -> DataFrame:
-    """``key, state`` after ``step(state, row)`` over each key's rows in order; states are columns, so that all stays built in."""
-    names = [c for c in rows.columns if c != key]
-    ordered = F.array_sort(F.collect_list(F.struct(*order, *(c for c in names if c not in order))))
-    return rows.groupBy(key).agg(ordered.alias("__rows")).select(key, F.aggregate("__rows", start, step).alias("state"))
+
+def _arrow(schema: str) -> tuple[list[str], list]:
+    target = to_arrow_schema(StructType.fromDDL(schema))
+    return target.names, target.types
+
+
+def _batch(rows: list[tuple], names: list[str], types: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
 
 
 def token_bucket(requests: DataFrame, key: str = "user_id", at: str = "ts", rate: float = 100.0, burst: float = 200.0) -> DataFrame:
     """Per key: requests granted and refused, and tokens left; a refusal consumes nothing but advances the clock."""
-    start = F.struct(F.lit(burst).alias("tokens"), F.lit(None).cast("long").alias("last"), F.lit(0).cast("long").alias("granted"), F.lit(0).cast("long").alias("refused"))
 
-    def step(s: Column, r: Column) -> Column:
-        dt = F.greatest(r[at] - F.coalesce(s["last"], r[at]), F.lit(0)) / 1000.0
-        filled = F.least(F.lit(burst), s["tokens"] + dt * rate)
-        ok = filled >= 1
-        return F.struct(F.when(ok, filled - 1).otherwise(filled).alias("tokens"), r[at].alias("last"), (s["granted"] + ok.cast("long")).alias("granted"), (s["refused"] + (~ok).cast("long")).alias("refused"))
+    def step(s: tuple, t: int) -> tuple:
+        tokens, last, granted, refused = s
+        tokens = min(burst, tokens + max(t - (t if last is None else last), 0) / 1000.0 * rate)
+        return (tokens - 1, t, granted + 1, refused) if tokens >= 1 else (tokens, t, granted, refused + 1)
+
+    return fold(requests, key, at, [at], lambda: (burst, None, 0, 0), step, lambda s: (s[2], s[3], float(s[0])), "granted long, refused long, tokens double")
 
-    return fold(requests.select(key, at), key, [at], start, step).select(key, "state.granted", "state.refused", "state.tokens")
+
+def _clamped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted rows (key, delta) as segments: a counter x becomes max(x + add, least), and its peak max(x + high, top)."""
+    part, serial = TaskContext.get().partitionId(), 0
+    for b in batches:
+        keys, delta = b.column(0), b.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
+        codes = keys.dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+        edges = [0, *(np.flatnonzero(codes[1:] != codes[:-1]) + 1).tolist(), len(codes)]
+        out = []
+        for s, e in zip(edges, edges[1:], strict=False):
+            if s == e:
+                continue
+            sums = np.cumsum(delta[s:e])
+            # From x: sum + x while it never fell below zero; else the sum less the least sum so far.
+            from_zero = sums - np.minimum.accumulate(sums)
+            out.append((keys[s].as_py(), part, serial, int(sums[-1]), int(from_zero[-1]), int(sums.max()), int(from_zero.max())))
+            serial += 1
+        if out:
+            cols = list(zip(*out, strict=True))
+            types = (keys.type, pa.int32(), *[pa.int64()] * 5)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["key", "part", "serial", "add", "least", "high", "top"])
 
 
 def usage(deltas: DataFrame, key: str, order: str, delta: str) -> DataFrame:
-    """Counters that never fall below zero, and their high-water mark: order matters, a sum would not do."""
-    start = F.struct(F.lit(0).cast("long").alias("now"), F.lit(0).cast("long").alias("peak"))
+    """Counters that never fall below zero, and their high-water mark: order matters, a sum would not do.
+
+    A run of deltas takes a counter x to max(x + add, least); such steps combine,
+    so that histories are cut into segments of sorted ranges and a key of any
+    length is spread over tasks.
+    """
+    kind, n = dict(deltas.dtypes)[key], int(deltas.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = deltas.select(F.col(key).alias("key"), F.col(order).alias("at"), F.col(delta).cast("long").alias("delta"))
+    ordered = rows.repartitionByRange(n, "key", "at").sortWithinPartitions("key", "at").select("key", "delta")
+    segments = ordered.mapInArrow(_clamped, f"key {kind}, part int, serial long, add long, least long, high long, top long")
+    listed = F.array_sort(F.collect_list(F.struct("part", "serial", "add", "least", "high", "top")))
+    zero = F.struct(F.lit(0).cast("long").alias("now"), F.lit(0).cast("long").alias("peak"))
+    step = lambda s, x: F.struct(
+        F.greatest(s["now"] + x["add"], x["least"]).alias("now"), F.greatest(s["peak"], s["now"] + x["high"], x["top"]).alias("peak")
+    )
+    return segments.groupBy("key").agg(F.aggregate(listed, zero, step).alias("s")).select(F.col("key").alias(key), F.col("s.now").alias("used"), F.col("s.peak").alias("peak"))
 
-    def step(s: Column, r: Column) -> Column:
-        now = F.greatest(s["now"] + r[delta], F.lit(0))
-        return F.struct(now.alias("now"), F.greatest(s["peak"], now).alias("peak"))
 
-    return fold(deltas.select(key, order, delta), key, [order], start, step).select(key, F.col("state.now").alias("used"), F.col("state.peak").alias("peak"))
+#: The window at first, at most and at least, and the threshold of its fast growth (fixed values).
+WINDOW, MOST_WINDOW, LEAST_WINDOW, THRESHOLD = 4.0, 64.0, 2.0, 32.0
 
 
 def aimd(samples: DataFrame, key: str, order: str, rtt: str, ok: str) -> DataFrame:
-    """Per key: smoothed round trip and deviation, and a window that grows by one and halves on failure."""
-    zero = F.lit(0.0)
-    start = F.struct(F.lit(4.0).alias("window"), F.lit(None).cast("double").alias("srtt"), zero.alias("rttvar"))
+    """Per key: a window of requests, its threshold, the smoothed round trip, its deviation, and the time to wait for an answer.
+
+    A success adds one to the window below the threshold, else its inverse; a
+    failure halves both, and tells nothing of the round trip.
+    """
 
-    def step(s: Column, r: Column) -> Column:
-        x = r[rtt].cast("double")
-        srtt = F.when(s["srtt"].isNull(), x).otherwise(0.875 * s["srtt"] + 0.125 * x)
-        var = F.when(s["srtt"].isNull(), x / 2).otherwise(0.75 * s["rttvar"] + 0.25 * F.abs(s["srtt"] - x))
-        window = F.when(r[ok], F.least(s["window"] + 1, F.lit(64.0))).otherwise(F.greatest(s["window"] / 2, F.lit(1.0)))
-        return F.struct(window.alias("window"), F.when(r[ok], srtt).otherwise(s["srtt"]).alias("srtt"), F.when(r[ok], var).otherwise(s["rttvar"]).alias("rttvar"))
+    def step(s: tuple, x: float, good: bool) -> tuple:
+        window, threshold, srtt, var = s
+        if not good:
+            half = max(window / 2, LEAST_WINDOW)
+            return half, half, srtt, var
+        srtt, var = (x, x / 2) if srtt is None else (0.875 * srtt + 0.125 * x, 0.75 * var + 0.25 * abs(srtt - x))
+        return min(MOST_WINDOW, window + (1 if window < threshold else 1 / window)), threshold, srtt, var
 
-    return fold(samples.select(key, order, rtt, ok), key, [order], start, step).select(key, "state.*")
+    rows = samples.withColumn(rtt, F.col(rtt).cast("double"))
+    wait = lambda s: 1000.0 if s[2] is None else max(1000.0, s[2] + 4 * s[3])
+    return fold(rows, key, order, [rtt, ok], lambda: (WINDOW, THRESHOLD, None, 0.0), step, lambda s: (*s, wait(s)), "cwnd double, ssthresh double, srtt double, rttvar double, rto double")
 
 
 def outbox(intents: DataFrame, now_ms: int, lease_ms: int = 300_000) -> DataFrame:
@@ -89,5 +167,113 @@ def illegal_transitions(log: DataFrame, key: str, order: str, state: str, legal:
 
 
 def revisions(mutations: DataFrame) -> DataFrame:
-    """A folder's revision: how often a direct child of it changed."""
-    return mutations.groupBy(F.coalesce("parent_id", F.lit("")).alias("parent_id")).agg(F.count("*").alias("revision"))
+    """A folder's revision, from mutations (parent_id, and for moves new_parent_id): each one bumps the folder, a move both if they differ."""
+    place = lambda c: F.coalesce(c, F.lit(""))
+    one = F.array(place("parent_id"))
+    if "new_parent_id" in mutations.columns:
+        one = F.when(F.col("op") == "move", F.array_distinct(F.array(place("parent_id"), place("new_parent_id")))).otherwise(one)
+    return mutations.select(F.explode(one).alias("parent_id")).groupBy("parent_id").agg(F.count("*").alias("revision"))
+
+
+def appended(log: DataFrame, new: DataFrame, key: str = "path_id", order: str = "ts") -> DataFrame:
+    """New ops with the next numbers of their paths, in their order."""
+    last = log.groupBy(key).agg(F.max("seq").alias("__last"))
+    w = Window.partitionBy(key).orderBy(order)
+    return new.withColumn("__place", F.row_number().over(w)).join(last, key, "left").withColumn("seq", F.coalesce("__last", F.lit(0)) + F.col("__place")).drop("__last", "__place")
+
+
+def log_page(log: DataFrame, path: str, after: int, limit: int = 1000) -> DataFrame:
+    """A path's ops after a number, at most ``limit``, each with whether more follow the page."""
+    rows = log.where((F.col("path_id") == path) & (F.col("seq") > after)).orderBy("seq").limit(limit + 1)
+    more = F.count("*").over(Window.partitionBy("path_id")) > limit
+    return rows.withColumn("has_more", more).orderBy("seq").limit(limit)
+
+
+def compacted_if(log: DataFrame, asked: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The log after checkpoints (path_id, expected_next, ts, value) that apply only if the path's next number is still the expected one, and each one's outcome."""
+    now = log.groupBy("path_id").agg((F.max("seq") + 1).alias("next"))
+    out = asked.join(now, "path_id", "left").withColumn("next", F.coalesce("next", F.lit(1)))
+    out = out.withColumn("applied", F.col("next") == F.col("expected_next"))
+    done = out.where("applied").select("path_id", F.col("next").alias("seq"), F.lit("checkpoint").alias("kind"), "ts", "value")
+    kept = log.join(done.select("path_id"), "path_id", "left_anti").select("path_id", "seq", "kind", "ts", "value")
+    return kept.unionByName(done), out.select("path_id", "next", "applied")
+
+
+def expired_uploads(sessions: DataFrame, now_ms: int, most: int = 5) -> DataFrame:
+    """Sessions (state, expires_at, attempts, failed) after a sweep: of those past their time, open or half ended, each is aborted unless that ``failed``; ``most`` failures poison it."""
+    due = F.col("state").isin("open", "finalizing", "aborting") & (F.col("expires_at") < now_ms)
+    lost, tried = due & F.col("failed"), F.col("attempts") + 1
+    return sessions.withColumns({"new_attempts": F.when(lost, tried).otherwise(F.col("attempts")), "new_state": F.when(lost & (tried >= most), "poisoned").when(due & ~F.col("failed"), "aborted").otherwise(F.col("state"))})
+
+
+def concurrency(transfers: DataFrame, key: str, order: str, ms: str, ok: str, lanes: int = 8, most: int = 64, window: int = 8, ring: int = 32) -> DataFrame:
+    """Per key: lanes after a trace of transfers.
+
+    Every ``window`` successes four lanes are added if the 95th percentile of the
+    last ``ring`` times (nearest rank) is below 1.2 times their median; a failure
+    halves the lanes, to one at least.
+    """
+
+    def step(s: tuple, x: float, good: bool) -> tuple:
+        n, times, successes = s
+        if not good:
+            return max(1, n // 2), times, successes
+        times, successes = (*times[-ring + 1 :], x), successes + 1
+        if n < most and successes >= window:
+            ranked = sorted(times)
+            rank = lambda q: ranked[min(len(ranked) - 1, int(q * len(ranked)))]
+            n, successes = (min(most, n + 4) if rank(0.95) < 1.2 * max(rank(0.5), 1.0) else n), 0
+        return n, times, successes
+
+    return fold(transfers.withColumn(ms, F.col(ms).cast("double")), key, order, [ms, ok], lambda: (lanes, (), 0), step, lambda s: (s[0],), "lanes int")
+
+
+def justified(photos: DataFrame, key: str, order: str, aspect: str, width: float, height: float, gap: float = 0.0) -> DataFrame:
+    """Photos of each album in rows of one width: a row is full when the height that fills it is ``height`` or less.
+
+    ``row`` is its number, ``row_height`` that height, 1.8 times ``height`` at
+    most; a last row of one or two photos that would be over 1.5 times as high
+    has ``height``.
+    """
+    kinds = dict(photos.dtypes)
+    schema = f"{key} {kinds[key]}, {order} {kinds[order]}, row int, row_height double"
+    names, types = _arrow(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, begun, row, held, total = None, False, 0, [], 0.0
+
+        def full(last: bool) -> list[tuple]:
+            fits = (width - (len(held) - 1) * gap) / total
+            fits = height if last and len(held) < 3 and fits > 1.5 * height else min(fits, 1.8 * height)
+            return [(now, p, row, fits) for p in held]
+
+        for b in batches:
+            out = []
+            for k, at, a in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if begun and k != now:
+                    out += full(True) if held else []
+                    row, held, total = 0, [], 0.0
+                now, begun = k, True
+                held.append(at)
+                total += a
+                if (width - (len(held) - 1) * gap) / total <= height:
+                    out += full(False)
+                    row, held, total = row + 1, [], 0.0
+            if out:
+                yield _batch(out, names, types)
+        if held:
+            yield _batch(full(True), names, types)
+
+    rows = photos.select(key, order, F.col(aspect).cast("double").alias("a"))
+    return rows.repartition(F.col(key)).sortWithinPartitions(key, order).mapInArrow(run, schema)
+
+
+def coalesced(requests: DataFrame, keys: list[str], at: str, width_ms: int) -> DataFrame:
+    """One row for equal requests of one window of time."""
+    return requests.select(*keys, F.floor(F.col(at) / width_ms).alias("window")).distinct()
+
+
+def throttled(samples: DataFrame, key: str, at: str, value: str, width: int) -> DataFrame:
+    """The last sample of each key and window, the greatest of equal times."""
+    bucket = F.floor(F.col(at) / width).alias("bucket")
+    return samples.groupBy(key, bucket).agg(F.max_by(value, F.struct(at, value)).alias(value))

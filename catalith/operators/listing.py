@@ -8,7 +8,7 @@ import hmac
 import json
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 ORDER_COLUMNS = {"mtime": ("updated_at", "desc"), "name": ("file_name", "asc"), "size": ("file_size", "desc")}
@@ -49,6 +49,15 @@ def with_all_tags(files: DataFrame, tags: DataFrame, wanted: list[str]) -> DataF
     return files.join(hits.select(F.col("path_id").alias("file_id")), "file_id", "left_semi")
 
 
+def _key(name: str) -> str:
+    """A step of a path into JSON, whatever the key's characters; paths know no escapes, so that a key may have one kind of quote only."""
+    if "'" not in name:
+        return f"['{name}']"
+    if '"' not in name:
+        return f'["{name}"]'
+    raise CatalogError("EINVAL", "a metadata key may not have both kinds of quotes")
+
+
 def metadata_matches(column: Column, wanted: dict) -> Column:
     """Whether JSON text contains the filter: objects recursively, arrays exactly and in order, scalars of the same type."""
 
@@ -57,7 +66,7 @@ def metadata_matches(column: Column, wanted: dict) -> Column:
         at = F.try_variant_get(v, path, "variant")
         kind = F.schema_of_variant(at)
         if isinstance(value, dict):
-            inner = [leaf(f"{path}.{k}", x) for k, x in value.items()]
+            inner = [leaf(path + _key(k), x) for k, x in value.items()]
             return reduce(lambda a, b: a & b, inner, kind.startswith("OBJECT"))
         if isinstance(value, list):
             if any(isinstance(x, (dict, list)) for x in value):
@@ -73,7 +82,7 @@ def metadata_matches(column: Column, wanted: dict) -> Column:
             return (kind.isin("BIGINT", "DOUBLE", "FLOAT") | kind.startswith("DECIMAL")) & (F.try_variant_get(v, path, "double") == float(value))
         return (kind == "STRING") & (F.try_variant_get(v, path, "string") == value)
 
-    return F.coalesce(reduce(lambda a, b: a & b, [leaf(f"$.{k}", x) for k, x in wanted.items()], F.lit(True)), F.lit(False))
+    return F.coalesce(reduce(lambda a, b: a & b, [leaf("$" + _key(k), x) for k, x in wanted.items()], F.lit(True)), F.lit(False))
 
 
 def limit_of(limit: int | None) -> int:
@@ -110,10 +119,22 @@ def after(order_value: Column, ids: Column, direction: str, value, last_id: str)
     return beyond | ((order_value == F.lit(value)) & (ids > F.lit(last_id)))
 
 
-def list_files(files: DataFrame, versions: DataFrame, tags: DataFrame, parent: str | None = None, any_parent: bool = False, wanted_tags: list[str] | None = None, order: str = "mtime", direction: str | None = None, limit: int | None = None, include_archived: bool = False, after_row: tuple | None = None) -> DataFrame:
-    """One exact page of visible, complete files, hydrated with sorted tags and head size."""
+def list_files(
+    files: DataFrame, versions: DataFrame, tags: DataFrame, parent: str | None = None, any_parent: bool = False, wanted_tags: list[str] | None = None, order: str = "mtime", direction: str | None = None, limit: int | None = None,
+    include_archived: bool = False, after_row: tuple | None = None, metadata: tuple[str, dict] | None = None, cursor: str | None = None, secret: bytes = b"", include: tuple[str, ...] = (), paths: DataFrame | None = None,
+) -> DataFrame:
+    """One exact page of visible, complete files, hydrated with sorted tags and head size.
+
+    ``metadata`` is a column of JSON text and a filter on it; ``cursor`` is where
+    a page before ended, signed with ``secret``; ``include`` names more columns
+    (stat, hash, head, and path by the folders' ``paths``).  The page is taken
+    before tags are joined: only it, at most a thousand rows, is broadcast.
+    """
     column, default = ORDER_COLUMNS[order]
     direction = direction or default
+    if cursor:
+        found = decode_cursor(secret, cursor, order, direction)
+        after_row = (found["ov"], found["pid"])
     rows = files.where(F.col("status") == "complete")
     if not include_archived:
         rows = rows.where(~F.col("archived"))
@@ -121,23 +142,73 @@ def list_files(files: DataFrame, versions: DataFrame, tags: DataFrame, parent: s
         rows = rows.where(same_parent(F.col("parent_id"), parent))
     if after_row:
         rows = rows.where(after(F.col(column), F.col("file_id"), direction, *after_row))
-    rows = with_all_tags(visible(rows, versions), tags, wanted_tags or [])
+    if metadata:
+        rows = rows.where(metadata_matches(F.col(metadata[0]), metadata[1]))
+    needed = {"file_id", "file_name", "user_id", "file_size", "updated_at", "mime_type", "head_version_id", column}
+    needed |= {"file_hash"} if "hash" in include else set()
+    needed |= {"parent_id"} if "path" in include else set()
+    needed |= {"status", "created_at"} if "stat" in include else set()
+    rows = with_all_tags(visible(rows.select(*sorted(needed)), versions), tags, wanted_tags or [])
     by = F.col(column).desc() if direction == "desc" else F.col(column).asc()
     page = rows.orderBy(by, F.col("file_id").asc()).limit(limit_of(limit))
-    own = tags.join(page.select(F.col("file_id").alias("path_id")), "path_id", "left_semi").groupBy("path_id").agg(F.array_join(F.array_sort(F.collect_set("tag")), ",").alias("tags"))
-    out = page.join(own.withColumnRenamed("path_id", "file_id"), "file_id", "left").orderBy(by, F.col("file_id").asc())
-    return out.select("file_id", "file_name", "user_id", F.coalesce("head_size", "file_size").alias("size"), F.coalesce("head_mtime", "updated_at").alias("mtime"), "mime_type", F.coalesce("tags", F.lit("")).alias("tags"))
+    tagged = F.broadcast(page).join(tags.select(F.col("path_id").alias("file_id"), "tag"), "file_id", "left")
+    rest = [c for c in page.columns if c != "file_id"]
+    out = tagged.groupBy("file_id").agg(*(F.first(c).alias(c) for c in rest), F.array_join(F.array_sort(F.collect_set("tag")), ",").alias("tags"))
+    more = []
+    if "stat" in include:
+        more += ["status", "created_at"]
+    if "hash" in include:
+        more += ["file_hash"]
+    if "head" in include:
+        more += ["head_version_id"]
+    if "path" in include:
+        folders = paths.select(F.col("folder_id").alias("parent_id"), F.col("path").alias("folder_path"))
+        out = out.join(folders, "parent_id", "left").withColumn("path", F.concat(F.coalesce("folder_path", F.lit("")), F.lit("/"), "file_name"))
+        more += ["path"]
+    out = out.orderBy(by, F.col("file_id").asc())
+    return out.select("file_id", "file_name", "user_id", F.coalesce("head_size", "file_size").alias("size"), F.coalesce("head_mtime", "updated_at").alias("mtime"), "mime_type", "tags", *more)
+
+
+def next_cursor(page: DataFrame, secret: bytes, order: str, direction: str | None, limit: int | None, values: DataFrame) -> str | None:
+    """Where the next page of ``list_files`` begins: None after a page that is not full.  ``values`` are the files, for the value that the last row is ordered by."""
+    column, default = ORDER_COLUMNS[order]
+    rows = page.select("file_id").collect()  # a page, at most a thousand rows
+    if len(rows) < limit_of(limit):
+        return None
+    last = rows[-1]["file_id"]
+    return encode_cursor(secret, order, direction or default, values.where(F.col("file_id") == last).first()[column], last)
 
 
-def list_children(folders: DataFrame, files: DataFrame, versions: DataFrame, parent: str | None, limit: int | None = None) -> DataFrame:
-    """Folders, links and files of a folder in one order: name, kind, id."""
+CHILD_ORDERS = {"name": ("name", "asc"), "mtime": ("mtime", "desc"), "size": ("size", "desc")}
+
+
+def list_children(folders: DataFrame, files: DataFrame, versions: DataFrame, parent: str | None, limit: int | None = None, order: str = "name", direction: str | None = None, after_row: tuple | None = None) -> DataFrame:
+    """Folders, links and files of a folder in one order, then by kind and id; ``has_more`` tells whether more follow the page.
+
+    A folder has no size and counts as 0, and its ``updated_at`` is its time, 0
+    without one.  A link's size is its target's bytes.  ``after_row`` is the value,
+    kind and id that the page before ended with: one seek for all kinds.
+    """
     n = limit_of(limit)
-    f = folders.where(same_parent(F.col("parent_id"), parent)).select(F.lit("folder").alias("kind"), F.col("folder_id").alias("id"), "name", F.lit(0).cast("long").alias("size"))
+    column, default = CHILD_ORDERS[order]
+    direction = direction or default
+    zero = F.lit(0).cast("long")
+    time = F.col("updated_at").cast("long") if "updated_at" in folders.columns else zero
+    f = folders.where(same_parent(F.col("parent_id"), parent)).select(F.lit("folder").alias("kind"), F.col("folder_id").alias("id"), "name", zero.alias("size"), time.alias("mtime"))
     rows = visible(files.where(same_parent(F.col("parent_id"), parent) & (F.col("status") == "complete") & ~F.col("archived")), versions)
-    kind = F.when(F.col("mime_type") == "inode/symlink", "symlink").otherwise("file")
-    g = rows.select(kind.alias("kind"), F.col("file_id").alias("id"), F.col("file_name").alias("name"), F.coalesce("head_size", "file_size").alias("size"))
+    linked = F.col("mime_type") == "inode/symlink"
+    target = F.octet_length("link_target") if "link_target" in files.columns else F.lit(None).cast("long")
+    size = F.when(linked, F.coalesce(target, "file_size")).otherwise(F.coalesce("head_size", "file_size")).cast("long")
+    g = rows.select(F.when(linked, "symlink").otherwise("file").alias("kind"), F.col("file_id").alias("id"), F.col("file_name").alias("name"), size.alias("size"), F.coalesce("head_mtime", "updated_at").alias("mtime"))
     rank = F.element_at(F.create_map(*(F.lit(x) for kv in KIND_RANK.items() for x in kv)), F.col("kind"))
-    return f.unionByName(g).withColumn("rank", rank).orderBy("name", "rank", "id").limit(n)
+    every = f.unionByName(g).withColumn("rank", rank)
+    if after_row:
+        value, kind, last = after_row
+        beyond = F.col(column) < F.lit(value) if direction == "desc" else F.col(column) > F.lit(value)
+        every = every.where(beyond | ((F.col(column) == F.lit(value)) & ((F.col("rank") > KIND_RANK[kind]) | ((F.col("rank") == KIND_RANK[kind]) & (F.col("id") > F.lit(last))))))
+    by = (F.col(column).desc() if direction == "desc" else F.col(column).asc(), F.col("rank").asc(), F.col("id").asc())
+    probe = every.orderBy(*by).limit(n + 1)
+    return probe.withColumn("has_more", F.count("*").over(Window.partitionBy(F.lit(0))) > n).orderBy(*by).limit(n)  # a page, at most a thousand rows and one
 
 
 def readdir(folders: DataFrame, files: DataFrame, parent: str | None) -> DataFrame:
@@ -167,10 +238,28 @@ def marked(rows: DataFrame, most: int = 5) -> DataFrame:
 
 
 def photos(files: DataFrame) -> DataFrame:
-    return files.where((F.col("status") != "deleted") & F.col("mime_type").startswith("image/") & ~F.col("mime_type").contains("gif"))
+    """Images but animations, whatever the case of their type."""
+    return files.where((F.col("status") != "deleted") & F.col("mime_type").ilike("image/%") & ~F.col("mime_type").ilike("%gif%"))
 
 
 def index_by_image(files: DataFrame, most_bytes: int = 10 << 20) -> DataFrame:
     """Files that an image model can read."""
     kinds = [f"image/{x}" for x in ("jpeg", "png", "gif", "webp", "bmp", "tiff", "avif")]
     return files.where(F.col("mime_type").isin(kinds) & (F.col("file_size") <= most_bytes))
+
+
+def shared_album(files: DataFrame) -> DataFrame:
+    """What visitors of a shared album see: complete images."""
+    return files.where((F.col("status") == "complete") & F.col("mime_type").ilike("image/%"))
+
+
+def best_variant(files: DataFrame, variants: DataFrame, wanted: list[str]) -> DataFrame:
+    """Files with the first of the wanted variants (file_id, variant) that they have."""
+    place = F.array_position(F.array(*map(F.lit, wanted)), F.col("variant"))
+    best = variants.where(place > 0).groupBy("file_id").agg(F.min_by("variant", place).alias("variant"))
+    return files.join(best, "file_id", "left")
+
+
+def as_map(rows: DataFrame, ident: str) -> DataFrame:
+    """Rows (id, key, value), each key once, as one map an id."""
+    return rows.groupBy(ident).agg(F.map_from_entries(F.collect_list(F.struct("key", "value"))).alias("metadata"))

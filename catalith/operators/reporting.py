@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from catalith.functions import scalars
+
 STATUSES = ("uploading", "processing", "complete", "failed")
 
 
@@ -50,10 +52,10 @@ def recent(files: DataFrame, n: int = 10) -> DataFrame:
 
 
 def shares(files: DataFrame, limit_bytes: int = 100 << 30) -> DataFrame:
-    """Users' bytes, share of all bytes, height against the largest, and share of their limit, in per cent; groups first, then one small window."""
+    """Users' bytes, share of all bytes, height against the largest, and share of their limit, in per cent; the totals are two scalars."""
     each = files.groupBy("user_id").agg(F.sum("file_size").alias("bytes"))
-    w = Window.partitionBy(F.lit(0))
-    return each.select("user_id", "bytes", rounded(100.0 * F.col("bytes") / F.sum("bytes").over(w), 2).alias("share"), rounded(100.0 * F.col("bytes") / F.max("bytes").over(w), 2).alias("height"), rounded(100.0 * F.col("bytes") / limit_bytes, 6).alias("quota"))
+    every, most = each.agg(F.sum("bytes")).scalar(), each.agg(F.max("bytes")).scalar()
+    return each.select("user_id", "bytes", rounded(100.0 * F.col("bytes") / every, 2).alias("share"), rounded(100.0 * F.col("bytes") / most, 2).alias("height"), rounded(100.0 * F.col("bytes") / limit_bytes, 6).alias("quota"))
 
 
 def duplicates(rows: DataFrame, *keys: str) -> DataFrame:
@@ -77,3 +79,19 @@ def nearest_rank(values: DataFrame, group: str, order: str, value: str, q: float
     a = last.groupBy(group).agg(F.array_sort(F.collect_list(value)).alias("v"))
     at = F.least(F.size("v"), F.floor(F.lit(q) * F.size("v")).cast("int") + 1)
     return a.select(group, F.size("v").alias("n"), F.element_at("v", at).alias("q"))
+
+
+def counted(rows: DataFrame, *keys: str) -> DataFrame:
+    return rows.groupBy(*keys).agg(F.count("*").alias("n"))
+
+
+def total_files(files: DataFrame, counters: DataFrame) -> DataFrame:
+    """Users' files: those that are there, or what the counter says if that is more."""
+    each = files.where("status <> 'deleted'").groupBy("user_id").agg(F.count("*").alias("actual"))
+    return each.join(counters, "user_id", "left").select("user_id", F.greatest("actual", F.coalesce("counter", F.lit(0))).alias("total"))
+
+
+def grown_pool(shards: DataFrame, full_bytes: int) -> DataFrame:
+    """Shards (shard_index, bytes) with the size of their pool: by all bytes, and one more when every shard is full."""
+    every, least = shards.agg(F.sum("bytes")).scalar(), shards.agg(F.min("bytes")).scalar()
+    return shards.withColumn("pool", scalars.pool_size(every) + (least > full_bytes).cast("int"))

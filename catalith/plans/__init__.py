@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from catalith.plans import catalog, engine
+from catalith.plans import catalog, engine, requests
 
-QUERIES = catalog.QUERIES | engine.QUERIES
-ORACLE_SQL = catalog.ORACLE_SQL | engine.ORACLE_SQL
+QUERIES = catalog.QUERIES | engine.QUERIES | requests.QUERIES
+ORACLE_SQL = catalog.ORACLE_SQL | engine.ORACLE_SQL | requests.ORACLE_SQL

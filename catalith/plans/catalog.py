@@ -62,7 +62,7 @@ def list_files_metadata(spark, d):
     UNION ALL SELECT 'file', f.file_id, f.file_name, coalesce(v.size, f.file_size), 2 {VISIBLE}{_LIVE} AND coalesce(f.parent_id, '') = '') ORDER BY name, rank, id LIMIT 60""", *LISTED, "folders")
 def list_children_merged(spark, d):
     files, versions, _ = _three(spark, d)
-    return listing.list_children(catalog(spark, d, "folders"), files, versions, None, 60)
+    return listing.list_children(catalog(spark, d, "folders"), files, versions, None, 60).select("kind", "id", "name", "size", "rank")
 
 
 @query("SELECT name FROM folders WHERE coalesce(parent_id, '') = '' UNION SELECT file_name FROM files WHERE coalesce(parent_id, '') = '' AND status <> 'deleted'", "files", "folders")
@@ -188,18 +188,32 @@ def as_of_version(spark, d):
     return history.as_of(catalog(spark, d, "versions_history"), 2000)
 
 
-_DROP = "place > 1 AND mtime_ms < 4000 AND place > 2 AND version_id <> '000000'"
+#: Pointers: none for a quarter of the paths, an old version for another, else the newest; 000000 is kept, two versions are, and those from 4000 ms on.
+_POINTERS = "h AS (SELECT path_id, CASE CAST(substr(path_id, 2) AS BIGINT) % 4 WHEN 0 THEN NULL WHEN 1 THEN '000001' ELSE arg_max(version_id, (mtime_ms, version_id)) END AS head FROM versions_history GROUP BY 1)"
+_DROPPED = f"""{_POINTERS}, k AS (SELECT v.*, head, coalesce(version_id = head, false) OR version_id = '000000' AS safe FROM versions_history v JOIN h USING (path_id)),
+    q AS (SELECT *, row_number() OVER (PARTITION BY path_id, safe ORDER BY mtime_ms DESC, version_id DESC) AS place FROM k),
+    x AS (SELECT * FROM q WHERE NOT safe AND place > CASE WHEN head IS NULL THEN 2 ELSE 1 END AND mtime_ms < 4000)"""
 
 
-@query(f", {_RANKED} SELECT path_id, version_id, mtime_ms, size FROM r WHERE {_DROP}", "versions_history")
+def _pointers(v):
+    n = F.substring("path_id", 2, 30).cast("long") % 4
+    newest = F.max_by("version_id", F.struct("mtime_ms", "version_id"))
+    return v.groupBy("path_id").agg(newest.alias("newest")).select("path_id", F.when(n == 1, "000001").when(n > 1, F.col("newest")).alias("head_version_id"))
+
+
+def _dropped(v):
+    return history.dropped(v, _pointers(v), 4000, 2, ["000000"])
+
+
+@query(f", {_DROPPED} SELECT path_id, version_id, mtime_ms, size FROM x", "versions_history")
 def drop_versions_policy(spark, d):
-    return history.dropped(catalog(spark, d, "versions_history"), 4000, 2, ["000000"]).select("path_id", "version_id", "mtime_ms", "size")
+    return _dropped(catalog(spark, d, "versions_history")).select("path_id", "version_id", "mtime_ms", "size")
 
 
-@query(f", {_RANKED} SELECT path_id, count(*) AS n, sum(CASE WHEN NOT deleted THEN size ELSE 0 END)::BIGINT AS bytes FROM r WHERE {_DROP} GROUP BY 1", "versions_history")
+@query(f", {_DROPPED} SELECT path_id, count(*) AS n, sum(CASE WHEN NOT deleted THEN size ELSE 0 END)::BIGINT AS bytes FROM x GROUP BY 1", "versions_history")
 def reclaimed_bytes(spark, d):
     v = catalog(spark, d, "versions_history")
-    return history.reclaimed(v, history.dropped(v, 4000, 2, ["000000"]))
+    return history.reclaimed(v, _dropped(v))
 
 
 @query("""SELECT path_id, CASE WHEN max(version_id = '000002') THEN '000002' ELSE arg_max(version_id, (mtime_ms, version_id)) END AS head_version_id
@@ -220,7 +234,47 @@ def reap_tombstones(spark, d):
     UNION ALL SELECT path_id, 'restored', 99000, size, false, false FROM versions_history WHERE version_id = '000001' AND NOT deleted""", "versions_history")
 def restore_version(spark, d):
     v = catalog(spark, d, "versions_history")
-    return history.restored(v, v.where("version_id = '000001'").select("path_id", "version_id"), 99_000, "restored")
+    return history.restored(v, v.where("version_id = '000001'").select("path_id", "version_id"), 99_000, "restored")[0]
+
+
+@query("""SELECT p.path_id, '000001' AS version_id, CASE WHEN v.path_id IS NULL THEN 'ENOENT' WHEN v.deleted THEN 'EINVAL' WHEN v.size % 5 = 0 THEN 'ENOCHUNK' ELSE 'OK' END AS code
+    FROM (SELECT DISTINCT path_id FROM versions_history) p LEFT JOIN versions_history v ON v.path_id = p.path_id AND v.version_id = '000001'""", "versions_history")
+def restore_outcome(spark, d):
+    v = catalog(spark, d, "versions_history")
+    asked = v.select("path_id").distinct().withColumn("version_id", F.lit("000001"))
+    return history.restored(v, asked, 99_000, "restored", v.where("size % 5 <> 0").select("path_id", "version_id"))[1]
+
+
+@query("""SELECT p.path_id, p.version_id, CASE WHEN NOT v.deleted THEN v.version_id END AS found, CASE WHEN NOT v.deleted THEN v.size END AS size, CASE WHEN v.path_id IS NULL OR v.deleted THEN 'ENOENT' END AS error_code
+    FROM (SELECT DISTINCT path_id, '000002' AS version_id FROM versions_history) p LEFT JOIN versions_history v ON v.path_id = p.path_id AND v.version_id = '000002'
+    UNION ALL SELECT p.path_id, NULL, v.version_id, v.size, CASE WHEN v.path_id IS NULL THEN 'ENOENT' END FROM (SELECT DISTINCT path_id FROM versions_history) p
+    LEFT JOIN (SELECT path_id, arg_max(version_id, (mtime_ms, version_id)) AS version_id, arg_max(size, (mtime_ms, version_id)) AS size FROM versions_history WHERE NOT deleted GROUP BY 1) v USING (path_id)""", "versions_history")
+def get_version(spark, d):
+    v = catalog(spark, d, "versions_history")
+    paths = v.select("path_id").distinct()
+    asked = paths.withColumn("version_id", F.lit("000002")).union(paths.withColumn("version_id", F.lit(None).cast("string")))
+    return history.version_of(v, asked).select("path_id", "version_id", "found", "size", "error_code")
+
+
+@query("""SELECT path_id, version_id, user_visible OR coalesce(turn_mark = 1, false) AS user_visible, CASE WHEN turn_mark IS NOT NULL AND turn_mark <> 2 THEN 'kept' END AS label
+    FROM (SELECT *, CASE WHEN CAST(version_id AS BIGINT) % 5 IN (1, 2, 3) THEN CAST(version_id AS BIGINT) % 5 END AS turn_mark FROM versions_history)""", "versions_history")
+def mark_versions(spark, d):
+    """Versions 1, 2 and 3 of five are marked: visible and labelled, neither, and labelled only."""
+    v = catalog(spark, d, "versions_history").withColumn("label", F.lit(None).cast("string"))
+    n = F.col("version_id").cast("long") % 5
+    marks = v.where(n.isin(1, 2, 3)).select("path_id", "version_id", (n == 1).alias("visible"), F.when(n != 2, "kept").alias("label"))
+    return history.marked(v, marks).select("path_id", "version_id", "user_visible", "label")
+
+
+@query(f""", {_POINTERS}, n AS (SELECT path_id, head, CAST(substr(path_id, 2) AS BIGINT) AS i FROM h), w AS (SELECT n.*, coalesce(v.deleted, true) AS was FROM n LEFT JOIN versions_history v ON v.path_id = n.path_id AND v.version_id = n.head),
+    c AS (SELECT *, i % 3 = 2 AS gone, i % 5 <> 0 OR head IS NOT DISTINCT FROM '000001' AS ok FROM w)
+    SELECT path_id, CASE WHEN ok THEN 'new' ELSE head END AS head_version_id, ok AS committed, CASE WHEN ok AND NOT gone THEN i * 10 ELSE 0 END AS bytes_added, CASE WHEN ok THEN was::INT - gone::INT ELSE 0 END AS files_added FROM c""", "versions_history")
+def commit_versions(spark, d):
+    """A commit for each path, a tombstone for every third; every fifth is checked against an expected head."""
+    v = catalog(spark, d, "versions_history")
+    n = F.substring("path_id", 2, 30).cast("long")
+    new = v.select("path_id").distinct().select("path_id", F.lit("new").alias("version_id"), F.lit(88_000).cast("long").alias("mtime_ms"), (n * 10).alias("size"), (n % 3 == 2).alias("deleted"), F.lit(True).alias("user_visible"), F.when(n % 5 == 0, "000001").alias("expected"))
+    return history.committed(v, _pointers(v), new)[1]
 
 
 @query(", r AS (SELECT *, row_number() OVER (PARTITION BY actor ORDER BY ts DESC, id DESC) AS place, count(*) OVER (PARTITION BY actor) AS total FROM audit_log) SELECT id, actor, ts FROM r WHERE total <= 70 OR place <= 60", "audit_log")

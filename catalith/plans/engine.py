@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from catalith.adapters import catalog, duckdb_with, source
 from catalith.functions import arrow, scalars
 from catalith.operators import chunks, folds, mutations, reporting, search, tree
+from catalith.scratch import scratch_path
+from catalith.sources import write_snapshot
 
 QUERIES, ORACLE_SQL = {}, {}
 
@@ -37,17 +39,14 @@ def range_read(spark, d):
     return chunks.range_parts(catalog(spark, d, "file_chunks"), 30, 70)
 
 
-@query("""SELECT item_id, i AS chunk_index, sha256(substring(text, 64 * i + 1, 64)) AS chunk_hash, strlen(substring(text, 64 * i + 1, 64)) AS chunk_size FROM (SELECT item_id, text, unnest(range(greatest((strlen(text) + 63) // 64, 1))) AS i FROM benchmark WHERE strlen(text) = length(text))""")
+@query("""SELECT item_id, i::INT AS chunk_index, sha256(unhex(part)) AS chunk_hash, (length(part) // 2)::BIGINT AS chunk_size
+    FROM (SELECT item_id, i, substring(hex(encode(text)), 128 * i + 1, 128) AS part FROM (SELECT item_id, text, unnest(range(greatest((strlen(text) + 63) // 64, 1))) AS i FROM benchmark))""")
 def chunk_split(spark, d):
-    b = source(spark, d, "benchmark").where("octet_length(text) = char_length(text)").select("item_id", F.encode("text", "UTF-8").alias("data"))
+    b = source(spark, d, "benchmark").select("item_id", F.encode("text", "UTF-8").alias("data"))
     return chunks.split(b, 64, "item_id").drop("data")
 
 
-@query()
-def chunk_split_all(spark, d):
-    """Every benchmark text; the SQL of chunk_split holds ASCII texts only, as DuckDB cuts by characters."""
-    b = source(spark, d, "benchmark").select("item_id", F.encode("text", "UTF-8").alias("data"))
-    return chunks.split(b, 64, "item_id").drop("data")
+QUERIES["chunk_split_all"] = chunk_split
 
 
 @query("SELECT item_id, sha256(text) AS h FROM benchmark")
@@ -56,35 +55,43 @@ def read_file(spark, d):
     return chunks.read(chunks.split(b, 50, "item_id"), "item_id").select("item_id", F.sha2("data", 256).alias("h"))
 
 
-def _store(spark, d):
-    c = catalog(spark, d, "file_chunks").where("file_id % 2 = 0")
-    return c.groupBy("chunk_hash").agg(F.max("chunk_size").alias("size"), F.count("*").alias("ref_count")).withColumn("deleted_at", F.when(F.col("size") % 7 == 0, F.lit(1000).cast("long")))
+#: The store has even files; put are odd ones, and again every second even one, whose references are there.
+_STORED = "s AS (SELECT chunk_hash, max(chunk_size) AS size, count(*) AS ref_count, CASE WHEN max(chunk_size) % 7 = 0 THEN 1000 END AS deleted_at FROM file_chunks {where} GROUP BY 1)"
+_OLD = _STORED.format(where="WHERE file_id % 2 = 0")
+_EVERY = _STORED.format(where="")
+_PUT = "n AS (SELECT * FROM file_chunks WHERE file_id % 2 <> 0 OR file_id % 4 = 0)"
 
 
-_STORE = "s AS (SELECT chunk_hash, max(chunk_size) AS size, count(*) AS ref_count, CASE WHEN max(chunk_size) % 7 = 0 THEN 1000 END AS deleted_at FROM file_chunks WHERE file_id % 2 = 0 GROUP BY 1)"
+def _put(spark, d):
+    c = catalog(spark, d, "file_chunks")
+    old = c.where("file_id % 2 = 0")
+    return chunks.put(_store_of(old), old, c.where("file_id % 2 <> 0 OR file_id % 4 = 0"))
 
 
-@query(f""", {_STORE}, n AS (SELECT chunk_hash, max(chunk_size) AS size, count(*) AS ref_count FROM (SELECT DISTINCT chunk_hash, file_id, chunk_index, chunk_size FROM file_chunks WHERE file_id % 3 = 0) GROUP BY 1)
-    SELECT coalesce(s.chunk_hash, n.chunk_hash) AS chunk_hash, greatest(coalesce(s.size, 0), coalesce(n.size, 0)) AS size, (coalesce(s.ref_count, 0) + coalesce(n.ref_count, 0))::BIGINT AS ref_count,
-    CASE WHEN n.chunk_hash IS NULL THEN s.deleted_at END AS deleted_at FROM s FULL JOIN n ON s.chunk_hash = n.chunk_hash""", "file_chunks")
+@query(f""", {_OLD}, {_PUT}, f AS (SELECT chunk_hash, count(*) AS more FROM (SELECT DISTINCT chunk_hash, file_id, chunk_index FROM n EXCEPT SELECT chunk_hash, file_id, chunk_index FROM file_chunks WHERE file_id % 2 = 0) GROUP BY 1),
+    t AS (SELECT chunk_hash, max(chunk_size) AS new_size FROM n GROUP BY 1)
+    SELECT chunk_hash, coalesce(size, new_size) AS size, (coalesce(ref_count, 0) + coalesce(more, 0))::BIGINT AS ref_count, CASE WHEN new_size IS NULL THEN deleted_at END AS deleted_at FROM s FULL JOIN t USING (chunk_hash) LEFT JOIN f USING (chunk_hash)""", "file_chunks")
 def dedup_put(spark, d):
-    return chunks.put(_store(spark, d), catalog(spark, d, "file_chunks").where("file_id % 3 = 0"))[0]
+    return _put(spark, d)[0]
 
 
-@query(f""", {_STORE}, n AS (SELECT DISTINCT chunk_hash, file_id, chunk_index FROM file_chunks WHERE file_id % 3 = 0)
-    SELECT n.chunk_hash, file_id, chunk_index, CASE WHEN s.chunk_hash IS NULL THEN 'created' ELSE 'deduplicated' END AS outcome FROM n LEFT JOIN s USING (chunk_hash)""", "file_chunks")
+@query(f""", {_OLD}, {_PUT} SELECT n.chunk_hash, file_id, chunk_index, CASE WHEN s.chunk_hash IS NULL AND row_number() OVER (PARTITION BY n.chunk_hash ORDER BY file_id, chunk_index) = 1 THEN 'created' ELSE 'deduplicated' END AS outcome
+    FROM n LEFT JOIN s USING (chunk_hash)""", "file_chunks")
 def put_outcome(spark, d):
-    return chunks.put(_store(spark, d), catalog(spark, d, "file_chunks").where("file_id % 3 = 0"))[1].select("chunk_hash", "file_id", "chunk_index", "outcome")
+    return _put(spark, d)[1].select("chunk_hash", "file_id", "chunk_index", "outcome")
+
 
+_GONE = "g AS (SELECT chunk_hash, count(*) AS gone FROM file_chunks WHERE file_id % 4 = 0 GROUP BY 1)"
 
-@query(f""", {_STORE}, g AS (SELECT chunk_hash, count(*) AS gone FROM file_chunks WHERE file_id % 4 = 0 GROUP BY 1)
+
+@query(f""", {_EVERY}, {_GONE}
     SELECT s.chunk_hash, size, greatest(ref_count - coalesce(gone, 0), 0) AS ref_count, CASE WHEN ref_count - coalesce(gone, 0) <= 0 AND gone IS NOT NULL THEN coalesce(deleted_at, 5000) ELSE deleted_at END AS deleted_at FROM s LEFT JOIN g USING (chunk_hash)""", "file_chunks")
 def refcount_drop(spark, d):
     c = catalog(spark, d, "file_chunks")
-    return chunks.dropped_refs(_store(spark, d), c, c.where("file_id % 4 = 0").select("file_id").distinct(), 5000)
+    return chunks.dropped_refs(_store_of(c), c, c.where("file_id % 4 = 0").select("file_id").distinct(), 5000)
 
 
-@query(f""", {_STORE}, g AS (SELECT chunk_hash, count(*) AS gone FROM file_chunks WHERE file_id % 4 = 0 GROUP BY 1),
+@query(f""", {_EVERY}, {_GONE},
     a AS (SELECT s.chunk_hash, greatest(ref_count - coalesce(gone, 0), 0) AS r, CASE WHEN ref_count - coalesce(gone, 0) <= 0 AND gone IS NOT NULL THEN coalesce(deleted_at, 5000) ELSE deleted_at END AS x FROM s LEFT JOIN g USING (chunk_hash))
     SELECT chunk_hash, CASE WHEN x < 33000 - 30000 AND r = 0 THEN 'delete' WHEN x < 33000 - 30000 THEN 'unmark' ELSE 'keep' END AS action FROM a""", "file_chunks")
 def gc_mark_sweep(spark, d):
@@ -95,31 +102,8 @@ def _store_of(c):
     return c.groupBy("chunk_hash").agg(F.max("chunk_size").alias("size"), F.count("*").alias("ref_count")).withColumn("deleted_at", F.when(F.col("size") % 7 == 0, F.lit(1000).cast("long")))
 
 
-def _put_all(spark, d):
-    c = catalog(spark, d, "file_chunks")
-    return chunks.put(_store_of(c.where("file_id % 2 = 0")), c.where("file_id % 2 <> 0"))
-
-
-@query()
-def dedup_put_all(spark, d):
-    """Even files in the store, all others put; the SQL of dedup_put leaves a third of the files out."""
-    return _put_all(spark, d)[0]
-
-
-@query()
-def put_outcome_all(spark, d):
-    return _put_all(spark, d)[1].select("chunk_hash", "file_id", "chunk_index", "outcome")
-
-
-@query()
-def refcount_drop_all(spark, d):
-    c = catalog(spark, d, "file_chunks")
-    return chunks.dropped_refs(_store_of(c), c, c.where("file_id % 4 = 0").select("file_id").distinct(), 5000)
-
-
-@query()
-def gc_mark_sweep_all(spark, d):
-    return chunks.sweep(refcount_drop_all(spark, d), 33_000).select("chunk_hash", "action")
+for _name in ("dedup_put", "put_outcome", "refcount_drop", "gc_mark_sweep"):
+    QUERIES[f"{_name}_all"], ORACLE_SQL[f"{_name}_all"] = QUERIES[_name], ORACLE_SQL[_name]
 
 
 @query("""SELECT coalesce(e.file_id, l.file_id) AS upload_id, coalesce(e.chunk_index, l.chunk_index) AS chunk_index,
@@ -177,19 +161,16 @@ def breadcrumbs(spark, d):
     return tree.breadcrumbs(f, f.where("folder_id like 'c%7'").select("folder_id"))
 
 
-_LINKS = "l AS (SELECT 'l' || p_partkey AS path, CASE WHEN p_partkey % 60 = 0 THEN 'file' || p_partkey WHEN p_partkey % 601 = 1 THEN 'l' || p_partkey ELSE 'l' || (p_partkey + 1) END AS target FROM part WHERE p_partkey < 700)"
+_LINKS = "l AS (SELECT 'l' || p_partkey AS path, CASE WHEN p_partkey % 60 = 0 THEN 'file' || p_partkey WHEN p_partkey % 601 = 1 THEN 'l' || p_partkey ELSE 'l' || (p_partkey + 1) END AS target FROM part)"
 
 
 @query(f"""WITH RECURSIVE {_LINKS}, r AS (SELECT path, target, 1 AS hops FROM l UNION ALL SELECT r.path, l.target, r.hops + 1 FROM r JOIN l ON l.path = r.target WHERE r.hops <= 40)
     SELECT path, CASE WHEN max(hops) > 40 THEN NULL ELSE arg_max(target, hops) END AS target, least(max(hops), 40) AS hops, CASE WHEN max(hops) > 40 THEN 'ELOOP' END AS error_code FROM r GROUP BY 1""")
 def symlink_resolve(spark, d):
-    return tree.resolve_links(_links(source(spark, d, "part").where("p_partkey < 700")))
+    return tree.resolve_links(_links(source(spark, d, "part")))
 
 
-@query()
-def symlink_resolve_all(spark, d):
-    """The links of all of part; the SQL of symlink_resolve holds a subset of ids only."""
-    return tree.resolve_links(_links(source(spark, d, "part")))
+QUERIES["symlink_resolve_all"], ORACLE_SQL["symlink_resolve_all"] = symlink_resolve, ORACLE_SQL["symlink_resolve"]
 
 
 def _links(part):
@@ -226,18 +207,17 @@ def tokenize(spark, d):
     return source(spark, d, "pages").select("page_id", F.array_join(scalars.tokens(F.col("url")), " ").alias("t"))
 
 
-_FNV = "list_reduce(list_prepend(2166136261::BIGINT, list_transform(string_split({x}, ''), lambda c: ascii(c)::BIGINT)), lambda h, c: (xor(h, c)::HUGEINT * 16777619 % 4294967296)::BIGINT)"
+#: Code units of 16 bits, two for what is beyond the first plane.
+_UNITS = "flatten(list_transform(string_split({x}, ''), lambda c: CASE WHEN unicode(c) > 65535 THEN [(55296 + (unicode(c) - 65536) // 1024)::BIGINT, (56320 + (unicode(c) - 65536) % 1024)::BIGINT] ELSE [unicode(c)::BIGINT] END))"
+_FNV = "list_reduce(list_prepend(2166136261::BIGINT, " + _UNITS + "), lambda h, c: (xor(h, c)::HUGEINT * 16777619 % 4294967296)::BIGINT)"
 
 
-@query(f"SELECT page_id, CASE WHEN h >= 2147483648 THEN h - 4294967296 ELSE h END AS h FROM (SELECT page_id, {_FNV.format(x='url')} AS h FROM pages WHERE length(url) = strlen(url))")
+@query(f"SELECT page_id, CASE WHEN h >= 2147483648 THEN h - 4294967296 ELSE h END AS h FROM (SELECT page_id, {_FNV.format(x='url')} AS h FROM pages)")
 def fnv_hash(spark, d):
-    return source(spark, d, "pages").where("char_length(url) = octet_length(url)").select("page_id", scalars.fnv(F.col("url")).alias("h"))
+    return source(spark, d, "pages").select("page_id", scalars.fnv(F.col("url")).alias("h"))
 
 
-@query()
-def fnv_hash_all(spark, d):
-    """Every page; the SQL of fnv_hash holds ASCII urls only."""
-    return source(spark, d, "pages").select("page_id", scalars.fnv(F.col("url")).alias("h"))
+QUERIES["fnv_hash_all"], ORACLE_SQL["fnv_hash_all"] = fnv_hash, ORACLE_SQL["fnv_hash"]
 
 
 @query()
@@ -319,9 +299,12 @@ def oplog_replay(spark, d):
     return folds.replayed(catalog(spark, d, "audit_log")).withColumn("state", F.round("state", 6))
 
 
-@query(f", {_LAST} SELECT path_id, count(*) AS n, min(ts) AS since FROM audit_log LEFT JOIN k USING (path_id) WHERE kind = 'op' AND (c IS NULL OR seq >= c) GROUP BY 1", "audit_log")
+@query(f""", {_LAST}, e AS (SELECT max(ts) - 600000000 AS now FROM audit_log), t AS (SELECT path_id, max(ts) AS ckpt FROM audit_log WHERE kind = 'checkpoint' GROUP BY 1),
+    n AS (SELECT path_id, count(*) AS n, min(ts) AS first FROM audit_log LEFT JOIN k USING (path_id) WHERE kind = 'op' AND (c IS NULL OR seq >= c) GROUP BY 1)
+    SELECT path_id, n, coalesce(ckpt, first) AS since FROM n LEFT JOIN t USING (path_id), e WHERE n >= 8 OR (n > 0 AND now - coalesce(ckpt, first) >= 86400000)""", "audit_log")
 def compaction_due(spark, d):
-    return folds.due_for_compaction(catalog(spark, d, "audit_log"), 1 << 50)
+    log = catalog(spark, d, "audit_log")
+    return folds.due_for_compaction(log, log.agg(F.max("ts")).first()[0] - 600_000_000, 8, 86_400_000)
 
 
 @query(""", o AS (SELECT path_id, ts, row_number() OVER (PARTITION BY path_id ORDER BY ts) AS i FROM audit_log),
@@ -339,9 +322,14 @@ def usage_counter(spark, d):
     return folds.usage(catalog(spark, d, "audit_log").withColumn("delta", F.floor("value") - 40), "path_id", "seq", "delta")
 
 
-@query()
+@query(""", o AS (SELECT path_id, row_number() OVER (PARTITION BY path_id ORDER BY seq) AS i, CAST(value AS DOUBLE) AS x, op <> 'error' AND seq % 9 <> 4 AS ok FROM audit_log),
+    b AS (SELECT path_id, 0::BIGINT AS i, 4.0::DOUBLE AS cwnd, 32.0::DOUBLE AS ssthresh, NULL::DOUBLE AS srtt, 0.0::DOUBLE AS rttvar FROM (SELECT DISTINCT path_id FROM o)
+    UNION ALL SELECT o.path_id, o.i, CASE WHEN NOT ok THEN greatest(cwnd / 2, 2) ELSE least(64, CASE WHEN cwnd < ssthresh THEN cwnd + 1 ELSE cwnd + 1 / cwnd END) END, CASE WHEN ok THEN ssthresh ELSE greatest(cwnd / 2, 2) END,
+      CASE WHEN NOT ok THEN srtt WHEN srtt IS NULL THEN x ELSE 0.875::DOUBLE * srtt + 0.125::DOUBLE * x END, CASE WHEN NOT ok THEN rttvar WHEN srtt IS NULL THEN x / 2 ELSE 0.75::DOUBLE * rttvar + 0.25::DOUBLE * abs(srtt - x) END FROM b JOIN o ON o.path_id = b.path_id AND o.i = b.i + 1)
+    SELECT path_id, round(arg_max(cwnd, i), 6) AS cwnd, round(arg_max(ssthresh, i), 6) AS ssthresh, round(arg_max(srtt, i), 6) AS srtt, round(arg_max(rttvar, i), 6) AS rttvar, round(CASE WHEN arg_max(srtt, i) IS NULL THEN 1000 ELSE greatest(1000, arg_max(srtt + 4 * rttvar, i)) END, 6) AS rto FROM b GROUP BY 1""", "audit_log")
 def aimd_trace(spark, d):
-    return folds.aimd(catalog(spark, d, "audit_log").withColumn("ok", F.col("op") != "error"), "path_id", "seq", "value", "ok")
+    rows = catalog(spark, d, "audit_log").withColumn("ok", (F.col("op") != "error") & (F.col("seq") % 9 != 4))
+    return folds.aimd(rows, "path_id", "seq", "value", "ok").select("path_id", *(F.round(c, 6).alias(c) for c in ("cwnd", "ssthresh", "srtt", "rttvar", "rto")))
 
 
 _INTENTS = "i AS (SELECT id, CASE seq % 3 WHEN 0 THEN 'pending' WHEN 1 THEN 'in_flight' ELSE 'cleaned' END AS state, seq % 5 AS attempts, seq AS generation, seq * 10000 AS next_attempt_at, seq * 20000 AS updated_at FROM audit_log)"
@@ -360,9 +348,13 @@ def fence_transitions(spark, d):
     return folds.illegal_transitions(catalog(spark, d, "audit_log"), "path_id", "seq", "op", {"view": {"click", "view"}, "click": {"purchase"}}).select("id", "before", "op")
 
 
-@query("SELECT coalesce(parent_id, '') AS parent_id, count(*) AS revision FROM files GROUP BY 1", "files")
+@query("""SELECT parent_id, count(*) AS revision FROM (SELECT coalesce(parent_id, '') AS parent_id FROM files
+    UNION ALL SELECT 'src' || CAST(file_id AS BIGINT) % 7 FROM files WHERE CAST(file_id AS BIGINT) % 3 = 0 AND coalesce(parent_id, '') <> 'src' || CAST(file_id AS BIGINT) % 7) GROUP BY 1""", "files")
 def folder_revision(spark, d):
-    return folds.revisions(catalog(spark, d, "files"))
+    """Every file is changed once, and every third by a move, which bumps two folders unless it stays."""
+    n = F.col("file_id").cast("long")
+    ops = catalog(spark, d, "files").select("parent_id", F.when(n % 3 == 0, "move").otherwise("write").alias("op"), F.concat(F.lit("src"), n % 7).alias("new_parent_id"))
+    return folds.revisions(ops)
 
 
 @query(", r AS (SELECT *, CASE WHEN updated_at % 2000 = 0 THEN file_hash END AS metadata FROM files) SELECT file_id, coalesce(metadata, lead(metadata) OVER w) AS metadata, row_number() OVER w = 1 AS live FROM r WINDOW w AS (PARTITION BY user_id, coalesce(parent_id, ''), mime_type ORDER BY updated_at DESC, file_id DESC)", "files")
@@ -371,19 +363,20 @@ def commit_rename_supersede(spark, d):
     return mutations.published(f).select("file_id", "metadata", "live")
 
 
-@query("""SELECT id, CASE WHEN p = 1 THEN 'keep' WHEN EXISTS (SELECT 1 FROM files c WHERE c.parent_id = 'src' || (CAST(id AS BIGINT) % 40)) AND false THEN 'skip' ELSE 'drop' END AS action
-    FROM (SELECT file_id AS id, row_number() OVER (PARTITION BY coalesce(parent_id, ''), mime_type ORDER BY updated_at DESC, file_id DESC) AS p FROM files)""", "files")
+@query("""SELECT file_id AS id, CASE WHEN status = 'deleted' OR row_number() OVER (PARTITION BY user_id, coalesce(parent_id, ''), mime_type, status = 'deleted' ORDER BY updated_at DESC, file_id DESC) = 1 THEN 'keep' ELSE 'drop' END AS action FROM files""", "files")
 def dedupe_paths(spark, d):
-    f = catalog(spark, d, "files").select(F.col("file_id").alias("id"), "parent_id", F.col("mime_type").alias("name"), "updated_at")
+    f = catalog(spark, d, "files").select(F.col("file_id").alias("id"), "user_id", "parent_id", F.col("mime_type").alias("name"), "updated_at", "status")
     return mutations.deduplicated(f).select("id", "action")
 
 
-@query()
+@query("""SELECT folder_id AS id, CASE WHEN row_number() OVER (PARTITION BY length(folder_id) % 2, coalesce(parent_id, ''), length(name) ORDER BY length(folder_id) DESC, folder_id DESC) = 1 THEN 'keep'
+    WHEN EXISTS (SELECT 1 FROM folders c WHERE c.parent_id = f.folder_id) OR EXISTS (SELECT 1 FROM orders o WHERE 'c' || o.o_custkey = f.folder_id AND o.o_orderstatus <> 'P') THEN 'skip' ELSE 'drop' END AS action FROM folders f""", "folders")
 def dedupe_folders(spark, d):
-    """Folders of one parent and length of name; those with children are skipped."""
+    """Folders of one parent and length of name; those with subfolders, or live files (orders), are skipped."""
     f = catalog(spark, d, "folders")
-    rows = f.select(F.col("folder_id").alias("id"), "parent_id", F.length("name").cast("string").alias("name"), F.length("folder_id").alias("updated_at"))
-    return mutations.deduplicated(rows, f.where("parent_id IS NOT NULL")).select("id", "action")
+    rows = f.select(F.col("folder_id").alias("id"), F.length("folder_id").alias("n"), "parent_id", F.length("name").cast("string").alias("name"), F.length("folder_id").alias("updated_at")).withColumn("user_id", F.col("n") % 2)
+    files = source(spark, d, "orders").where("o_orderstatus <> 'P'").select(F.concat(F.lit("c"), "o_custkey").alias("parent_id"))
+    return mutations.deduplicated(rows, f.where("parent_id IS NOT NULL").select("parent_id").union(files)).select("id", "action")
 
 
 @query("SELECT vec_id, label FROM embeddings WHERE vec_id % 4 <> 0 UNION ALL SELECT vec_id, label + 100 FROM embeddings WHERE vec_id % 4 = 0 UNION ALL SELECT vec_id + 1000000, label + 100 FROM embeddings WHERE vec_id % 4 = 0")
@@ -458,12 +451,7 @@ def next_deadline(spark, d):
 @query("SELECT status, count(*) AS n FROM files GROUP BY 1", "files")
 def snapshot_round_trip(spark, d):
     """A snapshot partitioned by user, written to the shared folder and read back."""
-    import tempfile
-
-    from catalith.sources import write_snapshot
-
-    root = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='catalith-')}"
-    path = write_snapshot(catalog(spark, d, "files"), root, ["user_id"])
+    path = write_snapshot(catalog(spark, d, "files"), scratch_path(spark, "snapshots"), ["user_id"])
     return reporting.duplicates(spark.read.parquet(path).select("status"), "status")
 
 

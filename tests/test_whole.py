@@ -4,14 +4,16 @@ from __future__ import annotations
 
 import hashlib
 import os
+import random
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from catalith import plans
 from catalith.adapters import catalog
 from catalith.functions import scalars
-from catalith.operators import tree
+from catalith.operators import chunks, folds, history, listing, mutations, tree
 
 DIR = "/root/testdata/sf0.01"
 tables = pytest.mark.skipif(not os.path.isdir(DIR), reason="no tables")
@@ -74,33 +76,123 @@ def test_all_texts_are_split(spark):
 def test_every_file_is_put_and_swept(spark):
     rows = catalog(spark, DIR, "file_chunks").select("chunk_hash", "file_id", "chunk_index", "chunk_size").collect()
     run = lambda name: plans.QUERIES[name](spark, DIR).collect()
-    refs, size, kept, old = Counter(), {}, Counter(), set()
-    old_size = {}
+    refs, size, kept, old_size = Counter(), {}, Counter(), {}
     for r in rows:
         refs[r.chunk_hash] += 1
         kept[r.chunk_hash] += r.file_id % 4 != 0
         size[r.chunk_hash] = max(size.get(r.chunk_hash, 0), r.chunk_size)
         if r.file_id % 2 == 0:
-            old.add(r.chunk_hash)
             old_size[r.chunk_hash] = max(old_size.get(r.chunk_hash, 0), r.chunk_size)
-    new = {r.chunk_hash for r in rows if r.file_id % 2}
     mark = lambda of, h: 1000 if of[h] % 7 == 0 else None
-    assert {r.chunk_hash: (r.size, r.ref_count, r.deleted_at) for r in run("dedup_put_all")} == {h: (size[h], refs[h], None if h in new else mark(old_size, h)) for h in refs}
-    want = {(r.file_id, r.chunk_index): "deduplicated" if r.chunk_hash in old else "created" for r in rows if r.file_id % 2}
+    # One put after the other.
+    store = {h: [n, 0, mark(old_size, h)] for h, n in old_size.items()}
+    known = {(r.chunk_hash, r.file_id, r.chunk_index) for r in rows if r.file_id % 2 == 0}
+    for h, _, _ in known:
+        store[h][1] += 1
+    want = {}
+    for r in sorted((r for r in rows if r.file_id % 2 or r.file_id % 4 == 0), key=lambda r: (r.file_id, r.chunk_index)):
+        want[r.file_id, r.chunk_index] = "deduplicated" if r.chunk_hash in store else "created"
+        of = store.setdefault(r.chunk_hash, [r.chunk_size, 0, None])
+        if (key := (r.chunk_hash, r.file_id, r.chunk_index)) not in known:
+            known.add(key)
+            of[1] += 1
+        of[2] = None
     assert {(r.file_id, r.chunk_index): r.outcome for r in run("put_outcome_all")} == want
+    got = {r.chunk_hash: (r.size, r.ref_count, r.deleted_at) for r in run("dedup_put_all")}
+    assert {h: x[1:] for h, x in got.items()} == {h: (x[1], x[2]) for h, x in store.items()} and all(got[h][0] == n for h, n in old_size.items())
     at = {h: mark(size, h) or (None if kept[h] else 5000) for h in refs}
     assert {r.chunk_hash: (r.ref_count, r.deleted_at) for r in run("refcount_drop_all")} == {h: (kept[h], at[h]) for h in refs}
     act = lambda h: "keep" if at[h] is None or at[h] >= 3000 else "unmark" if kept[h] else "delete"
     assert {r.chunk_hash: r.action for r in run("gc_mark_sweep_all")} == {h: act(h) for h in refs}
 
 
-@tables
 def test_folders_with_children_are_skipped(spark):
-    rows, groups, want = catalog(spark, DIR, "folders").collect(), {}, {}
-    parents = {r.parent_id for r in rows}
-    for r in rows:
-        groups.setdefault((r.parent_id or "", len(r.name)), []).append((len(r.folder_id), r.folder_id))
-    for g in groups.values():
-        for k, (_, i) in enumerate(sorted(g, reverse=True)):
-            want[i] = "keep" if k == 0 else "skip" if i in parents else "drop"
-    assert {r.id: r.action for r in plans.QUERIES["dedupe_folders"](spark, DIR).collect()} == want and set(want.values()) == {"keep", "skip", "drop"}
+    rows = [("a", "u", None, "x", 3), ("b", "u", "", "x", 2), ("c", "u", None, "x", 1), ("d", "v", None, "x", 0)]
+    df = spark.createDataFrame(rows, "id string, user_id string, parent_id string, name string, updated_at long")
+    got = mutations.deduplicated(df, spark.createDataFrame([("b",), ("a",)], "parent_id string")).collect()
+    assert {r.id: r.action for r in got} == {"a": "keep", "b": "skip", "c": "drop", "d": "keep"}
+    states = spark.createDataFrame([("complete",), ("deleted",)], "status string")
+    assert {(r.id, r.status): r.action for r in mutations.deduplicated(df.where("id = 'a'").crossJoin(states)).collect()} == {("a", "complete"): "keep", ("a", "deleted"): "keep"}
+
+
+def test_retention_protects_the_pointer(spark):
+    v = spark.createDataFrame([("p", f"v{k}", k * 1000, 5, False) for k in range(1, 5)], "path_id string, version_id string, mtime_ms long, size long, deleted boolean")
+    heads = lambda h: spark.createDataFrame([("p", h)], "path_id string, head_version_id string")
+    gone = lambda h, **k: sorted(r.version_id for r in history.dropped(v, heads(h), **k).collect())
+    assert gone("v4", keep_last=2, keep=["v3"]) == ["v1"]  # v3 takes no place
+    assert gone("v2", keep_last=1) == ["v1", "v3", "v4"] and gone(None, keep_last=1) == ["v1", "v2", "v3"]
+    assert gone("v4", older_than=2500) == ["v1", "v2"] and gone("v4") == ["v1", "v2", "v3"]
+
+
+def test_puts_without_bytes_and_first_writers(spark):
+    store = spark.createDataFrame([("h", 5, 1, 9)], "chunk_hash string, size long, ref_count long, deleted_at long")
+    refs = spark.createDataFrame([("h", 1, 0)], "chunk_hash string, file_id long, chunk_index long")
+    new = spark.createDataFrame([("h", 1, 0, 5), ("h", 2, 0, 0), ("x", 3, 0, 0), ("y", 4, 0, 7), ("y", 5, 0, 7), (chunks.EMPTY, 6, 0, 0)], "chunk_hash string, file_id long, chunk_index long, chunk_size long")
+    after, puts = chunks.put(store, refs, new)
+    assert {r.file_id: r.outcome for r in puts.collect()} == {1: "deduplicated", 2: "deduplicated", 3: "EINVAL", 4: "created", 5: "deduplicated", 6: "created"}
+    assert {r.chunk_hash: (r.size, r.ref_count, r.deleted_at) for r in after.collect()} == {"h": (5, 2, None), "y": (7, 2, None), chunks.EMPTY: (0, 1, None)}
+
+
+def test_trees_of_any_depth(spark):
+    chain = [(f"f{k}", f"f{k - 1}" if k else None, f"n{k}") for k in range(1300)]
+    odd = [("x", "y", "x"), ("y", "x", "y"), ("z", "y", "z"), ("orphan", "gone", "o"), ("self", "self", "s")]
+    df = spark.createDataFrame(chain + odd, "folder_id string, parent_id string, name string")
+    got = {r.folder_id: (r.path, r.depth) for r in tree.absolute_paths(df).collect()}
+    assert len(got) == 1301 and got["f1299"] == ("".join(f"/n{k}" for k in range(1300)), 1299) and got["orphan"] == ("/o", 0)
+    assert {r.folder_id: r.depth for r in tree.subtree(df, "f1290").collect()} == {f"f{1290 + k}": k for k in range(10)}
+    crumbs = tree.breadcrumbs(df, df.where("folder_id IN ('f3', 'z', 'orphan')")).collect()
+    assert sorted((r.leaf, r.up, r.folder_id) for r in crumbs) == [("f3", k, f"f{3 - k}") for k in range(4)] + [("orphan", 0, "orphan")]
+
+
+def test_folds_against_plain_python(spark):
+    rng = random.Random(1)
+    rows = [(f"k{rng.randrange(3)}", n, float(rng.choice([10, 11, 12, 40])), rng.random() < 0.9, rng.randrange(-9, 9)) for n in range(1500)]
+    df = spark.createDataFrame(rows, "key string, seq long, ms double, ok boolean, delta long").repartition(5)
+    counters, lanes = {}, {}
+    for key, _, ms, ok, delta in rows:
+        now, peak = counters.get(key, (0, 0))
+        now = max(0, now + delta)
+        counters[key] = now, max(peak, now)
+        n, times, done = lanes.get(key, (8, [], 0))
+        if ok:
+            times, done = [*times, ms][-32:], done + 1
+            if n < 64 and done >= 8:
+                s = sorted(times)
+                n, done = (min(64, n + 4) if s[min(len(s) - 1, int(0.95 * len(s)))] < 1.2 * max(s[int(0.5 * len(s))], 1) else n), 0
+        else:
+            n = max(1, n // 2)
+        lanes[key] = n, times, done
+    assert {r.key: (r.used, r.peak) for r in folds.usage(df, "key", "seq", "delta").collect()} == counters
+    assert {r.key: r.lanes for r in folds.concurrency(df, "key", "seq", "ms", "ok").collect()} == {k: v[0] for k, v in lanes.items()}
+
+
+def test_justified_rows(spark):
+    df = spark.createDataFrame([("a", k, 1.0) for k in range(5)] + [("b", 0, 2.0)], "album string, id long, aspect double")
+    got = {(r.album, r.id): (r.row, round(r.row_height, 6)) for r in folds.justified(df, "album", "id", "aspect", 400.0, 200.0).collect()}
+    assert got == {("a", 0): (0, 200), ("a", 1): (0, 200), ("a", 2): (1, 200), ("a", 3): (1, 200), ("a", 4): (2, 200), ("b", 0): (0, 200)}
+
+
+def test_metadata_keys_of_any_kind(spark):
+    df = spark.createDataFrame([('{"a.b":1,"it\'s":{"x y":[1,"z"]}}',)], "m string")
+    ok = lambda f: df.where(listing.metadata_matches(F.col("m"), f)).count() == 1
+    assert ok({"a.b": 1}) and ok({"it's": {"x y": [1, "z"]}}) and not ok({"a": {"b": 1}}) and not ok({"a.b": "1"}) and not ok({"a.b": 2})
+    with pytest.raises(listing.CatalogError):
+        listing.metadata_matches(F.col("m"), {"'\"": 1})
+
+
+def test_photos_whatever_the_case(spark):
+    df = spark.createDataFrame([("complete", "IMAGE/PNG"), ("complete", "image/GIF"), ("deleted", "image/png")], "status string, mime_type string")
+    assert [r.mime_type for r in listing.photos(df).collect()] == ["IMAGE/PNG"]
+
+
+def test_first_writer_is_the_least(spark):
+    old = spark.createDataFrame([("a", 9)], "k string, v long")
+    new = spark.createDataFrame([("a", 1), ("b", 5), ("b", 2)], "k string, v long")
+    assert sorted(mutations.insert_or_ignore(old, new, ["k"], "v").collect()) == [("a", 9), ("b", 2)]
+
+
+def test_no_plan_puts_all_rows_in_one_task(spark):
+    plan = lambda name: plans.QUERIES[name](spark, DIR)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange SinglePartition" not in plan("quota_shares").split("Subquery")[0]
+    assert "ObjectHashAggregate" not in plan("token_bucket") and "MapInArrow" in plan("token_bucket")
+    assert "TakeOrderedAndProject" in plan("list_files_tags_and")
