@@ -3,50 +3,22 @@
 from __future__ import annotations
 
 import atexit
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from catalith.scratch import scratch_path, shared_dir, stored
+
+__all__ = ["SPACE_CLASS", "WORD_CLASS", "bucketed", "scratch_path", "shared_dir", "stored", "table", "whole"]
+
 #: White space that separates words; everything else is part of a word (fixed values).
 SPACE_CLASS = r"[\x20\x09-\x0D]"
 WORD_CLASS = r"[^\x20\x09-\x0D]"
 
-_scratch: list[tuple[SparkSession, str]] = []
 _tables: list[tuple[SparkSession, str]] = []
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a temporary one where it is unset, as in tests."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        known = spark.sparkContext.getCheckpointDir()
-        path = known.rsplit("/", 1)[0] if known else f"file://{tempfile.mkdtemp(prefix='catalith-')}"
-        if not known:
-            spark.sparkContext.setCheckpointDir(path)
-    return path.rstrip("/")
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder, removed when the driver ends."""
-    path = f"{shared_dir(spark)}/catalith-{uuid.uuid4().hex}/{name}"
-    _scratch.append((spark, path.rsplit("/", 1)[0]))
-    return path
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write ``df`` as a Parquet table in the shared folder and read it back.
-
-    Files in the shared folder outlive the executors that wrote them, so a later
-    read never depends on an executor that is gone.
-    """
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def bucketed(df: DataFrame, column: str, n: int) -> DataFrame:
     """As ``stored``, but as a table in the warehouse, in ``n`` buckets by ``column``: a later join by it does not shuffle these rows."""
     spark, name = df.sparkSession, f"catalith_{uuid.uuid4().hex}"
@@ -62,14 +34,6 @@ def _clean() -> None:
         except Exception:  # the session may be gone by then
             break
 
-    for spark, path in _scratch:
-        try:
-            jvm = spark.sparkContext._jvm
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-        except Exception:  # the session may be gone by then
-            return
-
 
 atexit.register(_clean)
 
