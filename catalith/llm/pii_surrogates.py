@@ -79,11 +79,11 @@ def type_of(value: Column) -> Column:
 def _parts(before: Column, value: Column) -> Column:
     """The entities of a match, with the text before each: a name is its given and family names, of kinds like ``given:latin:f`` and ``family:latin``."""
     kind, title = type_of(value), F.regexp_extract(value, _TITLE, 0)
-    script = F.when(value.rlike(r"\p{IsCyrillic}"), "cyrillic").when(value.rlike(r"\p{IsGreek}"), "greek").otherwise("latin")
+    script = lambda w: F.when(w.rlike(r"\p{IsCyrillic}"), "cyrillic").when(w.rlike(r"\p{IsGreek}"), "greek").otherwise("latin")
     gender = F.when(F.regexp_extract(value, _TITLE, 1).isin(*TITLES["f"]), "f").otherwise("m")
     words = F.split(F.substring(value, F.length(title) + 1, F.length(value)), " ")
     part = lambda b, v, k: F.struct(b.alias("before"), v.alias("value"), k.alias("kind"))
-    of_name = F.transform(words, lambda w, k: part(F.when(k == 0, F.concat(before, title)).otherwise(" "), w, F.when(k < F.size(words) - 1, F.concat_ws(":", F.lit("given"), script, gender)).otherwise(F.concat(F.lit("family:"), script))))
+    of_name = F.transform(words, lambda w, k: part(F.when(k == 0, F.concat(before, title)).otherwise(" "), w, F.when(k < F.size(words) - 1, F.concat_ws(":", F.lit("given"), script(w), gender)).otherwise(F.concat(F.lit("family:"), script(w)))))
     return F.when(kind == "name", of_name).otherwise(F.array(part(before, value, kind)))
 
 

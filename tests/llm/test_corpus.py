@@ -231,8 +231,8 @@ def test_surrogates_are_distinct_and_coreferent(spark, odd, nothing):
 def test_surrogates_keep_their_shape_when_forms_run_out(spark, monkeypatch):
     monkeypatch.setattr(pii_surrogates, "SYLLABLES", {"latin": ("ba", "de"), "cyrillic": ("ба", "ве")})
     name = lambda k: chr(97 + k // 26) + "x" + chr(97 + k % 26)
-    shapes = {"name:latin:m": r"(ba|de)+[nrsk]", "email": r"[a-z]+@[a-z]\.co", "account": r"7\d+"}
-    rows = [("name:latin:m", name(k)) for k in range(150)] + [("email", f"{a}@{b}.co") for a in map(chr, range(97, 123)) for b in map(chr, range(97, 123))] + [("account", f"7{k}") for k in range(10)]
+    shapes = {"family:latin": r"(ba|de)+[nrsk]", "email": r"[a-z]+@[a-z]\.co", "account": r"7\d+"}
+    rows = [("family:latin", name(k)) for k in range(150)] + [("email", f"{a}@{b}.co") for a in map(chr, range(97, 123)) for b in map(chr, range(97, 123))] + [("account", f"7{k}") for k in range(10)]
     got = pii_surrogates.surrogates(spark.createDataFrame(rows, "kind string, canon string"), "k").collect()
     assert sorted((r.kind, r.canon) for r in got) == sorted(rows)
     forms = {(r.kind, r.surrogate) for r in got}
