@@ -64,18 +64,35 @@ def place(file: Column, index: Column, user: Column, pool: int = 32, full: froze
     return run(file, index, user)
 
 
-def inode(ident: Column) -> Column:
-    """53 bits of two hashes: 21 high and 32 low."""
-
+def _seeded(ident: Column, combine) -> Column:
     @F.arrow_udf(LongType())
     def run(x: pa.Array) -> pa.Array:
-        keys = x.fill_null("").to_pylist()
-        high, low = murmur3(keys, HIGH_SEED).astype(np.int64), murmur3(keys, LOW_SEED).astype(np.int64)
-        return pa.array(((high & 0x1FFFFF) << 32) | low)
+        return pa.array(combine(x.fill_null("").to_pylist()), mask=np.asarray(x.is_null()))
 
     return run(ident)
 
 
+def inodes(keys: list[str]) -> np.ndarray:
+    """53 bits of two hashes: 21 high and 32 low."""
+    high, low = murmur3(keys, HIGH_SEED).astype(np.int64), murmur3(keys, LOW_SEED).astype(np.int64)
+    return ((high & 0x1FFFFF) << 32) | low
+
+
+def inode(ident: Column) -> Column:
+    """The inode of a file or folder, by its id."""
+    return _seeded(ident, inodes)
+
+
+def user_number(tenant: Column) -> Column:
+    """The 32-bit number of a tenant as owner."""
+    return _seeded(tenant, lambda keys: murmur3(keys, USER_SEED).astype(np.int64))
+
+
+def group_number(tenant: Column) -> Column:
+    """The 32-bit number of a tenant as group."""
+    return _seeded(tenant, lambda keys: murmur3(keys, GROUP_SEED).astype(np.int64))
+
+
 def peaks(data: bytes, n: int = 96) -> list[float]:
     """The mean distance from silence of each of n equal parts of unsigned 8-bit samples."""
     if not data:
@@ -117,14 +134,37 @@ def deep_merge(base: Column, patch: Column) -> Column:
     return _deep_merge(base, patch)
 
 
+#: Nesting, items of an array, characters of a key, and bytes at most (fixed values).
+DEPTH, ITEMS, KEY, BYTES = 10, 1024, 1024, 64 << 10
+
+
 def invalid_metadata(value, depth: int = 0) -> str | None:
     """What is wrong with decoded metadata, if anything: depth, array length, key length, numbers."""
-    if depth > 10:
+    if depth > DEPTH:
         return "depth"
     if isinstance(value, float) and not np.isfinite(value):
         return "number"
     if isinstance(value, list):
-        return "array" if len(value) > 1024 else next((e for x in value if (e := invalid_metadata(x, depth + 1))), None)
+        return "array" if len(value) > ITEMS else next((e for x in value if (e := invalid_metadata(x, depth + 1))), None)
     if isinstance(value, dict):
-        return "key" if any(not k or len(k) > 128 for k in value) else next((e for x in value.values() if (e := invalid_metadata(x, depth + 1))), None)
+        return "key" if any(len(k) > KEY for k in value) else next((e for x in value.values() if (e := invalid_metadata(x, depth + 1))), None)
     return None
+
+
+@F.arrow_udf(StringType())
+def _metadata_error(text: pa.Array) -> pa.Array:
+    def one(t):
+        try:
+            value = json.loads(t)
+        except (ValueError, RecursionError):
+            return "json"
+        if not isinstance(value, dict):
+            return "root"
+        return invalid_metadata(value) or ("size" if len(json.dumps(value, separators=(",", ":"), ensure_ascii=False).encode()) > BYTES else None)
+
+    return pa.array([None if t is None else one(t) for t in text.to_pylist()], pa.string())
+
+
+def metadata_error(text: Column) -> Column:
+    """What is wrong with metadata as JSON text: json, root (no object), depth, number, array, key or size; null for what is right."""
+    return _metadata_error(text)

@@ -193,3 +193,9 @@ def code_tokens(text: Column, keywords: str, most: int = 1024) -> Column:
     """Keywords and quoted strings in the beginning of a source text, as a struct of counts; previews show no more of it."""
     head = F.substring(text, 1, most)
     return F.struct(F.size(F.regexp_extract_all(head, F.lit(f"({keywords})"))).cast("long").alias("keywords"), F.size(F.regexp_extract_all(head, F.lit('("[^"]*")'))).cast("long").alias("strings"))
+
+
+def tags_error(tags: Column, most: int = 32) -> Column:
+    """What is wrong with a list of tags: too many, a character or length that is not allowed, or a repeated one; null for what is right."""
+    odd = F.exists(tags, lambda t: t.isNull() | ~t.rlike(r"^[A-Za-z0-9._:/-]{1,128}$"))
+    return F.when(F.size(tags) > most, "count").when(odd, "tag").when(F.size(F.array_distinct(tags)) < F.size(tags), "repeated")

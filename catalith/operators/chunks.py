@@ -174,3 +174,13 @@ def shard_of(chunks: DataFrame, known: DataFrame, fallback: Column) -> DataFrame
     """Chunks placed where their hash already is (the lowest shard), else by ``fallback``."""
     where = known.groupBy("chunk_hash").agg(F.min("shard_index").alias("__known"))
     return chunks.join(where, "chunk_hash", "left").withColumn("shard_index", F.coalesce("__known", fallback)).drop("__known")
+
+
+def finalized(expected: DataFrame, there: DataFrame) -> DataFrame:
+    """Per upload what finalizing it gives: ENOENT with a chunk missing, EBADF with another hash, else OK with the file's hash and bytes; chunks beyond the expected ones are left out."""
+    e, l = expected.withColumnRenamed("chunk_hash", "expected"), there.select("upload_id", "chunk_index", F.col("chunk_hash").alias("landed"))  # noqa: E741
+    rows = e.join(l, ["upload_id", "chunk_index"], "left").withColumn("code", F.when(F.col("landed").isNull(), 2).when(F.col("landed") != F.col("expected"), 1).otherwise(0))
+    hashes = F.transform(F.array_sort(F.collect_list(F.struct("chunk_index", "expected"))), lambda x: x["expected"])
+    out = rows.groupBy("upload_id").agg(F.max("code").alias("code"), F.sum("chunk_size").alias("bytes"), F.sha2(F.array_join(hashes, ""), 256).alias("file_hash"))
+    ok = lambda c: F.when(F.col("code") == 0, F.col(c)).alias(c)
+    return out.select("upload_id", F.when(F.col("code") == 2, "ENOENT").when(F.col("code") == 1, "EBADF").otherwise("OK").alias("code"), ok("bytes"), ok("file_hash"))

@@ -277,3 +277,25 @@ def throttled(samples: DataFrame, key: str, at: str, value: str, width: int) ->
     """The last sample of each key and window, the greatest of equal times."""
     bucket = F.floor(F.col(at) / width).alias("bucket")
     return samples.groupBy(key, bucket).agg(F.max_by(value, F.struct(at, value)).alias(value))
+
+
+def tiers(writes: DataFrame, user: str, order: str, size: str, most: int = 16 << 10, cap: int = 1 << 30) -> DataFrame:
+    """Where each write's bytes go: inline for small ones while the user's inline bytes stay within the cap, else chunks; a write that does not fit takes nothing of it."""
+    kinds = dict(writes.dtypes)
+    schema = f"{user} {kinds[user]}, {order} {kinds[order]}, tier string, inline_bytes long"
+    names, types = _arrow(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, begun, used = None, False, 0
+        for b in batches:
+            out = []
+            for k, at, n in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if not begun or k != now:
+                    now, begun, used = k, True, 0
+                fits = n <= most and used + n <= cap
+                used += n if fits else 0
+                out.append((k, at, "inline" if fits else "chunks", used))
+            if out:
+                yield _batch(out, names, types)
+
+    return writes.select(user, order, F.col(size).cast("long").alias("n")).repartition(F.col(user)).sortWithinPartitions(user, order).mapInArrow(run, schema)

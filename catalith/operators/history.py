@@ -132,3 +132,19 @@ def reclaimed(versions: DataFrame, gone: DataFrame) -> DataFrame:
 def audited(audit: DataFrame, new: DataFrame) -> DataFrame:
     """The log with more entries; columns that they lack are null."""
     return audit.unionByName(new, allowMissingColumns=True)
+
+
+def moved(versions: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Histories after renames (source, target): a target keeps its own versions and takes over the source's; of equal ids the source's stays."""
+    p = pairs.select(F.col("source").alias("path_id"), "target")
+    taken = versions.join(p, "path_id").withColumn("path_id", F.col("target")).select(versions.columns)
+    rest = versions.join(p.select("path_id"), "path_id", "left_anti")
+    return rest.join(taken.select("path_id", "version_id"), ["path_id", "version_id"], "left_anti").select(versions.columns).unionByName(taken)
+
+
+def unlinked_by_user(versions: DataFrame, paths: DataFrame, flags: DataFrame, now_ms: int, tombstone_id: str) -> DataFrame:
+    """Histories after unlinks (path_id, user_id): a tombstone where the user's flag keeps versions (``flags``: user_id, enabled), else no history at all."""
+    on = paths.join(flags.where("enabled").select("user_id"), "user_id", "left_semi").select("path_id")
+    off = paths.join(flags.where("enabled").select("user_id"), "user_id", "left_anti").select("path_id")
+    stones = on.select("path_id", F.lit(tombstone_id).alias("version_id"), F.lit(now_ms).cast("long").alias("mtime_ms"), F.lit(0).cast("long").alias("size"), F.lit(True).alias("deleted"), F.lit(False).alias("user_visible"))
+    return versions.join(off, "path_id", "left_anti").select(stones.columns).unionByName(stones)

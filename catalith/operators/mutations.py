@@ -131,11 +131,14 @@ def changed_modes(files: DataFrame, asked: DataFrame) -> DataFrame:
     return out.select("file_id", F.when(code == "OK", F.col("new_mode")).otherwise(F.col("old")).alias("mode"), code.alias("code"))
 
 
-def linked(files: DataFrame, asked: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Files (file_id, parent_id, file_name, status, link_target) after symlink, and each outcome: EEXIST where a live file has the place."""
-    taken = files.where("status <> 'deleted'").select(F.coalesce("parent_id", F.lit("")).alias("parent"), "file_name").distinct().withColumn("taken", F.lit(True))
-    out = asked.withColumn("parent", F.coalesce("parent_id", F.lit(""))).join(taken, ["parent", "file_name"], "left")
-    out = out.withColumn("code", F.when(F.col("taken"), "EEXIST").otherwise("OK"))
+def linked(files: DataFrame, asked: DataFrame, folders: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Files (file_id, parent_id, file_name, status, link_target) after symlink, and each outcome: EINVAL without a target, EEXIST where a folder or live file has the place."""
+    parent = F.coalesce("parent_id", F.lit("")).alias("parent")
+    taken = files.where("status <> 'deleted'").select(parent, "file_name")
+    if folders is not None:
+        taken = taken.union(folders.select(parent, "name"))
+    out = asked.withColumn("parent", parent).join(taken.distinct().withColumn("taken", F.lit(True)), ["parent", "file_name"], "left")
+    out = out.withColumn("code", F.when(F.coalesce("link_target", F.lit("")) == "", "EINVAL").when(F.col("taken"), "EEXIST").otherwise("OK"))
     new = out.where("code = 'OK'").select("file_id", "parent_id", "file_name", F.lit("complete").alias("status"), "link_target")
     return files.unionByName(new, allowMissingColumns=True), out.select("file_id", "code")
 
@@ -209,3 +212,44 @@ def wiped(tables: dict[str, tuple[DataFrame, str]], users: DataFrame) -> tuple[d
 def soft_deleted(files: DataFrame, asked: DataFrame, now_ms: int) -> DataFrame:
     """Files with the asked ones' status deleted."""
     return files.join(asked.select("file_id", F.lit(True).alias("__gone")), "file_id", "left").withColumns({"status": F.when(F.col("__gone"), "deleted").otherwise(F.col("status")), "updated_at": F.when(F.col("__gone"), F.lit(now_ms).cast("long")).otherwise(F.col("updated_at"))}).drop("__gone")
+
+
+def moved_folders(folders: DataFrame, files: DataFrame, moves: DataFrame, tops: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Folders after moves (folder_id, parent_id, name), and each outcome.
+
+    ENOENT: no such folder, or none to move into; EINVAL: into itself or below
+    (``tops`` has (folder_id, above) for every folder and what is above it, itself
+    included); EEXIST: a folder or live file has the place.
+    """
+    parent = F.coalesce("parent_id", F.lit("")).alias("parent")
+    taken = folders.select(parent, "name", F.col("folder_id").alias("holder")).union(files.where("status <> 'deleted'").select(parent, F.col("file_name"), F.lit("")))
+    taken = taken.groupBy("parent", "name").agg(F.max("holder").alias("holder"), F.lit(True).alias("taken"))
+    there = folders.select("folder_id", F.lit(True).alias("there"))
+    into = folders.select(F.col("folder_id").alias("parent"), F.lit(True).alias("known"))
+    below = tops.select(F.col("folder_id").alias("parent"), F.col("above").alias("folder_id"), F.lit(True).alias("below")).distinct()
+    out = moves.withColumn("parent", parent).join(there, "folder_id", "left").join(into, "parent", "left").join(below, ["parent", "folder_id"], "left").join(taken, ["parent", "name"], "left")
+    lost = F.col("there").isNull() | ((F.col("parent") != "") & F.col("known").isNull())
+    code = F.when(lost, "ENOENT").when(F.col("below"), "EINVAL").when(F.col("taken") & (F.col("holder") != F.col("folder_id")), "EEXIST").otherwise("OK")
+    out = out.withColumn("code", code)
+    done = out.where("code = 'OK'").select("folder_id", F.col("parent_id").alias("__p"), F.col("name").alias("__n"), F.lit(True).alias("__ok"))
+    after = folders.join(done, "folder_id", "left").withColumns({"parent_id": F.when(F.col("__ok"), F.col("__p")).otherwise(F.col("parent_id")), "name": F.when(F.col("__ok"), F.col("__n")).otherwise(F.col("name"))})
+    return after.drop("__p", "__n", "__ok"), out.select("folder_id", "code")
+
+
+def removal(folders: DataFrame, files: DataFrame, versioned: DataFrame) -> DataFrame:
+    """What a recursive remove of a subtree (folder_id, depth) does, in order: files first, tombstoned where their user keeps versions and else deleted, then folders, the deepest first."""
+    keeps = versioned.select("user_id", F.lit(True).alias("keeps"))
+    gone = files.where("status <> 'deleted'").join(folders.select(F.col("folder_id").alias("parent_id")), "parent_id", "left_semi").join(keeps, "user_id", "left")
+    of_files = gone.select(F.lit(0).alias("step"), F.lit(0).alias("depth"), F.col("file_id").alias("id"), F.when(F.col("keeps"), "tombstone").otherwise("delete").alias("action"))
+    return of_files.unionByName(folders.select(F.lit(1).alias("step"), (-F.col("depth")).alias("depth"), F.col("folder_id").alias("id"), F.lit("remove").alias("action")))
+
+
+def carried_tags(tags: DataFrame, rows: DataFrame) -> DataFrame:
+    """Tags after rows (user_id, parent_id, file_name, updated_at, file_id) are published: the live one of a place takes over those of the newest other one if it has none."""
+    w = Window.partitionBy("user_id", F.coalesce("parent_id", F.lit("")), "file_name").orderBy(F.desc("updated_at"), F.desc("file_id"))
+    placed = rows.withColumns({"place": F.row_number().over(w), "next": F.lead("file_id").over(w)})
+    live = placed.where("place = 1").select(F.col("file_id").alias("path_id"), "next")
+    bare = live.join(tags.select("path_id").distinct(), "path_id", "left_anti").where("next is not null")
+    taken = bare.select("path_id", F.col("next").alias("other")).join(tags.select(F.col("path_id").alias("other"), "tag"), "other").select("path_id", "tag")
+    own = tags.join(live.select("path_id"), "path_id", "left_semi").select("path_id", "tag")
+    return own.union(taken).distinct()

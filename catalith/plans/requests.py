@@ -501,3 +501,103 @@ def audit_insert(spark, d):
     log = catalog(spark, d, "audit_log")
     new = log.select("path_id").distinct().select(F.concat(F.lit("n"), "path_id").alias("id"), F.lit("new").alias("op"), "path_id")
     return reporting.counted(history.audited(log, new), "op")
+
+
+# Tiers, moves, removals, uploads' ends, limits.
+
+@query(""", o AS (SELECT user_id, file_id, file_size AS n, row_number() OVER (PARTITION BY user_id ORDER BY file_id) AS i FROM files),
+    b AS (SELECT user_id, '' AS file_id, 0::BIGINT AS i, '' AS tier, 0::BIGINT AS used FROM (SELECT DISTINCT user_id FROM o)
+    UNION ALL SELECT o.user_id, o.file_id, o.i, CASE WHEN n <= 1500 AND used + n <= 60000 THEN 'inline' ELSE 'chunks' END, used + CASE WHEN n <= 1500 AND used + n <= 60000 THEN n ELSE 0 END FROM b JOIN o ON o.user_id = b.user_id AND o.i = b.i + 1)
+    SELECT user_id, file_id, tier, used AS inline_bytes FROM b WHERE i > 0""", "files")
+def write_tiers(spark, d):
+    return folds.tiers(catalog(spark, d, "files"), "user_id", "file_id", "file_size", 1500, 60_000)
+
+
+@query(""", o AS (SELECT path_id, row_number() OVER (PARTITION BY path_id ORDER BY seq) AS i, (CAST(floor(value) AS BIGINT) - 40) * 500000000 AS x FROM audit_log),
+    b AS (SELECT path_id, i, greatest(x, 0) AS used, greatest(x, 0) AS peak FROM o WHERE i = 1 UNION ALL SELECT o.path_id, o.i, greatest(b.used + x, 0), greatest(b.peak, b.used + x) FROM b JOIN o ON o.path_id = b.path_id AND o.i = b.i + 1)
+    SELECT path_id, 32 + max(peak) // 5368709120 AS pool FROM b GROUP BY 1""", "audit_log")
+def pool_high_water(spark, d):
+    """A pool never shrinks: it follows the most that was ever stored."""
+    log = catalog(spark, d, "audit_log").withColumn("delta", (F.floor("value") - 40) * 500_000_000)
+    return folds.usage(log, "path_id", "seq", "delta").select("path_id", scalars.pool_size(F.col("peak")).alias("pool"))
+
+
+_MOVES = """m AS (SELECT 'c' || c_custkey AS folder_id, CASE c_custkey % 5 WHEN 0 THEN 'nowhere' WHEN 1 THEN 'c' || c_custkey WHEN 2 THEN 'n' || c_nationkey ELSE 'r2' END AS parent_id, CASE WHEN c_custkey % 5 = 4 THEN 'NATION' ELSE c_name END AS name FROM customer
+    UNION ALL SELECT 'n' || n_nationkey, 'c' || (SELECT min(c_custkey) FROM customer WHERE c_nationkey = n_nationkey AND c_custkey % 97 <> 0), n_name FROM nation UNION ALL SELECT 'gone', 'r1', 'x')"""
+
+
+@query(f""", {_MOVES}, up AS (SELECT folder_id AS f, folder_id AS above FROM folders UNION ALL SELECT up.f, g.parent_id FROM up JOIN folders g ON g.folder_id = up.above JOIN folders h ON h.folder_id = g.parent_id)
+    SELECT m.folder_id, CASE WHEN f.folder_id IS NULL OR p.folder_id IS NULL THEN 'ENOENT' WHEN EXISTS (SELECT 1 FROM up WHERE up.f = m.parent_id AND above = m.folder_id) THEN 'EINVAL'
+    WHEN EXISTS (SELECT 1 FROM folders t WHERE coalesce(t.parent_id, '') = m.parent_id AND t.name = m.name AND t.folder_id <> m.folder_id) THEN 'EEXIST' ELSE 'OK' END AS code
+    FROM m LEFT JOIN folders f ON f.folder_id = m.folder_id LEFT JOIN folders p ON p.folder_id = m.parent_id""", "folders")
+def move_folders(spark, d):
+    """Customers' folders to nowhere, into themselves, to where they are, and to a region; nations into a customer below them."""
+    f, c, n = catalog(spark, d, "folders"), source(spark, d, "customer"), source(spark, d, "nation")
+    k = F.col("c_custkey")
+    into = F.when(k % 5 == 0, "nowhere").when(k % 5 == 1, F.concat(F.lit("c"), k)).when(k % 5 == 2, F.concat(F.lit("n"), "c_nationkey")).otherwise("r2")
+    moves = c.select(F.concat(F.lit("c"), k).alias("folder_id"), into.alias("parent_id"), F.when(k % 5 == 4, "NATION").otherwise(F.col("c_name")).alias("name"))
+    least = c.where(k % 97 != 0).groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(F.min("c_custkey").alias("k"))
+    nations = n.join(least, "n_nationkey", "left").select(F.concat(F.lit("n"), "n_nationkey"), F.concat(F.lit("c"), "k"), "n_name")
+    moves = moves.union(nations).union(spark.createDataFrame([("gone", "r1", "x")], "folder_id string, parent_id string, name string"))
+    above = tree.walked(f, trail=True).select("folder_id", F.explode("trail").alias("t")).select("folder_id", F.col("t.folder_id").alias("above"))
+    files = f.select(F.col("folder_id").alias("file_id"), F.lit("none").alias("parent_id"), F.lit("f").alias("file_name"), F.lit("complete").alias("status"))
+    return mutations.moved_folders(f, files, moves, above)[1]
+
+
+@query(""", s AS (SELECT folder_id, 0 AS depth FROM folders WHERE folder_id = 'r1' UNION ALL SELECT f.folder_id, s.depth + 1 FROM s JOIN folders f ON f.parent_id = s.folder_id)
+    SELECT 0 AS step, 0 AS depth, 'o' || o_orderkey AS id, CASE WHEN o_orderkey % 4 < 2 THEN 'tombstone' ELSE 'delete' END AS action FROM orders WHERE o_orderstatus <> 'P' AND 'c' || o_custkey IN (SELECT folder_id FROM s)
+    UNION ALL SELECT 1, -depth, folder_id, 'remove' FROM s""", "folders")
+def removal_plan(spark, d):
+    files = source(spark, d, "orders").select(F.concat(F.lit("o"), "o_orderkey").alias("file_id"), (F.col("o_orderkey") % 4).alias("user_id"), F.concat(F.lit("c"), "o_custkey").alias("parent_id"), F.when(F.col("o_orderstatus") == "P", "deleted").otherwise("complete").alias("status"))
+    return mutations.removal(tree.subtree(catalog(spark, d, "folders"), "r1"), files, spark.range(2).select(F.col("id").alias("user_id")))
+
+
+@query(""", t AS (SELECT DISTINCT path_id, tag FROM file_tags WHERE tag LIKE 'quality%'), r AS (SELECT file_id, row_number() OVER w AS place, lead(file_id) OVER w AS other FROM files WINDOW w AS (PARTITION BY user_id, coalesce(parent_id, ''), mime_type ORDER BY updated_at DESC, file_id DESC))
+    SELECT path_id, tag FROM t JOIN r ON file_id = path_id WHERE place = 1 UNION SELECT file_id, tag FROM r JOIN t ON other = path_id WHERE place = 1 AND file_id NOT IN (SELECT path_id FROM t)""", "files", "file_tags")
+def carry_tags(spark, d):
+    f = catalog(spark, d, "files").withColumn("file_name", F.col("mime_type"))
+    return mutations.carried_tags(catalog(spark, d, "file_tags").where("tag like 'quality%'"), f)
+
+
+@query("""SELECT DISTINCT path_id, version_id, size FROM (SELECT 't' || CAST(substr(path_id, 2) AS BIGINT) // 2 AS path_id, version_id, CASE WHEN CAST(substr(path_id, 2) AS BIGINT) % 2 = 0 THEN size ELSE size END AS size,
+    row_number() OVER (PARTITION BY CAST(substr(path_id, 2) AS BIGINT) // 2, version_id ORDER BY CAST(substr(path_id, 2) AS BIGINT) % 2) AS place FROM versions_history) WHERE place = 1""", "versions_history")
+def rename_with_history(spark, d):
+    """Even paths move onto odd ones, which keep what the even ones do not have."""
+    n = F.substring("path_id", 2, 30).cast("long")
+    v = catalog(spark, d, "versions_history")
+    at = v.withColumn("path_id", F.when(n % 2 == 1, F.concat(F.lit("t"), F.floor(n / 2))).otherwise(F.col("path_id")))
+    pairs = v.where(n % 2 == 0).select(F.col("path_id").alias("source"), F.concat(F.lit("t"), F.floor(n / 2)).alias("target")).distinct()
+    return history.moved(at, pairs).select("path_id", "version_id", "size")
+
+
+@query("""SELECT path_id, version_id, deleted FROM versions_history WHERE CAST(substr(path_id, 2) AS BIGINT) % 3 <> 2 UNION ALL SELECT DISTINCT path_id, 'gone', true FROM versions_history WHERE CAST(substr(path_id, 2) AS BIGINT) % 3 = 1""", "versions_history")
+def unlink_by_flag(spark, d):
+    """A third of the paths stay, a third are unlinked by a user who keeps versions, a third by one who does not."""
+    v = catalog(spark, d, "versions_history")
+    n = F.substring("path_id", 2, 30).cast("long") % 3
+    paths = v.select("path_id").distinct().where(n > 0).withColumn("user_id", n)
+    flags = spark.range(3).select(F.col("id").alias("user_id"), (F.col("id") == 1).alias("enabled"))
+    return history.unlinked_by_user(v, paths, flags, 5, "gone").select("path_id", "version_id", "deleted")
+
+
+@query(""", e AS (SELECT * FROM file_chunks), l AS (SELECT file_id, chunk_index, CASE WHEN chunk_size = 7 THEN 'x' ELSE chunk_hash END AS h FROM file_chunks WHERE chunk_size <> 11), r AS (SELECT e.*, CASE WHEN h IS NULL THEN 2 WHEN h <> chunk_hash THEN 1 ELSE 0 END AS c FROM e LEFT JOIN l USING (file_id, chunk_index))
+    SELECT file_id AS upload_id, CASE max(c) WHEN 2 THEN 'ENOENT' WHEN 1 THEN 'EBADF' ELSE 'OK' END AS code, CASE WHEN max(c) = 0 THEN sum(chunk_size)::BIGINT END AS bytes, CASE WHEN max(c) = 0 THEN sha256(string_agg(chunk_hash, '' ORDER BY chunk_index)) END AS file_hash FROM r GROUP BY 1""", "file_chunks")
+def finalize_uploads(spark, d):
+    c = catalog(spark, d, "file_chunks").withColumnRenamed("file_id", "upload_id")
+    there = c.where("chunk_size <> 11").withColumn("chunk_hash", F.when(F.col("chunk_size") == 7, "x").otherwise(F.col("chunk_hash")))
+    return chunks.finalized(c.select("upload_id", "chunk_index", "chunk_hash", "chunk_size"), there)
+
+
+@query("SELECT event_id, CASE event_id % 6 WHEN 1 THEN 'root' WHEN 2 THEN 'json' WHEN 3 THEN 'key' WHEN 4 THEN 'array' WHEN 5 THEN 'size' END AS error, CASE event_id % 4 WHEN 1 THEN 'tag' WHEN 2 THEN 'repeated' WHEN 3 THEN 'count' END AS tags FROM events")
+def metadata_limits(spark, d):
+    i = F.col("event_id")
+    text = F.when(i % 6 == 0, F.col("props")).when(i % 6 == 1, "[1]").when(i % 6 == 2, "{").when(i % 6 == 3, F.concat(F.lit('{"'), F.repeat(F.lit("k"), 1025), F.lit('":1}'))).when(i % 6 == 4, F.concat(F.lit('{"a":['), F.repeat(F.lit("1,"), 1024), F.lit("1]}"))).otherwise(F.concat(F.lit('{"a":"'), F.repeat(F.lit("x"), 65_536), F.lit('"}')))
+    lit = lambda *x: F.array(*map(F.lit, x))
+    tags = F.when(i % 4 == 0, lit("a", "b:c/d")).when(i % 4 == 1, lit("a", "b c")).when(i % 4 == 2, lit("a", "b", "a")).otherwise(F.array_repeat(F.lit("a"), 33))
+    return source(spark, d, "events").select("event_id", arrow.metadata_error(text).alias("error"), scalars.tags_error(tags).alias("tags"))
+
+
+@query("SELECT file_id, f.file_hash, f.file_size FROM files f JOIN (SELECT file_hash, file_size FROM files GROUP BY 1, 2 HAVING count(*) > 1) USING (file_hash, file_size)", "files")
+def duplicate_rows(spark, d):
+    f = catalog(spark, d, "files")
+    return f.join(reporting.duplicates(f, "file_hash", "file_size").drop("n"), ["file_hash", "file_size"]).select("file_id", "file_hash", "file_size")

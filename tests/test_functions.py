@@ -129,3 +129,35 @@ def test_zero_query_gives_nothing(spark):
     v = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 0.0]), (3, [1.0])], "vec_id long, embedding array<float>")
     assert search.top_k(v, [0.0, 0.0]).count() == 0
     assert [tuple(r) for r in search.top_k(v, [1.0, 0.0]).collect()] == [(1, 1.0), (2, 0.0)]
+
+
+def murmur_in_python(text, seed):
+    """The public 32-bit hash, byte by byte."""
+    h, data = seed, text.encode()
+    rotated = lambda x, r: (x << r | x >> (32 - r)) & 0xFFFFFFFF
+    for k in range(0, len(data) // 4 * 4, 4):
+        x = rotated(int.from_bytes(data[k : k + 4], "little") * 0xCC9E2D51 & 0xFFFFFFFF, 15) * 0x1B873593 & 0xFFFFFFFF
+        h = (rotated(h ^ x, 13) * 5 + 0xE6546B64) & 0xFFFFFFFF
+    if rest := data[len(data) // 4 * 4 :]:
+        h ^= rotated(int.from_bytes(rest, "little") * 0xCC9E2D51 & 0xFFFFFFFF, 15) * 0x1B873593 & 0xFFFFFFFF
+    h ^= len(data)
+    h = (h ^ h >> 16) * 0x85EBCA6B & 0xFFFFFFFF
+    h = (h ^ h >> 13) * 0xC2B2AE35 & 0xFFFFFFFF
+    return h ^ h >> 16
+
+
+def test_inodes_owners_and_places(spark):
+    ids = ["", "a", "01J8XYZ", "000000000012", "longer than sixteen bytes"]
+    want = [(murmur_in_python(i, 0x12345678) & 0x1FFFFF) << 32 | murmur_in_python(i, 0x9ABCDEF0) for i in ids]
+    df = spark.createDataFrame([(i,) for i in ids], "i string")
+    rows = df.select("i", arrow.inode(F.col("i")).alias("n"), arrow.user_number(F.col("i")).alias("u"), arrow.group_number(F.col("i")).alias("g")).collect()
+    assert {r.i: (r.n, r.u, r.g) for r in rows} == {i: (w, murmur_in_python(i, 0x55534552), murmur_in_python(i, 0x47525550)) for i, w in zip(ids, want, strict=True)}
+    best = max(range(32), key=lambda s: (murmur_in_python(f"f1:3:shard:u1:{s}", 0), -s))
+    assert arrow.placed(["f1"], [3], ["u1"], 32).tolist() == [best]
+
+
+def test_links_need_a_target_and_a_place(spark):
+    files = spark.createDataFrame([("f", None, "a", "complete", None)], "file_id string, parent_id string, file_name string, status string, link_target string")
+    folders = spark.createDataFrame([("d", None, "b")], "folder_id string, parent_id string, name string")
+    asked = spark.createDataFrame([("1", "", "a", "t"), ("2", "", "b", "t"), ("3", "", "c", ""), ("4", "", "d", "t")], "file_id string, parent_id string, file_name string, link_target string")
+    assert {r.file_id: r.code for r in mutations.linked(files, asked, folders)[1].collect()} == {"1": "EEXIST", "2": "EEXIST", "3": "EINVAL", "4": "OK"}

@@ -29,6 +29,15 @@ def test_windows_drop_late_rows(spark, tmp_path):
     assert sorted((r.event_type, r.n, r.value) for r in spark.table("windows").collect()) == [("a", 2, 3.0), ("b", 1, 4.0)]
 
 
+def test_equal_requests_within_a_window_are_one(spark, tmp_path):
+    rows = spark.createDataFrame([("a", "2024-01-01 00:10:00"), ("a", "2024-01-01 00:10:01"), ("b", "2024-01-01 00:10:02")], "path string, ts string").withColumn("ts", F.to_timestamp("ts"))
+    rows.coalesce(1).write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(rows.schema).parquet(f"{tmp_path}/in")
+    q = streaming.distinct_within(stream, "path").writeStream.outputMode("append").format("memory").queryName("once").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    assert sorted(r.path for r in spark.table("once").collect()) == ["a", "b"]
+
+
 def test_files_and_snapshots(spark, tmp_path):
     (tmp_path / "d").mkdir()
     (tmp_path / "d" / "x.bin").write_bytes(b"abc")
