@@ -55,7 +55,12 @@ RULES = (
     Rule("dup_line_ratio", most=0.5),
 )
 
-_P = "__quality_"
+def _free(docs: DataFrame) -> str:
+    """A beginning that no column of ``docs`` has."""
+    start = "__quality_"
+    while any(c.lower().startswith(start) for c in docs.columns):
+        start = f"_{start}"
+    return start
 
 
 def measures(docs: DataFrame, text: str = "text", out: str = "quality") -> DataFrame:
@@ -63,33 +68,34 @@ def measures(docs: DataFrame, text: str = "text", out: str = "quality") -> DataF
 
     Counts are long, ratios double; ratios of an empty text are 0.
     """
-    c = lambda name: F.col(_P + name)
+    p = _free(docs)
+    c = lambda name: F.col(p + name)
     n = c("n")
     # Each step stands on columns of the step before, which the optimizer keeps apart where they are used more than once.
-    step = docs.withColumn(_P + "t", whole(F.col(text)))
+    step = docs.withColumn(p + "t", whole(F.col(text)))
     step = step.withColumns({
-        _P + "w": F.array_remove(F.split(c("t"), SPACE_CLASS + "+"), ""),
-        _P + "l": F.filter(F.split(c("t"), "\n"), lambda x: x.rlike(WORD_CLASS)),
-        _P + "symbols": F.regexp_count(c("t"), F.lit(SYMBOL_CLASS)).cast("long"),
+        p + "w": F.array_remove(F.split(c("t"), SPACE_CLASS + "+"), ""),
+        p + "l": F.filter(F.split(c("t"), "\n"), lambda x: x.rlike(WORD_CLASS)),
+        p + "symbols": F.regexp_count(c("t"), F.lit(SYMBOL_CLASS)).cast("long"),
     })
     step = step.withColumns({
-        _P + "n": F.size(c("w")),
-        _P + "chars": F.length(F.array_join(c("w"), "")).cast("long"),
-        _P + "stops": F.size(F.filter(c("w"), lambda x: x.isin(*STOP_FORMS))),
-        _P + "lines": F.size(c("l")).cast("long"),
-        _P + "dups": (F.size(c("l")) - F.size(F.array_distinct(c("l")))).cast("long"),
+        p + "n": F.size(c("w")),
+        p + "chars": F.length(F.array_join(c("w"), "")).cast("long"),
+        p + "stops": F.size(F.filter(c("w"), lambda x: x.isin(*STOP_FORMS))),
+        p + "lines": F.size(c("l")).cast("long"),
+        p + "dups": (F.size(c("l")) - F.size(F.array_distinct(c("l")))).cast("long"),
     })
     # Repeated windows: a hash of each window tells texts without repeats (most) from the rest; there, equal hashes give
     # candidate positions, and equal words decide.
     hashed = lambda x, i: F.xxhash64(x, F.get(c("w"), i + 1), F.get(c("w"), i + 2))
-    step = step.withColumn(_P + "h", F.transform(F.slice(c("w"), 1, F.greatest(n - 2, F.lit(0))), hashed))
-    step = step.withColumn(_P + "h", F.when(F.size(F.array_distinct(c("h"))) < F.size(c("h")), c("h")).otherwise(F.array().cast("array<bigint>")))
-    step = step.withColumn(_P + "s", F.sort_array(F.transform(c("h"), lambda x, i: F.struct(x.alias("k"), i.alias("i")))))
-    step = step.withColumn(_P + "s", F.filter(c("s"), _twin(c("s"))))
+    step = step.withColumn(p + "h", F.transform(F.slice(c("w"), 1, F.greatest(n - 2, F.lit(0))), hashed))
+    step = step.withColumn(p + "h", F.when(F.size(F.array_distinct(c("h"))) < F.size(c("h")), c("h")).otherwise(F.array().cast("array<bigint>")))
+    step = step.withColumn(p + "s", F.sort_array(F.transform(c("h"), lambda x, i: F.struct(x.alias("k"), i.alias("i")))))
+    step = step.withColumn(p + "s", F.filter(c("s"), _twin(c("s"))))
     words = lambda x: F.concat_ws(" ", *(F.get(c("w"), x["i"] + k) for k in range(3)))
-    step = step.withColumn(_P + "s", F.sort_array(F.transform(c("s"), lambda x: F.struct(words(x).alias("k"), x["i"].alias("i")))))
+    step = step.withColumn(p + "s", F.sort_array(F.transform(c("s"), lambda x: F.struct(words(x).alias("k"), x["i"].alias("i")))))
     covered = F.flatten(F.transform(F.filter(c("s"), _twin(c("s"))), lambda x: F.array(x["i"], x["i"] + 1, x["i"] + 2)))
-    step = step.withColumn(_P + "repeat", F.size(F.array_distinct(covered)).cast("long"))
+    step = step.withColumn(p + "repeat", F.size(F.array_distinct(covered)).cast("long"))
     ratio = lambda a, b: F.when(b > 0, a / b).otherwise(F.lit(0.0))
     result = F.struct(
         n.cast("long").alias("n_words"), c("chars").alias("word_chars"), c("symbols").alias("n_symbols"), c("lines").alias("n_lines"),
@@ -98,8 +104,8 @@ def measures(docs: DataFrame, text: str = "text", out: str = "quality") -> DataF
         ratio(c("dups"), c("lines")).alias("dup_line_ratio"), ratio(c("repeat"), n).alias("repeat_ratio"),
     )
     # Generated, so that a filter on the verdict is not pushed below and does not repeat the work of every step.
-    step = step.select("*", F.explode(F.array(result)).alias(_P + "result"))
-    return step.withColumn(out, F.col(_P + "result")).drop(_P + "result", *(_P + x for x in "t w l symbols n chars stops lines dups h s repeat".split()))
+    step = step.select("*", F.explode(F.array(result)).alias(p + "result"))
+    return step.withColumn(out, F.col(p + "result")).drop(p + "result", *(p + x for x in "t w l symbols n chars stops lines dups h s repeat".split()))
 
 
 def _twin(ordered: Column):
@@ -129,5 +135,5 @@ def judge(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES,
 
 def keep(docs: DataFrame, text: str = "text", **rules) -> DataFrame:
     """The rows of ``docs`` that pass, with their columns unchanged."""
-    out = "__quality_verdict"
+    out = f"{_free(docs)}verdict"
     return judge(docs, text, out=out, **rules).where(F.col(out)["kept"]).drop(out)

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from test_corpus import DIR, _der, components_of, shingle_set
 
 import corpus_pipeline
-from catalith.llm import bpe, chat_format, decontaminate, jaccard_join, pii_surrogates, queries, secret_scan, shingles, url_filter, warc_index
+from catalith.llm import bpe, chat_format, decontaminate, jaccard_join, pii_surrogates, quality_rules, queries, secret_scan, shingles, url_filter, warc_index
 from catalith.llm.common import table
 
 CLASHING = ("h", "t", "m", "pos", "kind", "rest", "parts", "sig", "n", "gid", "token", "block", "ids", "leaks", "head", "digest", "score", "host", "path", "rule", "part", "serial", "node", "costs")
@@ -182,6 +182,25 @@ def test_url_model_on_held_out_sites():
     assert flat.score(["http://b.org/"])[0] > 0.99
 
 
+# 5. Quality rules.
+
+
+def test_measures_are_made_once_below_the_verdict(spark):
+    kept = quality_rules.keep(table(spark, DIR, "documents"))
+    plan = kept._jdf.queryExecution().optimizedPlan().toString()
+    lines = plan.split("\n")
+    verdict = next(k for k, x in enumerate(lines) if "Filter" in x)
+    fence = next(k for k, x in enumerate(lines) if "Generate" in x)
+    assert verdict < fence and plan.count("regexp_extract_all") == 1 and "Python" not in plan and "Arrow" not in plan
+
+
+def test_columns_of_any_name_pass(spark):
+    df = odd_docs(spark).withColumns({c: F.lit(9) for c in ("__quality_t", "__quality_w", "___quality_n", "quality_x")})
+    out = quality_rules.judge(df)
+    assert out.columns == [*df.columns, "quality"] and {tuple(r) for r in out.select("__quality_t", "___quality_n").collect()} == {(9, 9)}
+    assert quality_rules.keep(df).columns == df.columns
+
+
 # 6. Decontamination.
 
 
