@@ -45,9 +45,10 @@ _BEGIN = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----")
 _END = re.compile(r"-----END ([A-Z0-9 ]*PRIVATE KEY)-----")
 _CIPHER = re.compile(r"DEK-Info:\x20*(DES|AES|CAMELLIA|SEED|RC2)[A-Z0-9-]*,[0-9A-Fa-f]+\s+")
 #: A brace and what may follow it, encoded: the header of a token.
-_JWT = re.compile(r"e[w-z][A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{2,}\.[A-Za-z0-9_-]*")
-#: Lines of one length, of base64, and a last line that is not longer.
-_WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{24,}(?:\r?\n[A-Za-z0-9+/_-]{24,})*\r?\n[A-Za-z0-9+/_-]+={0,2}(?![A-Za-z0-9+/_=-])")
+_JWT = re.compile(r"(?:eyJ|(?<![A-Za-z0-9_-])e[w-z])[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{2,}\.[A-Za-z0-9_-]*")
+#: Lines of base64 in a row, and one line more, which may be short.
+_LINES = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{24,}+(?:\r?\n[A-Za-z0-9+/_-]{24,}+)*+={0,2}+")
+_TAIL = re.compile(r"\r?\n[A-Za-z0-9+/_-]++={0,2}+(?![A-Za-z0-9+/_=-])")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{24,}={0,2}")
 _HEX = re.compile(r"[0-9a-f]{48,}|[0-9A-F]{48,}")
 #: No assignment is in a text that has none of these in lower case.
@@ -174,12 +175,15 @@ def _encoded(text: str, depth: int = DEPTH) -> list[tuple[str, int, int]]:
             out.append(("key_base64", m.start(), m.end()))
         elif _holds_secret(data, depth):
             out.append(("encoded", m.start(), m.end()))
-    for m in _WRAPPED.finditer(text) if "\n" in text else ():
-        data = decoded64("".join(m.group().split()))
-        if is_private_key(data):
-            out.append(("key_base64", m.start(), m.end()))
-        elif _holds_secret(data, depth):
-            out.append(("encoded", m.start(), m.end()))
+    for m in _LINES.finditer(text) if "\n" in text else ():
+        tail = _TAIL.match(text, m.end())
+        for end in (tail.end(), m.end()) if tail else (m.end(),):
+            body = text[m.start() : end]
+            data = decoded64("".join(body.split())) if "\n" in body else None
+            kind = "key_base64" if is_private_key(data) else "encoded" if _holds_secret(data, depth) else None
+            if kind:
+                out.append((kind, m.start(), end))
+                break
     for m in _HEX.finditer(text):
         end = m.end() - (m.end() - m.start()) % 2
         data = bytes.fromhex(text[m.start() : end])

@@ -297,6 +297,10 @@ def test_confirmed_forms():
     wrapped = "\n".join(re.findall(".{1,64}", enc(key)))
     text = f"see below:\n{wrapped}\nend"
     assert [(k, text[a:b]) for k, a, b in secret_scan.find(text)] == [("key_base64", wrapped)]
+    sized = lambda n: _der(0x30, _der(2, b"\0") + b"".join(_der(2, bytes([1 + k] * (34 + n * (k == 7)))) for k in range(8)))
+    whole = next(x for n in range(18) if len(x := sized(n)) % 18 == 0)
+    full = "\n".join(re.findall(".{1,24}", enc(whole)))
+    assert len(full.split("\n")[-1]) == 24 and [(k, a) for k, a, b in secret_scan.find(f"{full}\nend") if k == "key_base64"] == [("key_base64", 0)]
     url = lambda b: base64.urlsafe_b64encode(b).decode().rstrip("=")
     for header in (b'{ "alg": "HS256"}', b'{\n"alg":"none"}', b'{"alg":"RS256"}'):
         assert "jwt" in kinds(f"x {url(header)}.{url(b'{}')}.sig y"), header
