@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StringType
+from pyspark.sql.types import ArrayType, DoubleType, LongType, StringType
 
 _MASK = np.uint64(0xFFFFFFFF)
 #: Seeds of inode, user and group numbers (fixed values).
@@ -104,6 +104,16 @@ def peaks(data: bytes, n: int = 96) -> list[float]:
     return np.where(size > 0, (sums[edges[1:]] - sums[edges[:-1]]) / np.maximum(size, 1), 0.0).tolist()
 
 
+def waveform(data: Column, n: int = 96) -> Column:
+    """The peaks of sound samples, as an array."""
+
+    @F.arrow_udf(ArrayType(DoubleType()))
+    def run(x: pa.Array) -> pa.Array:
+        return pa.array([peaks(b or b"", n) for b in x.to_pylist()], pa.list_(pa.float64()))
+
+    return run(data)
+
+
 def merged(base, patch):
     """JSON merge: null deletes a key, objects merge, all else replaces; nulls inside a new object stay."""
     if not isinstance(base, dict) or not isinstance(patch, dict):

@@ -184,3 +184,8 @@ def finalized(expected: DataFrame, there: DataFrame) -> DataFrame:
     out = rows.groupBy("upload_id").agg(F.max("code").alias("code"), F.sum("chunk_size").alias("bytes"), F.sha2(F.array_join(hashes, ""), 256).alias("file_hash"))
     ok = lambda c: F.when(F.col("code") == 0, F.col(c)).alias(c)
     return out.select("upload_id", F.when(F.col("code") == 2, "ENOENT").when(F.col("code") == 1, "EBADF").otherwise("OK").alias("code"), ok("bytes"), ok("file_hash"))
+
+
+def pulled(chunks: DataFrame, file: int, after: int, limit: int) -> DataFrame:
+    """A file's next chunks after an index: a reader's cursor; the file is one version's, so that later writes do not show."""
+    return chunks.where((F.col("file_id") == file) & (F.col("chunk_index") > after)).orderBy("chunk_index").limit(limit)

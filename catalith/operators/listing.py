@@ -263,3 +263,28 @@ def best_variant(files: DataFrame, variants: DataFrame, wanted: list[str]) -> Da
 def as_map(rows: DataFrame, ident: str) -> DataFrame:
     """Rows (id, key, value), each key once, as one map an id."""
     return rows.groupBy(ident).agg(F.map_from_entries(F.collect_list(F.struct("key", "value"))).alias("metadata"))
+
+
+def gated(rows: DataFrame, schemas: DataFrame, needed: int) -> DataFrame:
+    """All rows if the newest of the schemas (version) is new enough, else none."""
+    return rows.where(schemas.agg(F.max("version")).scalar() >= needed)
+
+
+#: The bit of a file's mode that tells of shared editing (fixed value).
+SHARED_EDITING = 0o4000
+
+
+def api_rows(files: DataFrame) -> DataFrame:
+    """Files with the names of the API, and the mode with its bit of shared editing."""
+    mode = F.when(F.col("shared"), F.col("mode").bitwiseOR(SHARED_EDITING)).otherwise(F.col("mode"))
+    names = {"file_id": "fileId", "file_name": "fileName", "file_size": "fileSize", "mime_type": "mimeType", "updated_at": "updatedAt"}
+    return files.select(*names, mode.alias("mode")).withColumnsRenamed(names)
+
+
+def file_info(nodes: DataFrame, files: DataFrame, versions: DataFrame, tags: DataFrame) -> DataFrame:
+    """For (pos, node) of resolved files: stat, head, hash and tags of what is visible; ENOENT otherwise."""
+    seen = visible(files.where(F.col("status") != "deleted"), versions).select(F.col("file_id").alias("node"), F.coalesce("head_size", "file_size").alias("size"), F.coalesce("head_mtime", "updated_at").alias("mtime"), "mime_type", "head_version_id", "file_hash")
+    own = tags.join(nodes.select(F.col("node").alias("path_id")).distinct(), "path_id", "left_semi").groupBy(F.col("path_id").alias("node")).agg(F.array_join(F.array_sort(F.collect_set("tag")), ",").alias("tags"))
+    out = nodes.join(seen, "node", "left").join(own, "node", "left")
+    code = F.when(F.col("mime_type").isNull(), "ENOENT")
+    return out.select("pos", "node", "size", "mtime", "mime_type", "head_version_id", "file_hash", F.when(code.isNull(), F.coalesce("tags", F.lit(""))).alias("tags"), code.alias("error_code"))

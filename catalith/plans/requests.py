@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from catalith.adapters import catalog, duckdb_with, source
 from catalith.functions import arrow, scalars
 from catalith.operators import chunks, folds, history, listing, mutations, reporting, resolve, tree
+from catalith.scratch import scratch_path
+from catalith.sources import exported, read_files
 
 QUERIES, ORACLE_SQL = {}, {}
 VISIBLE = "FROM files f LEFT JOIN file_versions v ON v.path_id = f.file_id AND v.version_id = f.head_version_id WHERE (f.head_version_id IS NULL OR v.deleted IS NULL OR NOT v.deleted)"
@@ -601,3 +603,48 @@ def metadata_limits(spark, d):
 def duplicate_rows(spark, d):
     f = catalog(spark, d, "files")
     return f.join(reporting.duplicates(f, "file_hash", "file_size").drop("n"), ["file_hash", "file_size"]).select("file_id", "file_hash", "file_size")
+
+
+# Other forms of rows.
+
+@query("SELECT i AS pos, lpad(CAST(i * 3 % 1100 AS VARCHAR), 12, '0') AS node, s.size, s.mtime, s.mime_type, s.head_version_id, s.file_hash, CASE WHEN s.mime_type IS NOT NULL THEN coalesce(t.tags, '') END AS tags, CASE WHEN s.mime_type IS NULL THEN 'ENOENT' END AS error_code FROM range(300) r(i)"
+       f" LEFT JOIN (SELECT f.file_id, coalesce(v.size, f.file_size) AS size, coalesce(v.mtime_ms, f.updated_at) AS mtime, f.mime_type, f.head_version_id, f.file_hash {VISIBLE} AND f.status <> 'deleted') s ON s.file_id = lpad(CAST(i * 3 % 1100 AS VARCHAR), 12, '0')"
+       " LEFT JOIN (SELECT path_id, string_agg(DISTINCT tag, ',' ORDER BY tag) AS tags FROM file_tags GROUP BY 1) t ON t.path_id = lpad(CAST(i * 3 % 1100 AS VARCHAR), 12, '0')", *LISTED)
+def file_info(spark, d):
+    nodes = spark.range(300).select(F.col("id").alias("pos"), F.lpad((F.col("id") * 3 % 1100).cast("string"), 12, "0").alias("node"))
+    return listing.file_info(nodes, *_three(spark, d))
+
+
+@query("SELECT file_id AS \"fileId\", file_name AS \"fileName\", file_size AS \"fileSize\", mime_type AS \"mimeType\", updated_at AS \"updatedAt\", CASE WHEN file_size % 2 = 0 THEN 420 | 2048 ELSE 420 END AS mode FROM files", "files")
+def api_rows(spark, d):
+    return listing.api_rows(catalog(spark, d, "files").withColumns({"mode": F.lit(0o644), "shared": F.col("file_size") % 2 == 0}))
+
+
+@query("SELECT file_id FROM files WHERE (SELECT max(r_regionkey) FROM region) >= 3", "files")
+def feature_gate(spark, d):
+    return listing.gated(catalog(spark, d, "files"), source(spark, d, "region").select(F.col("r_regionkey").alias("version")), 3).select("file_id")
+
+
+@query("SELECT chunk_index, chunk_hash FROM file_chunks WHERE file_id = 1 AND chunk_index > 0 ORDER BY chunk_index LIMIT 2", "file_chunks")
+def pull_chunks(spark, d):
+    return chunks.pulled(catalog(spark, d, "file_chunks"), 1, 0, 2).select("chunk_index", "chunk_hash")
+
+
+@query("SELECT 'json' AS kind, file_id, file_name, file_size FROM files UNION ALL SELECT 'csv', file_id, file_name, file_size FROM files", "files")
+def export_round_trip(spark, d):
+    rows = catalog(spark, d, "files").select("file_id", "file_name", "file_size")
+    schema, root = "file_id string, file_name string, file_size long", scratch_path(spark, "exports")
+    read = lambda kind: spark.read.schema(schema).option("header", "true").format(kind).load(exported(rows, root, kind)).select(F.lit(kind).alias("kind"), "*")
+    return read("json").union(read("csv"))
+
+
+@query()
+def binary_files(spark, d):
+    """The files of the tables themselves, as rows; held against the file system in the tests."""
+    return read_files(spark, d, "*.parquet").select("name", "size")
+
+
+@query()
+def waveforms(spark, d):
+    """Peaks of the texts' bytes as sound; held against Python in the tests."""
+    return source(spark, d, "benchmark").select("item_id", arrow.waveform(F.encode("text", "UTF-8"), 16).alias("peaks"))

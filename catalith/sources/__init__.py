@@ -20,3 +20,10 @@ def write_snapshot(df: DataFrame, root: str, partition_by: list[str] | None = No
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
     return path
+
+
+def exported(df: DataFrame, root: str, kind: str) -> str:
+    """Rows written as json, csv (with a header) or parquet to a fresh folder below ``root``, which is returned."""
+    path = f"{root.rstrip('/')}/export-{uuid.uuid4().hex}"
+    df.write.format(kind).option("header", "true").save(path)
+    return path

@@ -196,3 +196,34 @@ def test_no_plan_puts_all_rows_in_one_task(spark):
     assert "Exchange SinglePartition" not in plan("quota_shares").split("Subquery")[0]
     assert "ObjectHashAggregate" not in plan("token_bucket") and "MapInArrow" in plan("token_bucket")
     assert "TakeOrderedAndProject" in plan("list_files_tags_and")
+
+
+@tables
+def test_files_and_waveforms_as_rows(spark):
+    got = {r.name: r["size"] for r in plans.QUERIES["binary_files"](spark, DIR).collect()}
+    assert got == {n: os.path.getsize(f"{DIR}/{n}") for n in os.listdir(DIR) if n.endswith(".parquet")}
+    texts = {r.item_id: r.text.encode() for r in spark.read.parquet(f"{DIR}/benchmark.parquet").collect()}
+    for r in plans.QUERIES["waveforms"](spark, DIR).collect():
+        data = texts[r.item_id]
+        edges = [int(k * (len(data) / 16)) for k in range(17)]
+        want = [sum(abs(b - 128) / 128 for b in data[a:e]) / max(1, e - a) for a, e in zip(edges, edges[1:], strict=False)]
+        assert r.peaks == pytest.approx(want)
+
+
+def test_every_page_in_turn(spark):
+    files = spark.createDataFrame([(f"{k:03}", f"/f{k % 7}.txt", "u", None, k % 5, 0, "text/plain", "complete", False, None) for k in range(100)], "file_id string, file_name string, user_id string, parent_id string, file_size long, updated_at long, mime_type string, status string, archived boolean, head_version_id string")
+    versions = spark.createDataFrame([], "path_id string, version_id string, deleted boolean, size long, mtime_ms long")
+    tags = spark.createDataFrame([("003", "b"), ("003", "a")], "path_id string, tag string")
+    cursor, seen, pages = None, [], []
+    while True:
+        page = listing.list_files(files, versions, tags, any_parent=True, order="size", limit=30, cursor=cursor, secret=b"s")
+        rows = page.collect()
+        seen += rows
+        pages.append(len(rows))
+        cursor = listing.next_cursor(page, b"s", "size", None, 30, files)
+        if cursor is None:
+            break
+    assert pages == [30, 30, 30, 10] and [r.file_id for r in seen] == [f"{k:03}" for s in (4, 3, 2, 1, 0) for k in range(100) if k % 5 == s]
+    assert [r.tags for r in seen if r.file_id == "003"] == ["a,b"]
+    with pytest.raises(listing.CatalogError):
+        listing.list_files(files, versions, tags, order="name", cursor=listing.encode_cursor(b"s", "size", "desc", 1, "x"), secret=b"s")
