@@ -127,8 +127,9 @@ def list_files(
 
     ``metadata`` is a column of JSON text and a filter on it; ``cursor`` is where
     a page before ended, signed with ``secret``; ``include`` names more columns
-    (stat, hash, head, and path by the folders' ``paths``).  The page is taken
-    before tags are joined: only it, at most a thousand rows, is broadcast.
+    (stat, hash, head, and path by the folders' ``paths``).  The page, at most a
+    thousand rows, is taken first and held by the driver; tags and paths are then
+    scanned once against it.
     """
     column, default = ORDER_COLUMNS[order]
     direction = direction or default
@@ -151,9 +152,10 @@ def list_files(
     rows = with_all_tags(visible(rows.select(*sorted(needed)), versions), tags, wanted_tags or [])
     by = F.col(column).desc() if direction == "desc" else F.col(column).asc()
     page = rows.orderBy(by, F.col("file_id").asc()).limit(limit_of(limit))
-    tagged = F.broadcast(page).join(tags.select(F.col("path_id").alias("file_id"), "tag"), "file_id", "left")
-    rest = [c for c in page.columns if c != "file_id"]
-    out = tagged.groupBy("file_id").agg(*(F.first(c).alias(c) for c in rest), F.array_join(F.array_sort(F.collect_set("tag")), ",").alias("tags"))
+    page = page.sparkSession.createDataFrame(page.toArrow(), page.schema)
+    asked = F.broadcast(page.select(F.col("file_id").alias("path_id")))
+    own = tags.join(asked, "path_id", "left_semi").groupBy(F.col("path_id").alias("file_id")).agg(F.array_join(F.array_sort(F.collect_set("tag")), ",").alias("tags"))
+    out = page.join(own, "file_id", "left").withColumn("tags", F.coalesce("tags", F.lit("")))
     more = []
     if "stat" in include:
         more += ["status", "created_at"]
@@ -162,10 +164,11 @@ def list_files(
     if "head" in include:
         more += ["head_version_id"]
     if "path" in include:
-        folders = paths.select(F.col("folder_id").alias("parent_id"), F.col("path").alias("folder_path"))
+        asked = F.broadcast(page.select("parent_id").distinct())
+        folders = paths.select(F.col("folder_id").alias("parent_id"), F.col("path").alias("folder_path")).join(asked, "parent_id", "left_semi")
         out = out.join(folders, "parent_id", "left").withColumn("path", F.concat(F.coalesce("folder_path", F.lit("")), F.lit("/"), "file_name"))
         more += ["path"]
-    out = out.orderBy(by, F.col("file_id").asc())
+    out = out.coalesce(1).sortWithinPartitions(by, F.col("file_id").asc())  # a page
     return out.select("file_id", "file_name", "user_id", F.coalesce("head_size", "file_size").alias("size"), F.coalesce("head_mtime", "updated_at").alias("mtime"), "mime_type", "tags", *more)
 
 

@@ -22,6 +22,8 @@ def test_query(spark, name):
         assert df.count() > 0
 
 
-def test_page_plan_takes_ordered(spark):
+def test_a_page_is_taken_before_tags_are_joined(spark):
     plan = plans.QUERIES["list_files_page"](spark, DIR)._jdf.queryExecution().executedPlan().toString()
-    assert "TakeOrderedAndProject" in plan
+    assert "LocalTableScan" in plan and "LeftSemi, BuildRight" in plan and "rangepartitioning" not in plan
+    # All that is left to scan are the tags.
+    assert plan.count("FileScan") == 3 and "octet_length" not in plan
