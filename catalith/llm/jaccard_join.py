@@ -92,6 +92,27 @@ def _frequent_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
     yield counted()
 
 
+def _most_frequent(share: int):
+    """Of a partition's shingles with their counts the ``share`` most frequent."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        token, count = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+        def cut() -> None:
+            nonlocal token, count
+            best = np.lexsort((token, -count))[:share]
+            token, count = token[best], count[best]
+
+        for b in batches:
+            token, count = np.concatenate([token, b.column(0).to_numpy()]), np.concatenate([count, b.column(1).to_numpy()])
+            if len(token) > 4 * share:
+                cut()
+        cut()
+        yield pa.RecordBatch.from_arrays([pa.array(token), pa.array(count)], ["token", "count"])
+
+    return run
+
+
 class Order:
     """The global order: ordinary shingles by hash, then the frequent ones in the order given."""
 
@@ -408,9 +429,12 @@ def link(docs: DataFrame, id_column: str = "doc_id", text: str = "text", demoted
     docs = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text).alias("text"))
     texts = docs.select("text")
 
-    counts = texts.mapInArrow(_frequent_counts, "token long, count long").groupBy("token").agg(F.sum("count").alias("count"))
-    top = counts.orderBy(F.desc("count"), "token").limit(demoted).select("token").toArrow()
-    frequent = spark.sparkContext.broadcast(top["token"].to_numpy()[::-1].copy().view(np.uint64))
+    # Shingles are dealt evenly by hash, so that each partition's share of the most frequent ones makes up the list, without a task that sees them all.
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    counts = texts.mapInArrow(_frequent_counts, "token long, count long").repartition(parts, "token").groupBy("token").agg(F.sum("count").alias("count"))
+    top = counts.mapInArrow(_most_frequent(-(-demoted // parts)), "token long, count long").toArrow()
+    token, count = top["token"].to_numpy(), top["count"].to_numpy()
+    frequent = spark.sparkContext.broadcast(token[np.lexsort((token, -count))[:demoted]][::-1].copy().view(np.uint64))
 
     def described(batches):
         return _described(Order(frequent.value))(batches)
