@@ -46,7 +46,7 @@ def chunk_split(spark, d):
     return chunks.split(b, 64, "item_id").drop("data")
 
 
-QUERIES["chunk_split_all"] = chunk_split
+QUERIES["chunk_split_all"], ORACLE_SQL["chunk_split_all"] = chunk_split, ORACLE_SQL["chunk_split"]
 
 
 @query("SELECT item_id, sha256(text) AS h FROM benchmark")
