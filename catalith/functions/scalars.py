@@ -36,7 +36,8 @@ def link_target(link: Column, target: Column) -> Column:
 
 
 def base64url(data: Column) -> Column:
-    return F.translate(F.rtrim(F.base64(data), F.lit("=")), "+/", "-_")
+    """Unpadded base64 for URLs, in one line: Spark breaks the lines of longer ones."""
+    return F.translate(F.base64(data), "+/=\r\n", "-_")
 
 
 def tokens(text: Column) -> Column:

@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from catalith import plans
 from catalith.functions import arrow, scalars
 from catalith.operators import chunks, folds, listing, mutations, search
 
@@ -161,3 +162,15 @@ def test_links_need_a_target_and_a_place(spark):
     folders = spark.createDataFrame([("d", None, "b")], "folder_id string, parent_id string, name string")
     asked = spark.createDataFrame([("1", "", "a", "t"), ("2", "", "b", "t"), ("3", "", "c", ""), ("4", "", "d", "t")], "file_id string, parent_id string, file_name string, link_target string")
     assert {r.file_id: r.code for r in mutations.linked(files, asked, folders)[1].collect()} == {"1": "EEXIST", "2": "EEXIST", "3": "EINVAL", "4": "OK"}
+
+
+def long_addresses(spark, tmp_path):
+    """Beyond 57 bytes Spark's base64 has several lines."""
+    urls = ["http://a.net/" + "x" * n for n in (43, 44, 45, 46, 101, 102, 103, 400)] + ["http://é.net/?" + "日>" * 40, "", None]
+    spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").write.parquet(str(tmp_path / "pages.parquet"))
+    return urls
+
+
+def test_long_addresses_come_back_from_base64(spark, tmp_path):
+    urls = long_addresses(spark, tmp_path)
+    assert {r.page_id: r.back for r in plans.QUERIES["encodings"](spark, str(tmp_path)).collect()} == dict(enumerate(urls))
