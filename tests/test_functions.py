@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import base64
 import random
 
 import pytest
@@ -174,3 +175,9 @@ def long_addresses(spark, tmp_path):
 def test_long_addresses_come_back_from_base64(spark, tmp_path):
     urls = long_addresses(spark, tmp_path)
     assert {r.page_id: r.back for r in plans.QUERIES["encodings"](spark, str(tmp_path)).collect()} == dict(enumerate(urls))
+
+
+def test_parts_of_long_addresses_are_in_one_line(spark, tmp_path):
+    urls = long_addresses(spark, tmp_path)
+    want = {k: None if u is None else base64.urlsafe_b64encode(u.encode()).decode().rstrip("=") for k, u in enumerate(urls)}
+    assert {r.page_id: r.b64 for r in plans.QUERIES["path_parts"](spark, str(tmp_path)).collect()} == want
