@@ -6,6 +6,7 @@ import json
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StringType
@@ -46,20 +47,98 @@ def murmur(text: Column) -> Column:
     return _murmur(text)
 
 
+def _mixed(h: np.ndarray, k: np.ndarray) -> np.ndarray:
+    """A hash with four more bytes, in place; wraps at 32 bits."""
+    k *= np.uint32(0xCC9E2D51)
+    k = (k << np.uint32(15)) | (k >> np.uint32(17))
+    k *= np.uint32(0x1B873593)
+    h ^= k
+    return h
+
+
+def _stepped(h: np.ndarray, k: np.ndarray) -> np.ndarray:
+    h = _mixed(h, k)
+    h = (h << np.uint32(13)) | (h >> np.uint32(19))
+    h *= np.uint32(5)
+    h += np.uint32(0xE6546B64)
+    return h
+
+
+def _finished(h: np.ndarray, n: np.ndarray) -> np.ndarray:
+    h ^= n
+    h ^= h >> np.uint32(16)
+    h *= np.uint32(0x85EBCA6B)
+    h ^= h >> np.uint32(13)
+    h *= np.uint32(0xC2B2AE35)
+    h ^= h >> np.uint32(16)
+    return h
+
+
+def _best(data: np.ndarray, at: np.ndarray, shards: list[int]) -> np.ndarray:
+    """The shard of each beginning of a key, ``data[at[i]:at[i + 1]]``; the whole blocks of a beginning are hashed once for all shards."""
+    n = np.diff(at)
+    order = np.argsort(n, kind="stable")
+    out = np.empty(len(n), np.int64)
+    edges = np.flatnonzero(np.diff(n[order], prepend=-1))
+    for a, b in zip(edges.tolist(), [*edges[1:].tolist(), len(n)], strict=True):
+        for rows in (order[k : min(k + 4096, b)] for k in range(a, b, 4096)):
+            size = int(n[rows[0]])
+            whole, rest = size // 4, size % 4
+            text = data[at[rows][:, None] + np.arange(size)]
+            words = np.ascontiguousarray(text[:, : 4 * whole]).view("<u4")
+            h = np.zeros(len(rows), np.uint32)
+            for j in range(whole):
+                h = _stepped(h, words[:, j].copy())
+            last = np.zeros(len(rows), np.uint64)
+            for j in range(rest):
+                last |= text[:, 4 * whole + j].astype(np.uint64) << np.uint64(8 * j)
+            best, top = np.full(len(rows), -1, np.int64), np.full(len(rows), -1, np.int64)
+            for s in shards:
+                digits = str(s).encode()
+                tail, g = last, h.copy()
+                for pos in range(0, len(digits), 4):
+                    # At most three bytes wait, and four are added: seven, of one word.
+                    part = digits[pos : pos + 4]
+                    tail = tail | np.uint64(int.from_bytes(part, "little") << 8 * ((rest + pos) % 4))
+                    if rest + min(pos + 4, len(digits)) - (rest + pos) // 4 * 4 >= 4:
+                        g, tail = _stepped(g, (tail & _MASK).astype(np.uint32)), tail >> np.uint64(32)
+                if (rest + len(digits)) % 4:
+                    g = _mixed(g, tail.astype(np.uint32))
+                g = _finished(g, np.uint32(size + len(digits))).astype(np.int64)
+                better = g > top
+                best[better], top[better] = s, g[better]
+            out[rows] = best
+    return out
+
+
+def _begun(file: pa.Array, index: pa.Array, user: pa.Array) -> pa.Array:
+    """The keys of chunks up to the number of the shard."""
+    f, i, u = (x.cast(pa.large_string()) for x in (file, index, user))
+    sep, shard, end = (pa.scalar(x, pa.large_string()) for x in (":", "shard", ""))
+    return pc.binary_join_element_wise(f, i, shard, u, end, sep, null_handling="replace", null_replacement="None")
+
+
+def _placed(begun: pa.Array, pool: int, full: frozenset[int]) -> np.ndarray:
+    shards = [s for s in range(pool) if s not in full]
+    # Keys are hashed by the low bytes of their UTF-16 units.
+    if not pc.all(pc.string_is_ascii(begun), min_count=0).as_py():
+        begun = pa.array([x.encode("utf-16-le", "surrogatepass")[::2] for x in begun.to_pylist()], pa.large_binary())
+    at = np.frombuffer(begun.buffers()[1], np.int64, len(begun) + 1, 8 * begun.offset)
+    data = np.frombuffer(begun.buffers()[2], np.uint8) if at[-1] else np.zeros(0, np.uint8)
+    return _best(data, at, shards)
+
+
 def placed(file: list[str], index: list[int], user: list[str], pool: int, full: frozenset[int] = frozenset()) -> np.ndarray:
     """The shard with the greatest hash for each chunk; ties go to the lowest; full ones are skipped; -1 if all are."""
-    best, top = np.full(len(file), -1, np.int64), np.full(len(file), -1, np.int64)
-    for s in range(pool):
-        if s not in full:
-            h = murmur3([f"{f}:{i}:shard:{u}:{s}" for f, i, u in zip(file, index, user, strict=True)]).astype(np.int64)
-            best, top = np.where(h > top, s, best), np.maximum(h, top)
-    return best
+    if not len(file):
+        return np.zeros(0, np.int64)
+    return _placed(_begun(pa.array(file, pa.string()), pa.array(index, pa.int64()), pa.array(user, pa.string())), pool, full)
 
 
 def place(file: Column, index: Column, user: Column, pool: int = 32, full: frozenset[int] = frozenset()) -> Column:
     @F.arrow_udf(LongType())
     def run(f: pa.Array, i: pa.Array, u: pa.Array) -> pa.Array:
-        return pa.array(placed(f.to_pylist(), i.to_pylist(), u.to_pylist(), pool, full))
+        return pa.array(_placed(_begun(f, i, u), pool, full) if len(f) else np.zeros(0, np.int64))
 
     return run(file, index, user)
 

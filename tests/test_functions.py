@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import base64
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -181,3 +182,16 @@ def test_parts_of_long_addresses_are_in_one_line(spark, tmp_path):
     urls = long_addresses(spark, tmp_path)
     want = {k: None if u is None else base64.urlsafe_b64encode(u.encode()).decode().rstrip("=") for k, u in enumerate(urls)}
     assert {r.page_id: r.b64 for r in plans.QUERIES["path_parts"](spark, str(tmp_path)).collect()} == want
+
+
+def test_places_of_many_chunks_are_found_at_once():
+    r = random.Random(3)
+    file, index, user = (["".join(r.choices("01aé日😀", k=r.randint(0, 12))) for _ in range(60)], [r.randint(0, 10 ** r.randint(1, 9)) for _ in range(60)], [r.choice(["", "u1", "ß"]) for _ in range(60)])
+    low = lambda f, i, u, s: f"{f}:{i}:shard:{u}:{s}".encode("utf-16-le")[::2].decode("latin-1")
+    hashes = [[int(arrow.murmur3([low(f, i, u, s)])[0]) for s in range(130)] for f, i, u in zip(file, index, user, strict=True)]
+    for pool, full in ((1, frozenset()), (32, frozenset({0, 7})), (130, frozenset()), (3, frozenset(range(3)))):
+        want = [max((s for s in range(pool) if s not in full), key=lambda s: (h[s], -s), default=-1) for h in hashes]
+        assert arrow.placed(file, index, user, pool, full).tolist() == want
+    start = time.monotonic()
+    arrow.placed([str(k) for k in range(50_000)], [k % 7 for k in range(50_000)], ["u1"] * 50_000, 32)
+    assert time.monotonic() - start < 2.5  # a string for each shard took 5 s
