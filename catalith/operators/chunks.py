@@ -94,6 +94,21 @@ def alive(store: DataFrame) -> DataFrame:
 EMPTY = "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"
 
 
+def packed(hashed: Column) -> Column:
+    """A hash as bytes: 32 for 64 small hexadecimal digits, more for any other text; no two are alike.  Joins and groups move half as much of them."""
+    return F.when(hashed.rlike(r"^[0-9a-f]{64}\z"), F.unhex(hashed)).otherwise(F.concat(F.lit(bytes(33)), hashed.cast("binary")))
+
+
+def unpacked(data: Column) -> Column:
+    """The text of a packed hash."""
+    return F.when(F.octet_length(data) == 32, F.lower(F.hex(data))).otherwise(F.substring(data, F.lit(34), F.octet_length(data)).cast("string"))
+
+
+def _empty(chunks: DataFrame) -> Column:
+    """The hash of no bytes, in the form of the table's hashes."""
+    return F.lit(EMPTY if chunks.schema["chunk_hash"].dataType.typeName() == "string" else bytes.fromhex(EMPTY))
+
+
 def put(store: DataFrame, refs: DataFrame, new: DataFrame, order: tuple[str, ...] = ("file_id", "chunk_index")) -> tuple[DataFrame, DataFrame]:
     """The store after chunks are put, and each put with its outcome.
 
@@ -101,21 +116,32 @@ def put(store: DataFrame, refs: DataFrame, new: DataFrame, order: tuple[str, ...
     is ``created``, all others ``deduplicated``; no bytes under another hash than
     theirs are ``EINVAL`` if the hash is not stored, and change nothing.  Only
     references (hash, file, index) that are not in ``refs`` are counted, each once.
-    A put unmarks its chunk.
+    A put unmarks its chunk.  Hashes may be packed, in all three tables.
+
+    References are counted where the files are: tables dealt by ``file_id`` move
+    only counts of each hash.
     """
+    # No bytes under another hash: to be refused unless the hash is stored.
+    void = F.coalesce((F.col("chunk_size") == 0) & (F.col("chunk_hash") != _empty(new)), F.lit(False))
     known = store.select("chunk_hash", F.lit(True).alias("__known"))
-    puts = new.join(known, "chunk_hash", "left")
-    puts = puts.withColumn("__bad", F.col("__known").isNull() & (F.col("chunk_size") == 0) & (F.col("chunk_hash") != EMPTY))
-    first = puts.where("not __bad and __known is null").groupBy("chunk_hash").agg(F.min(F.struct(*order)).alias("__first"))
-    puts = puts.join(first, "chunk_hash", "left")
-    outcome = F.when(F.col("__bad"), "EINVAL").when(F.col("__known").isNull() & (F.struct(*order) == F.col("__first")), "created").otherwise("deduplicated")
-    puts = puts.withColumn("outcome", outcome).drop("__first", "__known", "__bad")
-    good = puts.where("outcome <> 'EINVAL'")
-    fresh = good.select("chunk_hash", "file_id", "chunk_index").distinct().join(refs, ["chunk_hash", "file_id", "chunk_index"], "left_anti")
-    counted = fresh.groupBy("chunk_hash").agg(F.count("*").alias("more"))
-    touched = good.groupBy("chunk_hash").agg(F.max("chunk_size").alias("new_size")).join(counted, "chunk_hash", "left")
-    both = store.select("chunk_hash", "size", "ref_count", "deleted_at").join(touched, "chunk_hash", "full")
-    count = F.coalesce("ref_count", F.lit(0)) + F.coalesce("more", F.lit(0))
+    first = new.where(~void).groupBy("chunk_hash").agg(F.min(F.struct(*order)).alias("__first"))
+    puts = new.join(known, "chunk_hash", "left").join(first, "chunk_hash", "left")
+    lacking = F.col("__known").isNull()
+    outcome = F.when(lacking & void, "EINVAL").when(lacking & (F.struct(*order) == F.col("__first")), "created").otherwise("deduplicated")
+    puts = puts.withColumn("outcome", outcome).drop("__first", "__known")
+    keys = ["chunk_hash", "file_id", "chunk_index"]
+    marked = new.select(*keys, F.when(~void, F.col("chunk_size")).alias("size"), void.alias("void"), F.lit(False).alias("was"))
+    there = refs.select(*keys, F.lit(None).cast("long").alias("size"), F.lit(None).cast("boolean").alias("void"), F.lit(True).alias("was"))
+    # ``void`` is null where nothing was put, true where only nothing was.
+    one = marked.unionByName(there).groupBy(*keys).agg(F.max("size").alias("size"), F.min("void").alias("void"), F.max("was").alias("was")).where("void is not null")
+    count_if = lambda c: F.sum(F.when(c, 1).otherwise(0))
+    fresh = ~F.col("was")
+    touched = one.groupBy("chunk_hash").agg(F.max("size").alias("put_size"), F.min("void").alias("void"), count_if(fresh & ~F.col("void")).alias("more"), count_if(fresh & F.col("void")).alias("more_void"))
+    both = store.select("chunk_hash", "size", "ref_count", "deleted_at", F.lit(True).alias("__known")).join(touched, "chunk_hash", "full")
+    is_known = F.col("__known").isNotNull()
+    new_size = F.coalesce("put_size", F.when(is_known & F.col("void"), F.lit(0).cast("long")))
+    both = both.withColumn("new_size", new_size).where(is_known | ~F.col("void"))
+    count = F.coalesce("ref_count", F.lit(0)) + F.coalesce("more", F.lit(0)) + F.when(is_known, F.coalesce("more_void", F.lit(0))).otherwise(0)
     after = both.select("chunk_hash", F.coalesce("size", "new_size").alias("size"), count.alias("ref_count"), F.when(F.col("new_size").isNull(), F.col("deleted_at")).alias("deleted_at"))
     return after, puts
 
@@ -123,22 +149,28 @@ def put(store: DataFrame, refs: DataFrame, new: DataFrame, order: tuple[str, ...
 def put_parts(landed: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Parts of uploads after new ones, and each new part's outcome: ``created``, ``deduplicated``, or ``superseded`` where the place held another hash.
 
-    ``new`` has one row a place (upload_id, chunk_index).
+    Both have one row a place (upload_id, chunk_index); tables dealt by
+    ``upload_id`` meet where they are.  Hashes may be packed, in both.
     """
-    old = landed.select("upload_id", "chunk_index", F.col("chunk_hash").alias("was"))
+    place, none = ["upload_id", "chunk_index"], F.lit(None).cast(new.schema["chunk_hash"].dataType)
     known = landed.select("chunk_hash").distinct().withColumn("known", F.lit(True))
-    out = new.join(old, ["upload_id", "chunk_index"], "left").join(known, "chunk_hash", "left")
-    outcome = F.when(F.col("was") != F.col("chunk_hash"), "superseded").when(F.col("known"), "deduplicated").otherwise("created")
+    rows = new.select(*place, "chunk_hash", none.alias("was"), F.lit(True).alias("put")).unionByName(landed.select(*place, none.alias("chunk_hash"), F.col("chunk_hash").alias("was"), F.lit(False).alias("put")))
+    out = rows.groupBy(*place).agg(F.max("chunk_hash").alias("chunk_hash"), F.max("was").alias("was"), F.max("put").alias("put")).where("put")
+    out = out.select(*place, "chunk_hash", (F.col("was") != F.col("chunk_hash")).alias("other")).join(known, "chunk_hash", "left")
+    outcome = F.when(F.col("other"), "superseded").when(F.col("known"), "deduplicated").otherwise("created")
     after = landed.join(new.select("upload_id", "chunk_index"), ["upload_id", "chunk_index"], "left_anti").unionByName(new.select(landed.columns))
     return after, out.select("upload_id", "chunk_index", outcome.alias("outcome"))
 
 
 def restored_refs(store: DataFrame, refs: DataFrame, asked: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """References after asked ones (hash, file, index) are restored, and each one's outcome: ``gone`` where the chunk is not alive, ``kept`` where it was there, else ``added``."""
+    """References after asked ones (hash, file, index) are restored, and each one's outcome: ``gone`` where the chunk is not alive, ``kept`` where it was there, else ``added``.
+
+    Tables dealt by ``file_id`` meet where they are.  Hashes may be packed, in all three.
+    """
     keys = ["chunk_hash", "file_id", "chunk_index"]
     live = alive(store).select("chunk_hash", F.lit(True).alias("live"))
-    was = refs.select(*keys, F.lit(True).alias("was"))
-    out = asked.select(*keys).distinct().join(live, "chunk_hash", "left").join(was, keys, "left")
+    rows = asked.select(*keys, F.lit(True).alias("asked"), F.lit(False).alias("was")).unionByName(refs.select(*keys, F.lit(False).alias("asked"), F.lit(True).alias("was")))
+    out = rows.groupBy(*keys).agg(F.max("asked").alias("asked"), F.max("was").alias("was")).where("asked").join(live, "chunk_hash", "left")
     out = out.withColumn("outcome", F.when(F.col("live").isNull(), "gone").when(F.col("was"), "kept").otherwise("added"))
     return refs.select(*keys).unionByName(out.where("outcome = 'added'").select(*keys)), out.select(*keys, "outcome")
 
@@ -177,9 +209,15 @@ def shard_of(chunks: DataFrame, known: DataFrame, fallback: Column) -> DataFrame
 
 
 def finalized(expected: DataFrame, there: DataFrame) -> DataFrame:
-    """Per upload what finalizing it gives: ENOENT with a chunk missing, EBADF with another hash, else OK with the file's hash and bytes; chunks beyond the expected ones are left out."""
-    e, l = expected.withColumnRenamed("chunk_hash", "expected"), there.select("upload_id", "chunk_index", F.col("chunk_hash").alias("landed"))  # noqa: E741
-    rows = e.join(l, ["upload_id", "chunk_index"], "left").withColumn("code", F.when(F.col("landed").isNull(), 2).when(F.col("landed") != F.col("expected"), 1).otherwise(0))
+    """Per upload what finalizing it gives: ENOENT with a chunk missing, EBADF with another hash, else OK with the file's hash and bytes; chunks beyond the expected ones are left out.
+
+    Both have one row a place (upload_id, chunk_index); tables dealt by ``upload_id`` meet where they are.
+    """
+    place, none = ["upload_id", "chunk_index"], F.lit(None)
+    e = expected.select(*place, F.col("chunk_hash").alias("expected"), none.cast("string").alias("landed"), "chunk_size", F.lit(True).alias("due"))
+    l = there.select(*place, none.cast("string").alias("expected"), F.col("chunk_hash").alias("landed"), none.cast("long").alias("chunk_size"), F.lit(False).alias("due"))  # noqa: E741
+    rows = e.unionByName(l).groupBy(*place).agg(*(F.max(c).alias(c) for c in ("expected", "landed", "chunk_size", "due"))).where("due")
+    rows = rows.withColumn("code", F.when(F.col("landed").isNull(), 2).when(F.col("landed") != F.col("expected"), 1).otherwise(0))
     hashes = F.transform(F.array_sort(F.collect_list(F.struct("chunk_index", "expected"))), lambda x: x["expected"])
     out = rows.groupBy("upload_id").agg(F.max("code").alias("code"), F.sum("chunk_size").alias("bytes"), F.sha2(F.array_join(hashes, ""), 256).alias("file_hash"))
     ok = lambda c: F.when(F.col("code") == 0, F.col(c)).alias(c)

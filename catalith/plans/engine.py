@@ -62,8 +62,17 @@ _EVERY = _STORED.format(where="")
 _PUT = "n AS (SELECT * FROM file_chunks WHERE file_id % 2 <> 0 OR file_id % 4 = 0)"
 
 
+def packed_chunks(spark, d):
+    """The chunks of files with packed hashes, for what moves many of them."""
+    return catalog(spark, d, "file_chunks").withColumn("chunk_hash", chunks.packed(F.col("chunk_hash")))
+
+
+def texted(df):
+    return df.withColumn("chunk_hash", chunks.unpacked(F.col("chunk_hash")))
+
+
 def _put(spark, d):
-    c = catalog(spark, d, "file_chunks")
+    c = packed_chunks(spark, d)
     old = c.where("file_id % 2 = 0")
     return chunks.put(_store_of(old), old, c.where("file_id % 2 <> 0 OR file_id % 4 = 0"))
 
@@ -72,13 +81,13 @@ def _put(spark, d):
     t AS (SELECT chunk_hash, max(chunk_size) AS new_size FROM n GROUP BY 1)
     SELECT chunk_hash, coalesce(size, new_size) AS size, (coalesce(ref_count, 0) + coalesce(more, 0))::BIGINT AS ref_count, CASE WHEN new_size IS NULL THEN deleted_at END AS deleted_at FROM s FULL JOIN t USING (chunk_hash) LEFT JOIN f USING (chunk_hash)""", "file_chunks")
 def dedup_put(spark, d):
-    return _put(spark, d)[0]
+    return texted(_put(spark, d)[0])
 
 
 @query(f""", {_OLD}, {_PUT} SELECT n.chunk_hash, file_id, chunk_index, CASE WHEN s.chunk_hash IS NULL AND row_number() OVER (PARTITION BY n.chunk_hash ORDER BY file_id, chunk_index) = 1 THEN 'created' ELSE 'deduplicated' END AS outcome
     FROM n LEFT JOIN s USING (chunk_hash)""", "file_chunks")
 def put_outcome(spark, d):
-    return _put(spark, d)[1].select("chunk_hash", "file_id", "chunk_index", "outcome")
+    return texted(_put(spark, d)[1]).select("chunk_hash", "file_id", "chunk_index", "outcome")
 
 
 _GONE = "g AS (SELECT chunk_hash, count(*) AS gone FROM file_chunks WHERE file_id % 4 = 0 GROUP BY 1)"

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from catalith.adapters import catalog, duckdb_with, source
 from catalith.functions import arrow, scalars
 from catalith.operators import chunks, folds, history, listing, mutations, reporting, resolve, tree
+from catalith.plans.engine import packed_chunks, texted
 from catalith.scratch import scratch_path
 from catalith.sources import exported, read_files
 
@@ -197,9 +198,9 @@ def manifests_batch(spark, d):
 
 @query("""SELECT file_id, chunk_index, c.chunk_hash, s.size AS stored FROM file_chunks c LEFT JOIN (SELECT shard_index, chunk_hash, max(chunk_size) AS size FROM file_chunks WHERE chunk_size < 45 GROUP BY 1, 2) s USING (shard_index, chunk_hash)""", "file_chunks")
 def manifest_with_store(spark, d):
-    c = catalog(spark, d, "file_chunks")
+    c = packed_chunks(spark, d)
     store = c.where("chunk_size < 45").groupBy("shard_index", "chunk_hash").agg(F.max("chunk_size").alias("data"))
-    return chunks.with_bytes(c, store).select("file_id", "chunk_index", "chunk_hash", F.col("data").alias("stored"))
+    return texted(chunks.with_bytes(c, store)).select("file_id", "chunk_index", "chunk_hash", F.col("data").alias("stored"))
 
 
 @query("SELECT chunk_index, chunk_hash, chunk_size FROM file_chunks WHERE file_id = 1 ORDER BY chunk_index", "file_chunks")
@@ -221,7 +222,9 @@ _PARTS = "l AS (SELECT file_id AS upload_id, chunk_index, chunk_hash FROM file_c
 def _parts(spark, d):
     c = catalog(spark, d, "file_chunks").withColumnRenamed("file_id", "upload_id")
     new = c.where("chunk_index > 0").withColumn("chunk_hash", F.when(F.col("upload_id") % 3 == 0, F.concat(F.lit("new"), "upload_id")).otherwise(F.col("chunk_hash")))
-    return chunks.put_parts(c.where("chunk_index < 2").select("upload_id", "chunk_index", "chunk_hash"), new.select("upload_id", "chunk_index", "chunk_hash"))
+    of = lambda df: df.select("upload_id", "chunk_index", chunks.packed(F.col("chunk_hash")).alias("chunk_hash"))
+    after, outcomes = chunks.put_parts(of(c.where("chunk_index < 2")), of(new))
+    return texted(after), outcomes
 
 
 @query(f""", {_PARTS} SELECT n.upload_id, n.chunk_index, CASE WHEN l.chunk_hash <> n.chunk_hash THEN 'superseded' WHEN n.chunk_hash IN (SELECT chunk_hash FROM l) THEN 'deduplicated' ELSE 'created' END AS outcome FROM n LEFT JOIN l USING (upload_id, chunk_index)""", "file_chunks")
@@ -237,10 +240,10 @@ def put_parts(spark, d):
 @query(""", s AS (SELECT chunk_hash, max(chunk_size) % 7 <> 0 AS live FROM file_chunks WHERE file_id % 2 = 0 GROUP BY 1)
     SELECT DISTINCT c.chunk_hash, file_id, chunk_index, CASE WHEN live IS NOT TRUE THEN 'gone' WHEN file_id % 2 = 0 THEN 'kept' ELSE 'added' END AS outcome FROM file_chunks c LEFT JOIN s USING (chunk_hash)""", "file_chunks")
 def restore_refs(spark, d):
-    c = catalog(spark, d, "file_chunks")
+    c = packed_chunks(spark, d)
     old = c.where("file_id % 2 = 0")
     store = old.groupBy("chunk_hash").agg(F.max("chunk_size").alias("size"), F.count("*").alias("ref_count")).withColumn("deleted_at", F.when(F.col("size") % 7 == 0, 1))
-    return chunks.restored_refs(store, old, c)[1]
+    return texted(chunks.restored_refs(store, old, c)[1])
 
 
 @query("""SELECT c_custkey AS folder_id, CASE WHEN c_custkey % 7 = 0 THEN 'ENOENT' WHEN c_custkey % 3 = 0 THEN 'EEXIST' WHEN c_custkey % 3 = 1 AND c_custkey <> min(c_custkey) OVER (PARTITION BY c_custkey % 3, c_custkey % 7 = 0, c_nationkey, c_custkey // 50) THEN 'EEXIST' ELSE 'OK' END AS code FROM customer""")
@@ -310,7 +313,7 @@ def patch_metadata(spark, d):
 @query(""", d AS (SELECT DISTINCT file_id FROM file_chunks WHERE chunk_hash IN (SELECT chunk_hash FROM file_chunks GROUP BY 1 HAVING max(chunk_size) % 50 = 0))
     SELECT o_orderkey AS source, -o_orderkey AS copy, CASE WHEN o_orderstatus = 'P' THEN 'ENOENT' WHEN o_orderkey IN (SELECT file_id FROM d) THEN 'ENOCHUNK' ELSE 'OK' END AS code FROM orders""", "file_chunks")
 def copy_files(spark, d):
-    c, o = catalog(spark, d, "file_chunks"), source(spark, d, "orders")
+    c, o = packed_chunks(spark, d), source(spark, d, "orders")
     store = c.groupBy("chunk_hash").agg(F.max("chunk_size").alias("size"), F.count("*").alias("ref_count")).withColumn("deleted_at", F.when(F.col("size") % 50 == 0, 1))
     files = o.where("o_orderstatus <> 'P'").select(F.col("o_orderkey").alias("file_id"))
     return mutations.copied(files, c, store, o.select(F.col("o_orderkey").alias("source"), (-F.col("o_orderkey")).alias("copy")))[1]

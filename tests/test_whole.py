@@ -228,3 +228,35 @@ def test_every_page_in_turn(spark):
     assert [r.tags for r in seen if r.file_id == "003"] == ["a,b"]
     with pytest.raises(listing.CatalogError):
         listing.list_files(files, versions, tags, order="name", cursor=listing.encode_cursor(b"s", "size", "desc", 1, "x"), secret=b"s")
+
+
+def test_packed_hashes_come_back(spark):
+    texts = ["a" * 64, hashlib.sha256(b"").hexdigest(), "A" * 64, "a" * 63, "a" * 64 + "\n", "new1", "", "é", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").withColumn("p", chunks.packed(F.col("t")))
+    got = df.select("t", "p", chunks.unpacked(F.col("p")).alias("back")).collect()
+    assert all(r.t == r.back for r in got) and len({bytes(r.p) for r in got if r.p is not None}) == len(texts) - 1
+    store = spark.createDataFrame([("h", 5, 1, 9), ("q", 4, 1, 9)], "chunk_hash string, size long, ref_count long, deleted_at long")
+    refs = spark.createDataFrame([("h", 1, 0)], "chunk_hash string, file_id long, chunk_index long")
+    new = spark.createDataFrame([("h", 1, 0, 5), ("h", 2, 0, 0), ("q", 8, 0, 0), ("x", 3, 0, 0), ("y", 4, 0, 7), ("y", 5, 0, 0), (chunks.EMPTY, 6, 0, 0)], "chunk_hash string, file_id long, chunk_index long, chunk_size long")
+    pack = lambda df: df.withColumn("chunk_hash", chunks.packed(F.col("chunk_hash")))
+    text = lambda df: sorted(map(tuple, df.withColumn("chunk_hash", chunks.unpacked(F.col("chunk_hash"))).select("chunk_hash", *df.drop("chunk_hash").columns).collect()), key=str)
+    plain, moved = chunks.put(store, refs, new), chunks.put(pack(store), pack(refs), pack(new))
+    assert [text(df) for df in moved] == [sorted(map(tuple, df.select("chunk_hash", *df.drop("chunk_hash").columns).collect()), key=str) for df in plain]
+    assert {r.chunk_hash: (r.size, r.ref_count, r.deleted_at) for r in plain[0].collect()} == {"h": (5, 2, None), "q": (4, 2, None), "y": (7, 1, None), chunks.EMPTY: (0, 1, None)}
+
+
+#: Queries on the chunks of files, and whether their rows were dealt by file and index once more, or their hashes moved as text.
+MOVED = {
+    "dedup_put": "chunk_index",
+}
+
+
+@tables
+@pytest.mark.parametrize("name", MOVED)
+def test_chunks_move_once_by_file_and_with_packed_hashes(spark, name):
+    plan = plans.QUERIES[name](spark, DIR)._jdf.queryExecution().executedPlan().toString()
+    dealt = [line for line in plan.splitlines() if "Exchange hashpartitioning(" in line]
+    if "chunk_index" in MOVED[name]:
+        assert dealt and not any("chunk_index" in line for line in dealt)
+    if "text" in MOVED[name]:
+        assert "unhex(" in plan
