@@ -248,6 +248,7 @@ def test_packed_hashes_come_back(spark):
 #: Queries on the chunks of files, and whether their rows were dealt by file and index once more, or their hashes moved as text.
 MOVED = {
     "dedup_put": "chunk_index",
+    "put_outcome_all": "text",
     "put_outcome": "text",
     "manifest_with_store": "text",
     "copy_files": "text",
