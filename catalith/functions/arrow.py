@@ -240,6 +240,25 @@ def invalid_metadata(value, depth: int = 0) -> str | None:
     return None
 
 
+def _least_bytes(value) -> int:
+    """Bytes that the compact text of a value has at least, as its strings are no shorter there."""
+    if isinstance(value, str):
+        return len(value) + 2
+    if isinstance(value, dict):
+        return sum(len(k) + 3 + _least_bytes(v) for k, v in value.items())
+    return sum(map(_least_bytes, value)) if isinstance(value, list) else 1
+
+
+def _too_large(text: str, value) -> bool:
+    """Whether the compact text is beyond the limit; it is only made where neither bound tells.
+
+    Only numbers grow when written again, ``1e5`` to ``100000.0``: eightfold at most.
+    """
+    if 8 * (len(text) if text.isascii() else len(text.encode("utf-8", "surrogatepass"))) <= BYTES:
+        return False
+    return _least_bytes(value) > BYTES or len(json.dumps(value, separators=(",", ":"), ensure_ascii=False).encode()) > BYTES
+
+
 @F.arrow_udf(StringType())
 def _metadata_error(text: pa.Array) -> pa.Array:
     def one(t):
@@ -249,7 +268,7 @@ def _metadata_error(text: pa.Array) -> pa.Array:
             return "json"
         if not isinstance(value, dict):
             return "root"
-        return invalid_metadata(value) or ("size" if len(json.dumps(value, separators=(",", ":"), ensure_ascii=False).encode()) > BYTES else None)
+        return invalid_metadata(value) or ("size" if _too_large(t, value) else None)
 
     return pa.array([None if t is None else one(t) for t in text.to_pylist()], pa.string())
 

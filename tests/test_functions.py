@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import base64
+import json
 import random
 import time
 
@@ -195,3 +196,15 @@ def test_places_of_many_chunks_are_found_at_once():
     start = time.monotonic()
     arrow.placed([str(k) for k in range(50_000)], [k % 7 for k in range(50_000)], ["u1"] * 50_000, 32)
     assert time.monotonic() - start < 2.5  # a string for each shard took 5 s
+
+
+def test_sizes_of_metadata_are_told_without_writing_it_again(monkeypatch):
+    most = arrow.BYTES
+    texts = ['{"a":"' + "x" * n + '"}' for n in (5, most - 9, most - 8, most - 7, most)]
+    texts += ['{"a":"' + "\\u00e9" * (most // 2 - 10) + '"}', '{"a":"' + "é" * (most // 2 - 3) + '"}', '{"a":' + " " * most + "1}", '{"a":[' + ",".join(["[" + ",".join(["1e5"] * 900) + "]"] * 12) + "]}", '{"a":"' + '\\"' * (most // 2) + '"}', '{"' + "k" * 1000 + '":"' + "x" * most + '"}']
+    want = [len(json.dumps(json.loads(t), separators=(",", ":"), ensure_ascii=False).encode()) > most for t in texts]
+    assert [arrow._too_large(t, json.loads(t)) for t in texts] == want and True in want and False in want
+    def written(*a, **k):
+        raise AssertionError("written again")
+    monkeypatch.setattr(arrow.json, "dumps", written)
+    assert arrow._too_large(texts[4], json.loads(texts[4])) and not arrow._too_large(texts[0], json.loads(texts[0]))
