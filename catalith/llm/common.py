@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 import atexit
+import functools
 import uuid
+from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from catalith.scratch import scratch_path, shared_dir, stored
 
-__all__ = ["SPACE_CLASS", "WORD_CLASS", "bucketed", "scratch_path", "shared_dir", "stored", "table", "whole"]
+__all__ = ["SPACE_CLASS", "WORD_CLASS", "bucketed", "reduced", "scratch_path", "shared_dir", "stored", "table", "whole"]
 
 #: White space that separates words; everything else is part of a word (fixed values).
 SPACE_CLASS = r"[\x20\x09-\x0D]"
@@ -38,6 +42,25 @@ def _clean() -> None:
 atexit.register(_clean)
 
 
+def reduced(df: DataFrame, of: Callable[[pa.RecordBatch], np.ndarray], combine: Callable = np.add) -> np.ndarray | None:
+    """The numbers that ``of`` makes of each batch of rows, combined over all; null without rows.  One vector of each task reaches the driver.
+
+    Where the numbers are multiples of one power of two, and below 2**53 of it,
+    their sum is exact, so that neither partitions nor batches decide the result.
+    """
+
+    def run(batches):
+        total = None
+        for b in batches:
+            if b.num_rows:
+                total = of(b) if total is None else combine(total, of(b))
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([np.ascontiguousarray(total, np.float64).tobytes()], pa.binary())], ["v"])
+
+    parts = [np.frombuffer(r.v) for r in df.mapInArrow(run, "v binary").collect()]
+    return functools.reduce(combine, parts) if parts else None
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

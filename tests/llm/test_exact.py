@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from test_corpus import DIR, _der, components_of, shingle_set
 
 import corpus_pipeline
-from catalith.llm import bpe, chat_format, decontaminate, jaccard_join, pii_surrogates, quality_rules, queries, secret_scan, shingles, url_filter, warc_index
+from catalith.llm import bpe, chat_format, decontaminate, jaccard_join, pii_surrogates, quality_rank, quality_rules, queries, secret_scan, shingles, url_filter, warc_index
 from catalith.llm.common import table
 
 CLASHING = ("h", "t", "m", "pos", "kind", "rest", "parts", "sig", "n", "gid", "token", "block", "ids", "leaks", "head", "digest", "score", "host", "path", "rule", "part", "serial", "node", "costs")
@@ -514,3 +514,23 @@ def test_pipeline_result_against_brute_force(spark):
     for i, t in want.items():
         ids = np.array(enc.encode_ordinary(t), "<u4")
         assert (got[i].n_tokens, got[i].ids_sha256, got[i].decoded_sha256) == (len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256(t.encode()).hexdigest())
+
+
+# 4. Quality ranking.
+
+
+def test_ranking_is_that_of_all_pairs_of_all_rows(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(240, 3)) * [1, 5, 0.1] + [0, 7, 1]
+    y = (x @ [0.8, 0.2, 3] + rng.normal(size=240) > 4.8).astype(int)
+    df = spark.createDataFrame([(a.tolist(), b) for a, b in zip(x, y.tolist(), strict=True)], "x array<double>, y int")
+    one, many = quality_rank.Ranking(df.coalesce(1)), quality_rank.Ranking(df.repartition(7))
+    assert one.weights.tolist() == many.weights.tolist() and (one.cut, one.slope) == (many.cut, many.slope)
+    scale = x.std(axis=0)
+    d = ((x[y == 1][:, None] - x[y == 0][None]) / scale).reshape(-1, 3)
+    w = np.zeros(3)
+    for _ in range(30):
+        p = 1 / (1 + np.exp(d @ w))
+        w += np.linalg.solve((d * (p * (1 - p))[:, None]).T @ d / len(d) + quality_rank.RIDGE * np.eye(3), d.T @ p / len(d) - quality_rank.RIDGE * w)
+    assert np.allclose(one.weights * scale, w, atol=2e-3)
+    assert (x @ one.weights < one.cut - 1e-9).sum() == int((y == 0).mean() * 239)
