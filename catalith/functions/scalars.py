@@ -26,7 +26,8 @@ def basename(path: Column) -> Column:
 
 
 def dirname(path: Column) -> Column:
-    head = F.regexp_extract(path, r"^(.*)/[^/]*$", 1)
+    """All before the last ``/``, as SQL takes it: of the characters that end a line only a line feed ends the match, where Java's dot stops at others, too."""
+    head = F.regexp_extract(path, r"^([^\n]*)/[^/]*$", 1)
     return F.when(head == "", "/").otherwise(head)
 
 

@@ -208,3 +208,13 @@ def test_sizes_of_metadata_are_told_without_writing_it_again(monkeypatch):
         raise AssertionError("written again")
     monkeypatch.setattr(arrow.json, "dumps", written)
     assert arrow._too_large(texts[4], json.loads(texts[4])) and not arrow._too_large(texts[0], json.loads(texts[0]))
+
+
+def test_path_parts_of_odd_urls_against_sql(spark, tmp_path, monkeypatch):
+    import oracle
+
+    urls = ["http://a/b\rc/d", "http://a /x", "http://a\u0085b/y", "a\nb/c", "a/b\n", "a/b\r", "a/b\n/", "\n/", "a/\n", "/", "", "x", None, "/a", "a//", "é/ü", "http://x/" + "y" * 300]
+    spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    monkeypatch.setattr(oracle, "TABLES", [])
+    sql = plans.ORACLE_SQL["path_parts"].replace("FROM pages", f"FROM '{tmp_path}/pages.parquet/*.parquet'")
+    assert oracle.compare(plans.QUERIES["path_parts"](spark, str(tmp_path)), sql, "") == len(urls)
