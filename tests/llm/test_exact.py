@@ -11,6 +11,7 @@ import re
 
 import duckdb
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pyarrow as pa
 import pytest
@@ -182,6 +183,18 @@ def test_url_model_on_held_out_sites():
     assert flat.score(["http://b.org/"])[0] > 0.99
 
 
+def test_url_model_is_of_all_labelled_urls(spark):
+    rng = np.random.default_rng(1)
+    urls = [f"http://{'abc'[k % 3]}{k % 97}.x{k % 11}.{'com' if k % 5 else 'net'}/{rng.integers(1 << 30)}/{'p' * int(rng.integers(9))}" for k in range(50_400)] + [None, "x"]
+    y = np.array([float(len(u or "") % 3 == 0 or rng.random() < 0.1) for u in urls])
+    df = spark.createDataFrame(pd.DataFrame({"url": urls, "blocked": y})).repartition(3)
+    got, want = url_filter.train(df.union(df.limit(9))), url_filter.learn(urls, y)
+    assert (got.base, got.least) == (want.base, want.least) and np.array_equal(got.trees.cut, want.trees.cut) and np.array_equal(got.trees.leaf, want.trees.leaf)
+    some = df.limit(50).toPandas()
+    rows = spark.createDataFrame(some[["url"]]).withColumn("host", url_filter.host_of(F.col("url")))
+    assert sorted(r.score for r in url_filter.scored(rows, got).collect()) == sorted(want.score(some["url"].tolist()).tolist())
+
+
 # 5. Quality rules.
 
 
