@@ -29,10 +29,11 @@ TABLES = {
         row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq, CASE WHEN event_type = 'purchase' THEN 'checkpoint' ELSE 'op' END AS kind,
         value, props FROM {events}""",
 }
-#: Definitions that only Spark reads: the same rows, with the window over the column that is put out, so that Spark knows how they are dealt and carries the key once.
+#: Definitions that only Spark reads: the same rows, with the window over the column that is put out, so that Spark knows how they are dealt and carries the key once, and below what is derived, so that a part's key moves and not its hash.
 SPARK_TABLES = {
-    "file_chunks": """SELECT file_id, row_number() OVER (PARTITION BY file_id ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate, l_quantity, l_extendedprice) - 1 AS chunk_index,
-        {sha_part} AS chunk_hash, CAST(l_quantity AS BIGINT) AS chunk_size, l_suppkey % 32 AS shard_index FROM (SELECT *, l_orderkey AS file_id FROM {lineitem})""",
+    "file_chunks": """SELECT file_id, chunk_index, {sha_part} AS chunk_hash, CAST(l_quantity AS BIGINT) AS chunk_size, l_suppkey % 32 AS shard_index FROM (
+        SELECT file_id, row_number() OVER (PARTITION BY file_id ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate, l_quantity, l_extendedprice) - 1 AS chunk_index, l_partkey, l_quantity, l_suppkey
+        FROM (SELECT *, l_orderkey AS file_id FROM {lineitem}))""",
 }
 DIALECT = {
     "spark": {"string": "STRING", "bytes": "octet_length(text)", "sha": "sha2(text, 256)", "sha_part": "sha2(CAST(l_partkey AS STRING), 256)", "millis": "unix_millis(ts)"},

@@ -268,3 +268,11 @@ def test_chunks_move_once_by_file_and_with_packed_hashes(spark, name):
         assert dealt and not any("chunk_index" in line for line in dealt)
     if "text" in MOVED[name]:
         assert "unhex(" in plan
+
+
+@tables
+@pytest.mark.parametrize("name", ["dedup_put_all"])
+def test_hashes_are_made_where_files_are(spark, name):
+    lines = plans.QUERIES[name](spark, DIR)._jdf.queryExecution().executedPlan().toString().splitlines()
+    under = [lines[i + 1] for i, line in enumerate(lines) if "Exchange hashpartitioning(file_id#" in line]
+    assert under and all("l_extendedprice" in line and "sha2(" not in line for line in under)
