@@ -185,12 +185,14 @@ def patched(files: DataFrame, tags: DataFrame, patches: DataFrame, merge) -> tup
 
 
 def copied(files: DataFrame, chunks: DataFrame, store: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Chunks (references) after copies (source, copy), and each outcome: ENOENT without the source, ENOCHUNK where one of its chunks is not alive.  Copies share hashes and have references of their own."""
+    """Chunks (references) after copies (source, copy), and each outcome: ENOENT without the source, ENOCHUNK where one of its chunks is not alive.  Copies share hashes and have references of their own.
+
+    References meet the store first, so that hashes move once, and only ids of files that lost a chunk after that.
+    """
     from catalith.operators.chunks import alive
 
     live = alive(store).select("chunk_hash", F.lit(True).alias("live"))
-    own = chunks.join(pairs.select(F.col("source").alias("file_id")).distinct(), "file_id", "left_semi")
-    lost = own.join(live, "chunk_hash", "left_anti").select(F.col("file_id").alias("source")).distinct().withColumn("lost", F.lit(True))
+    lost = chunks.join(live, "chunk_hash", "left_anti").select(F.col("file_id").alias("source")).distinct().withColumn("lost", F.lit(True))
     there = files.select(F.col("file_id").alias("source"), F.lit(True).alias("there"))
     out = pairs.join(there, "source", "left").join(lost, "source", "left")
     out = out.select("source", "copy", F.when(F.col("there").isNull(), "ENOENT").when(F.col("lost"), "ENOCHUNK").otherwise("OK").alias("code"))

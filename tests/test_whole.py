@@ -276,3 +276,17 @@ def test_hashes_are_made_where_files_are(spark, name):
     lines = plans.QUERIES[name](spark, DIR)._jdf.queryExecution().executedPlan().toString().splitlines()
     under = [lines[i + 1] for i, line in enumerate(lines) if "Exchange hashpartitioning(file_id#" in line]
     assert under and all("l_extendedprice" in line and "sha2(" not in line for line in under)
+
+
+def test_copies_meet_the_store_first(spark):
+    refs = [("h", 1, 0), ("x", 2, 0), ("h", 2, 1), ("y", 3, 0), ("x", 4, 0), (None, 5, 0), ("h", None, 0)]
+    c = spark.createDataFrame(refs, "chunk_hash string, file_id long, chunk_index long")
+    store = spark.createDataFrame([("h", 3, None), ("x", 2, 7)], "chunk_hash string, ref_count long, deleted_at long")
+    files = spark.createDataFrame([(k,) for k in (1, 2, 3, 5, 6)], "file_id long")
+    pairs = spark.createDataFrame([(1, 11), (1, 12), (2, 13), (3, 14), (4, 15), (5, 16), (6, 17)], "source long, copy long")
+    after, out = mutations.copied(files, c, store, pairs)
+    codes = {11: "OK", 12: "OK", 13: "ENOCHUNK", 14: "ENOCHUNK", 15: "ENOENT", 16: "ENOCHUNK", 17: "OK"}
+    assert {r["copy"]: r.code for r in out.collect()} == codes
+    assert sorted(map(tuple, after.collect()), key=str) == sorted([*refs, ("h", 11, 0), ("h", 12, 0)], key=str)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftAnti" in plan and "LeftSemi" not in plan
