@@ -271,7 +271,7 @@ def test_chunks_move_once_by_file_and_with_packed_hashes(spark, name):
 
 
 @tables
-@pytest.mark.parametrize("name", ["dedup_put_all", "restore_refs", "put_parts_outcome", "finalize_uploads", "manifest_with_store", "put_outcome"])
+@pytest.mark.parametrize("name", ["dedup_put_all", "restore_refs", "put_parts_outcome", "finalize_uploads", "manifest_with_store", "put_outcome", "put_outcome_all"])
 def test_hashes_are_made_where_files_are(spark, name):
     lines = plans.QUERIES[name](spark, DIR)._jdf.queryExecution().executedPlan().toString().splitlines()
     under = [lines[i + 1] for i, line in enumerate(lines) if "Exchange hashpartitioning(file_id#" in line]
